@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, pii, topk
+from . import chat, decontamination, language, licenses, mixing, pii, revisits, topk
 from ._shared import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -31,10 +43,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op3_revisits": op3_revisits,
     "op4_pii": op4_pii,
+    "op6_chat": op6_chat,
     "op7_topk": op7_topk,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_topk": topk.SQL, "op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_revisits": revisits.SQL, "op6_chat": chat.SQL, "op7_topk": topk.SQL, "op10_mixing": mixing.SQL}
