@@ -1,13 +1,13 @@
 """License scans: which license notices a document carries.
 
-Documents are cut into overlapping windows of WINDOW five-word shingles, one every STRIDE. Each
+Documents are cut into overlapping windows of WINDOW five-word shingles, one every shingle. Each
 window has BANDS MinHash values, each a band of its own: with bands of one row, a window and a
 template window of Jaccard similarity s collide with probability 1 - (1 - s) ** BANDS. A notice
-of one shingle makes a quarter of a window, which collides with 0.97, and lies in two windows;
-for a half or more it is over 0.9997. Templates are windowed at every place, so that a window
-inside a long notice has its like. Templates whose bands collide are verified by the exact share
-of their shingles, as words, that the document has. Only DataFrame functions run. Nothing but the
-matches is shuffled; the templates are constants of the plan.
+of a single shingle is half of a window, which collides with 0.992, and lies in two windows; a
+longer notice that is kept whole in any two shingles on end has a window like its template's and
+collides for certain. Templates whose bands collide are verified by the exact share of their
+shingles, as words, that the document has. Only DataFrame functions run. Nothing but the matches
+is shuffled; the templates are constants of the plan.
 
 Words are those between white space, in lower case. Cases: null and empty texts carry none; a
 text of fewer words than five is one shingle; a notice is reported once for a doc_id, however
@@ -17,14 +17,15 @@ often its text or its repeated rows have it; extra columns are not read.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-WINDOW = 4
-STRIDE = 2
-BANDS = 12
+WINDOW = 2
+BANDS = 7
 CONTAINMENT = 0.8
 
 # The wording of public license notices.
@@ -75,17 +76,18 @@ def shingles(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= SHINGLE, whole).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
 
 
-def starts(stride: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size("__h") - 1 - (WINDOW - stride), F.lit(0)), F.lit(stride))
+def banded(df: DataFrame, seeds: list[int]) -> tuple[DataFrame, list[Column]]:
+    """df, and for each band the least hash of every window of __h under the band's permutation.
 
+    A window at the end that is cut short has fewer shingles.
+    """
+    df = df.withColumns({f"__v{k}": F.transform("__h", _permuted(s)) for k, s in enumerate(seeds)})
+    shifted = lambda v: [v, *[F.slice(v, F.lit(j + 1), F.greatest(F.size(v) - j, F.lit(0))) for j in range(1, WINDOW)]]
+    return df, [reduce(lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b)), shifted(F.col(f"__v{k}"))) for k in range(len(seeds))]
 
-def bands(i: Column, seeds: list[int]) -> list[Column]:
-    """The band values of the window at i: the least hash under one permutation for each band.
 
-    A window that is cut short repeats its last shingle, which adds nothing to a set.
-    """
-    window = [F.get("__h", F.least(i + j, F.size("__h") - 1)) for j in range(WINDOW)]
-    return [F.least(*[F.xxhash64(h, F.lit(s)) for h in window]) for s in seeds]
+def _permuted(seed: int) -> Callable[[Column], Column]:
+    return lambda h: F.xxhash64(h, F.lit(seed))
 
 
 def _seeds(spark: SparkSession, bands: int) -> list[int]:
@@ -97,8 +99,8 @@ def templates(spark: SparkSession, seeds: list[int], notices: tuple[tuple[str, s
     quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "\\'")) for i, (name, text) in enumerate(notices))
     w = words(F.col("text"))
     rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(n, name, text)")
-    rows = hashed(rows.withColumn("__w", w))
-    return rows.select("n", "name", shingles(F.col("__w")).alias("shingles"), F.transform(starts(1), lambda i: F.array(*bands(i, seeds))).alias("bands")).orderBy("n").collect()
+    rows, bands = banded(hashed(rows.withColumn("__w", w)), seeds)
+    return rows.select("n", "name", shingles(F.col("__w")).alias("shingles"), F.array(*bands).alias("bands")).orderBy("n").collect()
 
 
 def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, n_bands: int = BANDS) -> DataFrame:
@@ -106,17 +108,15 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = TEMPLATES, cont
     spark = docs.sparkSession
     seeds = _seeds(spark, n_bands)
     known = templates(spark, seeds, notices)
-    table = [t.asDict() | {"bands": sorted({v for window in t["bands"] for v in window})} for t in known]
+    longs = lambda values: F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<bigint>")
+    table = [t.asDict() | {"bands": sorted({v for band in t["bands"] for v in band})} for t in known]
     table = F.from_json(F.lit(json.dumps(table)), "array<struct<n long, name string, bands array<bigint>, shingles array<string>>>")
-    rows = hashed(docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("__w"))).where(F.size("__h") > 0)
-    # windows are rows only inside one stage of generated code, which reads the arrays of the document in place
-    rows = rows.select("doc_id", "__w", "__h", F.explode(starts(STRIDE)).alias("__i"))
-    own = bands(F.col("__i"), seeds)
-    collides = F.lit(False)
-    for k, band in enumerate(own):
-        collides = collides | band.isin(sorted({window[k] for t in known for window in t["bands"]}))
-    rows = rows.where(collides).select("doc_id", "__w", F.array(*own).alias("__b"))
-    rows = rows.select("doc_id", "__w", F.explode_outer(F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("__b")))).alias("__t")).where(F.col("__t").isNotNull())
+    rows, own = banded(hashed(docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("__w"))), seeds)
+    hits = F.concat(*[F.array_intersect(band, longs({v for t in known for v in t["bands"][k]})) for k, band in enumerate(own)])
+    rows = rows.select("doc_id", "__w", hits.alias("__hit"))
+    retrieved = F.when(F.size("__hit") > 0, F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("__hit"))))
+    # outer, so that the planner infers no filter below, which would compute all of this twice
+    rows = rows.select("doc_id", "__w", F.explode_outer(retrieved).alias("__t")).where(F.col("__t").isNotNull())
     shared = F.size(F.array_intersect(F.col("__t.shingles"), shingles(F.col("__w"))))
     rows = rows.select("doc_id", F.col("__t.name").alias("license"), F.col("__t.n").alias("notice"), shared.cast("long").alias("shared"), F.size("__t.shingles").cast("long").alias("notice_shingles"))
     return rows.where(F.col("shared") >= F.lit(containment) * F.col("notice_shingles")).distinct()
