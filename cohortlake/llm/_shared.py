@@ -61,6 +61,19 @@ def joinable(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
+SALTS = 32
+
+
+def hub_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """many joined with the one row of each key: by broadcast if a count proves one small, else with the rows of
+    a key dealt over SALTS tasks and one repeated for each, so that a key with a large share of many is split."""
+    if few(one):
+        return many.join(F.broadcast(one), key)
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
+    repeated = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def blocks(df: DataFrame, order: list[Column], name: str = "__blk") -> DataFrame:
     """Stores df with the number of its range partition. Ranges are split wherever order differs, so no key is held together."""
     return store(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("long")))

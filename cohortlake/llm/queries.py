@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, licenses, mixing, pii, revisits, topk
+from . import chat, decontamination, language, licenses, mixing, pii, prefixjoin, revisits, topk
 from ._shared import table
 
 
@@ -26,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_prefixjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixjoin.linked(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_revisits": op3_revisits,
     "op4_pii": op4_pii,
+    "op5_prefixjoin": op5_prefixjoin,
     "op6_chat": op6_chat,
     "op7_topk": op7_topk,
     "op9_decontamination": op9_decontamination,
