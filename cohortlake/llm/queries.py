@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, licenses, mixing, pii, prefixjoin, revisits, topk
+from . import chat, decontamination, language, licenses, mixing, pii, prefixjoin, revisits, suffixes, topk
 from ._shared import table
 
 
@@ -38,6 +38,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prefixjoin": op5_prefixjoin,
     "op6_chat": op6_chat,
     "op7_topk": op7_topk,
+    "op8_suffixes": op8_suffixes,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
