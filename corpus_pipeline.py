@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlake.llm import decontamination, language, mixing, pii
+from cohortlake.llm import decontamination, language, mixing, pii, prefixjoin
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return prefixjoin.deduplicated(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -23,7 +27,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("language", identified), ("decontamination", decontaminated), ("pii", redacted), ("mixing", mixed)]
+STAGES = [("language", identified), ("ngram_join", deduplicated), ("decontamination", decontaminated), ("pii", redacted), ("mixing", mixed)]
 ORACLE_SQL = None
 
 
