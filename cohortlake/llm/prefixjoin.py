@@ -30,7 +30,7 @@ Cases: a text of fewer words than five is one shingle of all its words; null and
 have empty sets, and are linked with nothing, themselves included among copies; repeated rows of
 one doc_id are each returned; a null doc_id is never the smallest of a group unless alone; extra
 columns are not read. Shingles are compared by 64-bit hashes, and classes by a 64-bit hash of the
-set: two different ones agree with a chance of 2 ** -64.
+set: two different ones agree with a chance of 2 ** -64. Of a shingle's hash, the bucket and 40 bits are kept.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ from ._shared import SALTS, drop, few, free_shuffles, hub_join, joinable, store
 from ._text import mix, pieces, shingles
 
 SIMILARITY = (80, 100)
-BUCKET = 1_500_000
+BUCKET = 1_000_000
 """Shingles in a bucket, about: one task's memory is some 100 bytes for each."""
 BLOCK = 256
 SAMPLE = 64
@@ -57,7 +58,9 @@ SAMPLE = 64
 HOT_SHARE = 0.002
 """A shingle in more than this share of the sampled classes (and in HOT_LEAST of them) is hot; so there are at most the mean set size / HOT_SHARE."""
 HOT_LEAST = 32
-HOT = np.uint32(0xFFFFFFFF)
+HOT = 255
+BYTES = 5
+"""Bytes of a shingle's hash that are dealt out; with the number of its bucket they tell it apart."""
 
 
 def sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,109 +118,161 @@ def hot_shingles(docs: DataFrame, classes: int, sample: int = SAMPLE, share: flo
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
+def _low(h: np.ndarray) -> bytes:
+    """The low BYTES bytes of each number."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
+
+
+def _high(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
+
+
+def _counts(n: np.ndarray) -> bytes:
+    return n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _counted(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
+
+
+def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("bucket", "g") else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed shingles for each bucket and piece of text: bucket, hashes (8 bytes each), class ids and how many of each, set sizes. Bucket -1: hot ones."""
+    """Packed shingles for each bucket and piece of text: BYTES bytes of each, class ids, and how many each has.
+
+    A shingle is told by its bucket and those bytes. Hot ones have bucket -1 - theirs.
+    """
     for batch in batches:
         for _, _, buf, offsets in pieces(batch.column(0)):
             h, n, sid = sets(buf, offsets)
             _, first = np.unique(sid, return_index=True)
             chosen = np.zeros(len(sid), bool)
             chosen[first] = n[first] > 0
-            keep = np.repeat(chosen, n)
-            h, sid, n = h[keep], sid[chosen], n[chosen]
+            h, sid, n = h[np.repeat(chosen, n)], sid[chosen], n[chosen]
             owner = np.repeat(np.arange(len(sid)), n)
-            place = (h >> np.uint64(20)) % np.uint64(buckets)
-            bucket = place.astype(np.int64)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                bucket[hot[at] == h] = -1
+                bucket = np.where(hot[at] == h, -1 - bucket, bucket)
             order = np.argsort(bucket, kind="stable")
-            h, owner, bucket = h[order], owner[order], bucket[order]
+            h, owner, bucket = (h // np.uint64(buckets))[order], owner[order], bucket[order]
             cut = _runs(bucket)
             rows = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 own = _runs(owner[lo:hi])
-                who = owner[lo:hi][own[:-1]]
-                rows.append((int(bucket[lo]), h[lo:hi].tobytes(), sid[who].tobytes(), np.diff(own).astype(np.uint32).tobytes(), n[who].astype(np.uint32).tobytes()))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "h", "sid", "count", "n"])
+                rows.append((int(bucket[lo]), _low(h[lo:hi]), sid[owner[lo:hi][own[:-1]]].tobytes(), _counts(np.diff(own))))
+            yield _record(rows, _DEALT)
+
+
+_DEALT = ["bucket", "h", "sid", "count"]
+_PACKED = ["g", "bucket", "h", "df", "sid", "count", "n"]
+
 
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {'long' if n in ('bucket', 'g') else 'binary'}" for n in names)
 
-_DEALT = "bucket long, h binary, sid binary, count binary, n binary"
 
+def _unpack(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and the class of each, over all rows."""
+    h, owners = [], []
+    for data, sid, count in zip(*[table.column(c).to_pylist() for c in ("h", "sid", "count")], strict=True):
+        ids = np.frombuffer(sid, np.uint64)
+        h.append(_high(data))
+        owners.append(np.repeat(ids, _counted(count, len(ids))))
+    return np.concatenate([np.zeros(0, np.uint64), *h]), np.concatenate([np.zeros(0, np.uint64), *owners])
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    count = whole("count", np.uint32)
-    return whole("h", np.uint64), np.repeat(whole("sid", np.uint64), count), np.repeat(whole("n", np.uint32), count)
 
+def _group(sid: np.ndarray, groups: int) -> np.ndarray:
+    return ((sid >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
 
-def _pack(h: np.ndarray, df: np.ndarray, sid: np.ndarray, n: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Shared shingles by group of classes, packed."""
-    group = ((sid >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
+
+def _pack(bucket: int, h: np.ndarray, df: np.ndarray, sid: np.ndarray, groups: int) -> list[tuple]:
+    """Shared shingles of a bucket by group of classes."""
+    group = _group(sid, groups)
     order = np.lexsort((sid, group))
-    h, df, sid, n, group = h[order], df[order], sid[order], n[order], group[order]
+    h, df, sid, group = h[order], df[order], sid[order], group[order]
     cut = _runs(group)
     rows = []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         own = _runs(sid[lo:hi])
-        rows.append((int(group[lo]), h[lo:hi].tobytes(), df[lo:hi].tobytes(), sid[lo:hi][own[:-1]].tobytes(), np.diff(own).astype(np.uint32).tobytes(), n[lo:hi][own[:-1]].tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["g", "h", "df", "sid", "count", "n"])
+        rows.append((int(group[lo]), bucket, _low(h[lo:hi]), df[lo:hi].tobytes(), sid[lo:hi][own[:-1]].tobytes(), _counts(np.diff(own)), b""))
+    return rows
 
 
-_PACKED = "g long, h binary, df binary, sid binary, count binary, n binary"
+def _rank(df: np.ndarray) -> np.ndarray:
+    """Frequencies in eighths of a power of two, below HOT."""
+    return np.minimum(np.log2(df) * 8, HOT - 1).astype(np.uint8)
 
 
-def shared_sets(docs: DataFrame, total: int, classes: int, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(sid, n, tokens, prefix) of the classes that may have a link: set size, shared shingles as packed
-    64-bit hashes in the global order from rare to frequent, and how many of them are in the prefix."""
-    hot = hot_shingles(docs, classes)
-    buckets = max(1, math.ceil(total / bucket))
+    64-bit numbers in the global order from rare to frequent, and how many of them are in the prefix."""
+    hot = hot_shingles(docs, count)
+    buckets = groups = max(1, math.ceil(total / bucket))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, shared.value), _DEALT)
-    groups = buckets
+    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, shared.value), _schema(_DEALT))
 
-    def count(table: pa.Table) -> pa.Table:
-        h, sid, n = _unpack(table)
+    def meet(table):
+        h, sid = _unpack(table)
         order = np.lexsort((sid, h))
-        h, sid, n = h[order], sid[order], n[order]
+        h, sid = h[order], sid[order]
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)
-        h, sid, n = h[keep], sid[keep], n[keep]
-        cut = _runs(h)
-        df = np.repeat(np.diff(cut), np.diff(cut)).astype(np.uint32)
-        many = df > 1
-        return pa.Table.from_batches([_pack(h[many], df[many], sid[many], n[many], groups)])
+        h, sid = h[keep], sid[keep]
+        size = np.diff(_runs(h))
+        many = np.repeat(size > 1, size)
+        return pa.Table.from_batches([_record(_pack(table.column("bucket")[0].as_py(), h[many], _rank(np.repeat(size, size)[many]), sid[many], groups), _PACKED)])
 
     def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, sid, n = _unpack(pa.Table.from_batches([batch]))
-            yield _pack(h, np.full(len(h), HOT), sid, n, groups)
+            rows = []
+            for i in range(batch.num_rows):
+                h, sid = _unpack(batch.slice(i, 1))
+                rows += _pack(-1 - batch.column(0)[i].as_py(), h, np.full(len(h), HOT, np.uint8), sid, groups)
+            yield _record(rows, _PACKED)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "n"))
+            group = _group(sid.view(np.uint64), groups)
+            yield _record([(int(g), 0, b"", b"", sid[group == g].tobytes(), b"", n[group == g].astype(np.uint32).tobytes()) for g in np.unique(group)], _PACKED)
 
-    counted = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(count, _PACKED)
+    packed = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _schema(_PACKED))
     if len(hot):
-        counted = counted.unionByName(dealt.where("bucket < 0").mapInArrow(hot_ones, _PACKED))
+        packed = packed.unionByName(dealt.where("bucket < 0").mapInArrow(hot_ones, _schema(_PACKED)))
+    packed = packed.unionByName(classes.select("sid", "n").mapInArrow(sizes, _schema(_PACKED)))
     num, den = similarity
 
-    def gather(table: pa.Table) -> pa.Table:
-        h, sid, n = _unpack(table)
-        df = np.frombuffer(b"".join(table.column("df").to_pylist()), np.uint32)
+    def gather(table):
+        named = pa.compute.greater(pa.compute.binary_length(table.column("n")), 0)
+        known, table = table.filter(named), table.filter(pa.compute.invert(named))
+        ids = np.frombuffer(b"".join(known.column("sid").to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(known.column("n").to_pylist()), np.uint32).astype(np.int64)
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order]
+        h, sid = _unpack(table)
+        each = [len(x) // BYTES for x in table.column("h").to_pylist()]
+        h = h * np.uint64(buckets) + np.repeat(np.array(table.column("bucket").to_pylist(), np.uint64), each)
+        df = np.frombuffer(b"".join(table.column("df").to_pylist()), np.uint8)
         order = np.lexsort((h, df, sid))
-        h, sid, n = h[order], sid[order], n[order]
+        h, sid = h[order], sid[order]
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)  # hot ones come once a piece
-        h, sid, n = h[keep], sid[keep], n[keep]
+        h, sid = h[keep], sid[keep]
         cut = _runs(sid)
         rows = []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            size = int(n[lo])
-            prefix = (hi - lo) - -(-num * size // den) + 1
+            size = int(n[np.searchsorted(ids, sid[lo])])
+            prefix = int(hi - lo) - -(-num * size // den) + 1
             if prefix > 0:
                 rows.append((int(sid[lo].view(np.int64)), size, h[lo:hi].tobytes(), prefix))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32())], ["sid", "n", "tokens", "prefix"])
 
-    return counted.groupBy("g").applyInArrow(gather, "sid long, n long, tokens binary, prefix int")
+    return packed.groupBy("g").applyInArrow(gather, "sid long, n long, tokens binary, prefix int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -421,7 +476,7 @@ def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
     classes = store(own.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
     whole = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("total")).first()
     if whole.classes:
-        active = store(shared_sets(docs, int(whole.total), whole.classes, similarity))
+        active = store(shared_sets(docs, classes, int(whole.total), whole.classes, similarity))
         free_shuffles(spark)
         label = set_components(active, similarity)
         named = classes.join(label, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
