@@ -9,8 +9,9 @@ The first digit is not the first bytes but the window's minimizer: of the SEED-b
 the window, the one of least hash, the leftmost of equals. Equal windows have equal minimizers in
 the same place, so the digit splits no group, and neighbouring windows mostly share one: one
 entry for some sixteen suffixes is dealt out, in packed form. Minimizers that a single text has
-end there. Runs of windows with a shared one are dealt out with their bytes, and each bucket sorts
-its windows by this digit and the place in it, then by digits of eight bytes.
+end there. Runs of windows with a shared one are dealt out with their bytes. Each bucket sorts whole runs
+first, by place and digits of eight bytes, so that equal ones are cut into windows once, and then
+the windows that are left.
 
 Equal texts are one class, by a 64-bit hash: all but that of the smallest id are removed whole.
 What repeats in a piece of a few megabytes is settled there, and only that of the smallest id is
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ from ._text import PIECE_BYTES, mix, pieces, powers
 
 DEPTH = 50
 SEED = 20
-BUCKET = 1_000_000
+BYTES = 5
+"""Bytes of a minimizer's hash that are dealt out; with the number of its bucket they tell it apart."""
+BUCKET = 1_500_000
 """Entries in a bucket of minimizers, about."""
 BUCKET_RUNS = 100_000
 """Runs in a bucket of windows, about: some sixteen windows each."""
@@ -101,155 +105,254 @@ def _keyed(key: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
     return [(int(key[a]), *[x[a:b].tobytes() for x in arrays]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _low(h: np.ndarray) -> bytes:
+    """The low BYTES bytes of each number."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
+
+
+def _high(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
+
+
+def _told(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A minimizer's hash as it can be told from its bucket and the bytes that are dealt out."""
+    return ((h // np.uint64(buckets)) & np.uint64((1 << 8 * BYTES) - 1)) * np.uint64(buckets) + h % np.uint64(buckets)
+
+
+def _owned(key: np.ndarray, owner: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes, bytes, slice]]:
+    """For each key: key, owners, how many entries each has (4 bytes), and the place of its entries in the arrays, which are reordered."""
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    for x in arrays:
+        x[:] = x[order]
+    cut = _cuts(key)
+    out = []
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        own = _cuts(owner[lo:hi])
+        count = np.diff(own)
+        out.append((int(key[lo]), owner[lo:hi][own[:-1]].tobytes(), count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes(), slice(lo, hi)))
+    return out
+
+
+def _owners(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for ids, count in zip(table.column(name).to_pylist(), table.column("count").to_pylist(), strict=True):
+        ids = np.frombuffer(ids, np.int64)
+        out.append(np.repeat(ids, np.frombuffer(count, np.uint16 if len(count) == 2 * len(ids) else np.uint32)))
+    return np.concatenate(out)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Minimizers by bucket: their hashes and the classes that have them. In bucket -1: those already seen to be shared."""
+    """Minimizers by bucket, in packed form, and the classes that have them. In bucket -1 - theirs: those already seen to be shared."""
     for batch in batches:
         ids = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, _, buf, offsets in slices(batch.column(0)):
             text, _, _, _, h = runs(buf, offsets)
-            sid = ids[lo + text]
+            sid, h = ids[lo + text], _told(h, buckets)
             order = np.lexsort((sid, h))
             h, sid = h[order], sid[order]
             keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)
             h, sid = h[keep], sid[keep]
-            cut = _cuts(h)
-            many = np.repeat(np.diff(cut) > 1, np.diff(cut))
-            rows = [(-1, h[many].tobytes(), sid[many].tobytes())] if many.any() else []
-            h, sid = h[cut[:-1]], sid[cut[:-1]]
-            rows += _keyed(((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), h, sid)
-            yield _batch(rows, ["bucket", "h", "sid"])
-
-
-def _arrays(table: pa.Table | pa.RecordBatch, **kinds: type) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()]
+            size = np.diff(_cuts(h))
+            many, first = np.repeat(size > 1, size), np.zeros(len(h), bool)
+            first[_cuts(h)[:-1]] = True
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            rows = []
+            for chosen, key in ((first, bucket), (many, -1 - bucket)):
+                part = h[chosen] // np.uint64(buckets)
+                rows += [(k, _low(part[at]), own, count) for k, own, count, at in _owned(key[chosen], sid[chosen], part)]
+            yield _batch(rows, ["bucket", "h", "sid", "count"])
 
 
-def _by_class(h: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-    return _batch(_keyed(sid, h), ["sid", "h"])
+def _by_class(bucket: int, low: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _batch(_keyed(sid, low * np.uint64(buckets) + np.uint64(bucket)), ["sid", "h"])
 
 
 def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
     """(sid, h): the minimizers, packed, that a class shares with another; several rows for a class."""
 
     def meet(table):
-        h, sid = _arrays(table, h=np.uint64, sid=np.int64)
+        h, sid = np.concatenate([_high(x) for x in table.column("h").to_pylist()]), _owners(table, "sid")
         order = np.lexsort((sid, h))
         h, sid = h[order], sid[order]
         cut = _cuts(h)
-        first = np.repeat(sid[cut[:-1]], np.diff(cut))
-        last = np.repeat(sid[cut[1:] - 1], np.diff(cut)) if len(h) else first
-        return pa.Table.from_batches([_by_class(h[first != last], sid[first != last])])
+        first, last = (np.repeat(x, np.diff(cut)) for x in (sid[cut[:-1]], sid[cut[1:] - 1]))
+        return pa.Table.from_batches([_by_class(table.column("bucket")[0].as_py(), h[first != last], sid[first != last], buckets)])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _by_class(*_arrays(batch, h=np.uint64, sid=np.int64))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield _by_class(-1 - row.column(0)[0].as_py(), _high(row.column(1)[0].as_py()), _owners(row, "sid"), buckets)
 
-    dealt = docs.select("text", "sid").mapInArrow(lambda it: _deal(it, buckets), "bucket long, h binary, sid binary")
+    dealt = docs.select("text", "sid").mapInArrow(lambda it: _deal(it, buckets), "bucket long, h binary, sid binary, count binary")
     met = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "sid long, h binary")
     return met.unionByName(dealt.where("bucket < 0").mapInArrow(known, "sid long, h binary"))
 
 
-_RUN = ["bucket", "h", "doc", "first", "place", "length", "data"]
+_RUN = ["bucket", "doc", "count", "first", "place", "length", "data"]
 
 
-def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
+def _spans(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple]:
     """Packed (first byte, end) by document."""
-    return _keyed(doc, np.stack([first, last + DEPTH], 1).astype(np.int64)) if len(doc) else []
+    return _keyed(doc, np.stack([first, end], 1).astype(np.int64)) if len(doc) else []
 
 
-def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> Iterator[pa.RecordBatch]:
     """Runs of shared minimizers with their bytes, by bucket. In bucket -1: spans already seen to go."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         ids, shared = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-        for lo, shift, buf, offsets in slices(batch.column(0)):
-            text, first, last, place, h = runs(buf, offsets)
-            keep = np.zeros(len(h), bool)
-            cut = _cuts(text)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = np.sort(np.frombuffer(b"".join(shared[lo + int(text[a])].as_py()), np.uint64))
-                at = np.minimum(np.searchsorted(own, h[a:b]), len(own) - 1)
-                keep[a:b] = own[at] == h[a:b]
-            text, first, last, place, h = text[keep], first[keep], last[keep], place[keep], h[keep]
-            doc, length = ids[lo + text], last - first + DEPTH
-            strings = [buf[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist(), strict=True)]
-            # equal runs of a piece: all but the smallest document's go, and one is dealt on
-            least: dict[tuple[bytes, int], tuple[int, int]] = {}
-            for i, key in enumerate(zip(strings, (place - first).tolist(), strict=True)):
-                d = int(doc[i])
-                if key not in least or d < least[key][0]:
-                    least[key] = (d, i)
-            mine = np.array([least[key][0] for key in zip(strings, (place - first).tolist(), strict=True)], np.int64)
-            base = shift - offsets[:-1][text]
-            gone = mine < doc
-            rows = [(-1, b"", *row) for row in [(np.int64(d).tobytes(), spans) for d, spans in _spans(doc[gone], (first + base)[gone], (last + base)[gone])]]
-            rows = [(*row, b"", b"", b"") for row in rows]
-            chosen = np.sort(np.array([i for _, i in least.values()], np.int64))
-            bucket = ((h[chosen] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            chosen, bucket = chosen[order], bucket[order]
-            cut = _cuts(bucket)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                i = chosen[a:b]
-                rows.append((int(bucket[a]), h[i].tobytes(), doc[i].astype(np.int64).tobytes(), (first + base)[i].astype(np.int64).tobytes(), (place - first)[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), b"".join(strings[x] for x in i.tolist())))
-            yield _batch(rows, _RUN)
-
-
-def radix(data: np.ndarray, at: np.ndarray, digit: np.ndarray, doc: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Which of the windows at the places at of data also start in a smaller document.
-
-    Passes go from digit, the most significant, through eight bytes at a time. After each, only groups of several documents go on.
+        for at in range(0, batch.num_rows, 1000):
+            texts = pa.array([unpack.decompress(x) for x in batch.column(0).slice(at, 1000).to_pylist()], pa.large_binary())
+            for lo, shift, buf, offsets in slices(texts):
+                lo += at
+                text, first, last, place, h = runs(buf, offsets)
+                known = _told(h, told)
+                keep = np.zeros(len(h), bool)
+                cut = _cuts(text)
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    own = np.sort(np.frombuffer(b"".join(shared[lo + int(text[a])].as_py()), np.uint64))
+                    i = np.minimum(np.searchsorted(own, known[a:b]), len(own) - 1)
+                    keep[a:b] = own[i] == known[a:b]
+                text, first, last, place, h = text[keep], first[keep], last[keep], place[keep], h[keep]
+                doc, length = ids[lo + text], last - first + DEPTH
+                strings = [buf[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+                keys = list(zip(strings, (place - first).tolist(), strict=True))
+                # equal runs of a piece: all but the smallest document's go, and one is dealt on
+                least: dict[tuple[bytes, int], int] = {}
+                for i, key in enumerate(keys):
+                    j = least.setdefault(key, i)
+                    if doc[i] < doc[j]:
+                        least[key] = i
+                mine = np.array([least[key] for key in keys], np.int64)
+                start = first + shift - offsets[:-1][text]
+                gone = doc[mine] < doc if len(doc) else np.zeros(0, bool)
+                rows = [(-1, np.int64(d).tobytes(), b"", spans, b"", b"", b"") for d, spans in _spans(doc[gone], start[gone], (start + length)[gone])]
+                # a document that has one run twice deals on both
+                chosen = np.flatnonzero(~gone)
+                bucket = ((h[chosen] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+                for k, own, count, part in _owned(bucket, doc[chosen], chosen):
+                    i = chosen[part]
+                    kind = np.uint32 if start[i].max() < 1 << 32 else np.int64
+                    rows.append((k, own, count, start[i].astype(kind).tobytes(), (place - first)[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), b"".join(strings[x] for x in i.tolist())))
+                yield _batch(rows, _RUN)
+
+
+def _passes(data: np.ndarray, at: np.ndarray, digit: np.ndarray, length: np.ndarray, several) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorts the strings of data at the given places and of the given lengths by a first digit and then eight bytes at a time.
+
+    Yields after the last pass the strings that are still alive and their groups of equals; after
+    every pass only groups that several() finds worth it stay alive.
     """
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(96, np.uint8)]), 8)
     live, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for step in range(-1, -(-depth // 8)):
+    for step in range(-1, -(-int(length.max(initial=0)) // 8)):
+        if not len(live):
+            return
         if step < 0:
             key = digit
         else:
-            width = min(8, depth - 8 * step)
-            key = np.ascontiguousarray(view[at[live] + 8 * step]).view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * (8 - width))
+            width = np.clip(length[live] - 8 * step, 0, 8)
+            key = np.ascontiguousarray(view[at[live] + 8 * step]).view(">u8").ravel().astype(np.uint64)
+            key = np.where(width == 0, np.uint64(0), key >> (8 * np.minimum(8 - width, 7)).astype(np.uint64))
         order = np.lexsort((key, group))
         live, key, group = live[order], key[order], group[order]
-        new = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1]) if len(live) else np.zeros(0, np.int64)
+        new = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1])
         count = np.diff(np.concatenate([new, [len(live)]]))
-        owner = doc[live]
-        keep = np.repeat(np.minimum.reduceat(owner, new) < np.maximum.reduceat(owner, new), count) if len(live) else np.zeros(0, bool)
+        keep = np.repeat(several(live, new, count), count)
         group = np.repeat(np.arange(len(new)), count)[keep]
         live = live[keep]
-        if not len(live):
-            break
-    out = np.zeros(len(at), bool)
     if len(live):
+        yield live, group
+
+
+def equals(data: np.ndarray, at: np.ndarray, digit: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each string, the first of its equals in the smallest document that has it. digit tells strings of different length apart."""
+    out = np.arange(len(at))
+    for live, group in _passes(data, at, digit, length, lambda live, new, count: count > 1):
+        order = np.lexsort((live, doc[live], group))
+        live, group = live[order], group[order]
         cut = _cuts(group)
-        least = np.repeat(np.minimum.reduceat(doc[live], cut[:-1]), np.diff(cut))
-        out[live] = doc[live] > least
+        out[live] = np.repeat(live[cut[:-1]], np.diff(cut))
     return out
 
 
-def removed_spans(rows: DataFrame, buckets: int) -> DataFrame:
-    """(text, doc_id, shared minimizers) -> (doc, spans): packed spans to remove; several rows for a document."""
+def repeated(data: np.ndarray, at: np.ndarray, digit: np.ndarray, doc: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Which of the windows also start in a smaller document. Groups of one document are dropped after every pass."""
+
+    def several(live, new, count):
+        owner = doc[live]
+        return np.minimum.reduceat(owner, new) < np.maximum.reduceat(owner, new)
+
+    out = np.zeros(len(at), bool)
+    for live, group in _passes(data, at, digit, np.full(len(at), depth), several):
+        cut = _cuts(group)
+        out[live] = doc[live] > np.repeat(np.minimum.reduceat(doc[live], cut[:-1]), np.diff(cut))
+    return out
+
+
+def removed_spans(rows: DataFrame, buckets: int, told: int) -> DataFrame:
+    """(packed text, doc_id, shared minimizers) -> (doc, spans): packed spans to remove; several rows for a document."""
 
     def sort(table):
-        h, doc, first, place, length, data = _arrays(table, h=np.uint64, doc=np.int64, first=np.int64, place=np.uint8, length=np.uint8, data=np.uint8)
-        length = length.astype(np.int64)
+        doc = _owners(table, "doc")
+        first = np.concatenate([np.frombuffer(f, np.uint32 if len(f) == 4 * len(p) else np.int64).astype(np.int64) for f, p in zip(table.column("first").to_pylist(), table.column("place").to_pylist(), strict=True)])
+        place, length, data = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("place", "length", "data"))
+        place, length = place.astype(np.int64), length.astype(np.int64)
         begin = np.cumsum(length) - length
-        windows = length - DEPTH + 1
-        entry = np.repeat(np.arange(len(h)), windows)
+        # whole runs first: of equal ones, those of larger documents go, and only one is cut into windows
+        head = equals(data, begin, (place * 256 + length).astype(np.uint64), length, doc)
+        whole = doc > doc[head]
+        some = np.flatnonzero(head == np.arange(len(head)))
+        windows = length[some] - DEPTH + 1
+        offset = np.zeros(len(head), np.int64)
+        offset[some] = np.cumsum(windows) - windows
+        entry = np.repeat(some, windows)
+        shift = np.arange(len(entry)) - np.repeat(offset[some], windows)
+        gone = repeated(data, begin[entry] + shift, (place[entry] - shift + DEPTH).astype(np.uint64), doc[entry])
+        # the windows of a run tell of its equals in the same document, too
+        rest = np.flatnonzero(~whole)
+        windows = length[rest] - DEPTH + 1
+        entry = np.repeat(rest, windows)
         shift = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-        digit = mix(h[entry] + (place[entry].astype(np.int64) - shift).astype(np.uint64))
-        gone = radix(data, begin[entry] + shift, digit, doc[entry])
-        start = (first[entry] + shift)[gone]
-        return pa.Table.from_batches([_batch(_spans(doc[entry][gone], start, start), ["doc", "spans"])])
+        found = gone[offset[head[entry]] + shift]
+        start = (first[entry] + shift)[found]
+        spans = _spans(np.concatenate([doc[whole], doc[entry][found]]), np.concatenate([first[whole], start]), np.concatenate([(first + length)[whole], start + DEPTH]))
+        spans = [(d, _joined(x)) for d, x in spans]
+        return pa.Table.from_batches([_batch(spans, ["doc", "spans"])])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = np.frombuffer(b"".join(batch.column("doc").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), batch.column("first")], ["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([_joined(x) for x in batch.column("first").to_pylist()], pa.binary())], ["doc", "spans"])
 
-    dealt = rows.select("text", "doc_id", "shared").mapInArrow(lambda it: _deal_runs(it, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in _RUN[1:]))
+    dealt = rows.select("packed", "doc_id", "shared").mapInArrow(lambda it: _deal_runs(it, buckets, told), "bucket long, " + ", ".join(f"{c} binary" for c in _RUN[1:]))
     sorted_ = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "doc long, spans binary")
     return sorted_.unionByName(dealt.where("bucket < 0").mapInArrow(known, "doc long, spans binary"))
 
 
+def _joined(spans: bytes) -> bytes:
+    return merged([spans]).tobytes()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, sid, n_bytes, sha (of the text), packed (the text, compressed, as it is shuffled by id)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = [x.as_buffer() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x.size for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([press.compress(x) for x in raw], pa.binary())],
+                ["doc_id", "sid", "n_bytes", "sha", "packed"],
+            )
+
+    return docs.select("doc_id", "sid", "text").mapInArrow(pack, "doc_id long, sid long, n_bytes long, sha string, packed binary")
+
+
 def merged(spans: list[bytes]) -> np.ndarray:
     """Maximal runs of covered bytes, as rows of first byte and end."""
     s = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
@@ -261,10 +364,11 @@ def merged(spans: list[bytes]) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for doc, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            raw = (text or "").encode()
+            raw = unpack.decompress(text)
             found = merged(spans)
             parts, at = [], 0
             for a, b in found.tolist():
@@ -288,22 +392,22 @@ def removal(docs: DataFrame, bucket: int = BUCKET, bucket_runs: int = BUCKET_RUN
     classes = store(named.groupBy("sid").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("n")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     spacing = (DEPTH - SEED + 2) / 2
-    found = store(shared_minimizers(named, max(1, math.ceil(total / spacing / bucket))))
+    told = max(1, math.ceil(total / spacing / bucket))
+    found = store(shared_minimizers(named, told))
     entries = found.agg(F.coalesce(F.sum(F.octet_length("h") / 8), F.lit(0.0)).alias("n")).first().n
     free_shuffles(spark)
     shared = found.groupBy("sid").agg(F.collect_list("h").alias("shared")).join(classes.select("sid", F.col("least").alias("doc_id")), "sid")
-    first = named.join(shared, ["sid", "doc_id"])
-    spans = store(removed_spans(first, max(1, math.ceil(entries / bucket_runs))))
+    first = packed(named).join(shared, ["sid", "doc_id"])
+    spans = store(removed_spans(first, max(1, math.ceil(entries / bucket_runs)), told))
     free_shuffles(spark)
     drop(found)
     ours = spans.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     ours = ours.join(classes.select(F.col("least").alias("doc"), F.col("sid").alias("__sid")), "doc")
     # a class's first document is looked up by id and text, as another row of its id may have another text
-    touched = base.join(ours, (F.col("doc_id") == F.col("doc")) & (F.col("sid") == F.col("__sid")), "left")
-    size = F.octet_length("text").cast("long")
-    cut = touched.where(F.col("spans").isNotNull()).select("doc_id", "text", "spans").mapInArrow(_cut, RESULT)
+    touched = packed(base).join(ours, (F.col("doc_id") == F.col("doc")) & (F.col("sid") == F.col("__sid")), "left")
+    cut = touched.where(F.col("spans").isNotNull()).select("doc_id", "packed", "spans").mapInArrow(_cut, RESULT)
     copy = classes.select(F.col("sid").alias("__c"), "least")
-    plain = touched.where(F.col("spans").isNull()).select("doc_id", "sid", size.alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    plain = touched.where(F.col("spans").isNull()).select("doc_id", "sid", "n_bytes", "sha")
     plain = plain.join(copy, (F.col("sid") == F.col("__c")) & (F.col("n_bytes") >= DEPTH) & (F.col("doc_id") > F.col("least")), "left")
     is_copy = F.col("least").isNotNull()
     plain = plain.select(
