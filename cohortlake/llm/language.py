@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 1500
 """Labelled texts for each language, as expected from a coin by doc_id: the bound on what is fitted."""
 MAX_LANGUAGES = 512
-MAX_CONTEXTS = 120_000
-"""Contexts in the table at most, the most frequent first; a rarer one is served by the next shorter."""
+MAX_COSTS = 16_000_000
+"""Costs in the table at most, which bounds the contexts of three bytes: the most frequent stay, a rarer one is served by the next shorter."""
 UNDETERMINED = "und"
 DEPTH = 3
 PIECE = 1 << 20
@@ -64,7 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Frozen statistics: symbols of bytes, the node of each context, the cost of each symbol in it."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_costs: int = MAX_COSTS):
         self.langs, many = langs, len(langs)
         parts = [((gram >> shift) & 255).astype(np.int64) for shift in (24, 16, 8, 0)]
         seen = np.unique(np.concatenate(parts)) if len(gram) else np.array([32])
@@ -74,6 +74,7 @@ class Model:
         s = [self.symbol[p].astype(np.int64) for p in parts]
         full = (s[0] * a + s[1]) * a + s[2]
         top, inverse = np.unique(full, return_inverse=True)
+        max_contexts = max(1, max_costs // (a * max(many, 1)))
         if len(top) > max_contexts:
             often = np.bincount(inverse, n)
             top = np.sort(top[np.argsort(-often, kind="stable")[:max_contexts]])
@@ -93,12 +94,11 @@ class Model:
             with np.errstate(divide="ignore", invalid="ignore"):
                 own = np.where(counts > 0, np.log2(total + distinct) - np.log2(counts), np.log2(total + distinct) - np.log2(distinct) + base)
             cost[first[depth] : first[depth + 1]] = np.where(total > 0, own, base)
-            shorter = self.node if depth else self.node
-            node = np.zeros(a**depth, np.int64) if depth == 0 else np.tile(shorter, a)
+            node = np.tile(self.node, a) if depth else np.zeros(1, np.int64)
             node[contexts] = first[depth] + np.arange(len(contexts))
             self.node = node
         self.node = (self.node * a).astype(np.int32)
-        self.cost = cost.reshape(-1, many)
+        self.cost = cost.reshape(len(cost) * a, many)
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths of normal texts: a row for each, a column for each language."""
@@ -121,9 +121,9 @@ class Model:
             context[3:] = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             for lo in range(0, len(rows)):
-                pass_lo, pass_hi = starts[lo] + DEPTH, ends[lo]
-                if pass_hi > pass_lo:
-                    index = self.node[context[pass_lo:pass_hi]] + s[pass_lo:pass_hi]
+                a0, a1 = starts[lo] + DEPTH, ends[lo]
+                if a1 > a0:
+                    index = self.node[context[a0:a1]] + s[a0:a1]
                     out[rows[lo]] += self.cost[index].sum(0, dtype=np.float64)
         return out
 
