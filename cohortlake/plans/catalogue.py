@@ -15,14 +15,13 @@ from cohortlake.operators.federate import Federation
 from cohortlake.operators.queries import Engine
 
 from .config import Bucket, Dimension
-from .fixtures import event_rows, events, lineitem, orders
+from .fixtures import JAN1, JAN31, event_rows, events, lineitem, orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 DAY = 86_400_000
 JAN5_6H, JAN6_6H = 1704434400000, 1704520800000
-JAN1, JAN31 = 1704067200000, 1706659200000
 
 CELLS = """
 c AS (SELECT CAST(user_id % 4 AS INTEGER) AS part, epoch_ms(ts) - epoch_ms(ts) % 86400000 AS bucket, event_id AS "offset", epoch_ms(ts) AS ts_ms, user_id AS member, event_type,

@@ -37,6 +37,8 @@ metrics:
 storage: {path: events}
 experimentalModels: {bsiDims: [], thetaSample: true, thetaSampleRate: 0.5, jointProfile: true, reorderMembers: true}
 """
+JAN1, JAN31 = 1704067200000, 1706659200000
+"""The days of the events table, in milliseconds."""
 VRAW = "  - {name: vraw, field: whole, encoding: raw_uint32}\n"
 ORDERS = """
 apiVersion: v1
