@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 from cohortlake.functions import encoders
 from cohortlake.functions.coerce import coerce, event_ms
 from cohortlake.operators import models
-from cohortlake.operators.cells import dimension_cardinality, overflow_counts
+from cohortlake.operators.cells import cells, dimension_cardinality, overflow_counts
 from cohortlake.operators.federate import Federation
 from cohortlake.operators.queries import Engine
+from cohortlake.sources.scratch import scratch
+from cohortlake.sources.store import Store
+from cohortlake.streaming.ingest import Ingest
 
 from .config import Bucket, Dimension
-from .fixtures import JAN1, JAN31, event_rows, events, lineitem, orders
+from .fixtures import JAN1, JAN31, event_config, event_rows, events, lineitem, orders, with_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,6 +178,39 @@ _register("fanout_nodes", lambda s, d: _nodes(s, d).nodes(), f"WITH {CELLS} SELE
 _register("fanout_partial", lambda s, d: Federation({f"node{i}": events(s, d).cells.where(f"part % 2 = {i}") for i in (0, 1)}, events(s, d).cfg, ["node0"]).query(None, "cardinality"), f"WITH {CELLS} SELECT count(DISTINCT (part, bucket)) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT member) AS result, 'cardinality' AS metric, false AS approx, true AS partial FROM c WHERE part % 2 = 0")
 
 
+# store and stream
+def _stored(s: SparkSession, d: str) -> Store:
+    engine = events(s, d)
+    store = Store(s, engine.cfg, scratch(s))
+    store.write(engine.cells)
+    return store
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    store = _stored(s, d)
+    store.collect_garbage(now_ms=JAN31, retention_ms=10 * DAY)
+    return store.manifest().select("part", "start_ms", "records")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The stream's answers, after every record has come in micro-batches and half of them once more."""
+    cfg, root = event_config(), scratch(s)
+    rows = s.read.parquet(f"{d}/events.parquet")
+    ingest = Ingest(Store(s, cfg, f"{root}/store"), lambda raw: cells(with_k(raw), cfg, F.pmod("user_id", F.lit(4)), F.col("event_id")))
+    rows.where("event_id % 2 = 0").write.parquet(f"{root}/in/a.parquet")
+    rows.write.parquet(f"{root}/in/b.parquet")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*.parquet")
+    ingest.start(stream, f"{root}/checkpoint").awaitTermination()
+    engine = ingest.store.engine()
+    asked = [engine.query("event_type:purchase AND event_type:error", "cardinality"), engine.query(None, "requestCount"), engine.query(None, "totalValue")]
+    return reduce(DataFrame.unionByName, asked)
+
+
+_register("store_query", lambda s, d: _stored(s, d).engine().query("event_type:purchase", "cardinality"), ORACLE_SQL["card_eq"])
+_register("manifest_prune", lambda s, d: _stored(s, d).pruned_manifest(JAN5_6H, JAN6_6H).select("part", "start_ms", "records"), f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket < {JAN6_6H} AND bucket + 86400000 > {JAN5_6H} GROUP BY part, bucket")
+_register("gc_keep", _kept, f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket + 86400000 >= {JAN31 - 10 * DAY} GROUP BY part, bucket")
+_register("stream_equals_batch", _streamed, f"({ORACLE_SQL['card_and']}) UNION ALL ({ORACLE_SQL['metric_count']}) UNION ALL ({ORACLE_SQL['metric_sum']})")
+
 # extraction
 def _coerced(s: SparkSession, d: str) -> DataFrame:
     rows = event_rows(s, d)

@@ -80,8 +80,12 @@ storage: {path: lineitem}
 """
 
 
+def with_k(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").try_cast("bigint"))
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").try_cast("bigint"))
+    return with_k(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def event_config(last_value: bool = False) -> IndexConfig:
