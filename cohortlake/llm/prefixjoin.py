@@ -428,7 +428,7 @@ def _grouped(similarity: tuple[int, int], two_sided: bool):
 
 
 def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(node, label) over the classes of active that have a link."""
+    """(node, label) over the classes of active, a stored table that is deleted, that have a link."""
     words = "transform(sequence(0, prefix - 1), i -> substring(tokens, 8 * i + 1, 8))"
     stars = active.select("sid", F.explode(F.expr(words)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
     # two levels of stars, so that no shingle's classes meet in one task
@@ -439,6 +439,7 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     sized = family.groupBy("label").agg(F.count("*").alias("size"))
     member = active.drop("prefix").join(family, F.col("sid") == F.col("node")).drop("node")
     member = store(hub_join(member, sized, "label"))
+    drop(active)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     pairs = "a long, b long"
