@@ -50,11 +50,11 @@ from ._shared import SALTS, drop, few, free_shuffles, hub_join, joinable, store
 from ._text import mix, pieces, shingles
 
 SIMILARITY = (80, 100)
-BUCKET = 1_000_000
-"""Shingles in a bucket, about: one task's memory is some 100 bytes for each."""
+BUCKET = 6_000_000
+"""Shingles in a bucket, about: one task's memory is some 30 bytes for each."""
 BLOCK = 256
 SAMPLE = 64
-"""One class in so many, by hash, is looked at for hot shingles."""
+"""One text in so many, by hash, is looked at for hot shingles."""
 HOT_SHARE = 0.002
 """A shingle in more than this share of the sampled classes (and in HOT_LEAST of them) is hot; so there are at most the mean set size / HOT_SHARE."""
 HOT_LEAST = 32
@@ -106,15 +106,11 @@ def hot_shingles(docs: DataFrame, classes: int, sample: int = SAMPLE, share: flo
         for batch in batches:
             for _, _, buf, offsets in pieces(batch.column(0)):
                 h, n, sid = sets(buf, offsets)
-                own = np.repeat(sid, n)
-                _, first = np.unique(sid, return_index=True)
-                chosen = np.zeros(len(sid), bool)
-                chosen[first] = sid[first] % np.uint64(2 * sample) == 1
-                keep = np.repeat(chosen, n)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep].view(np.int64))], ["h", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(sid, n).view(np.int64))], ["h", "sid"])
 
+    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     limit = max(least, math.ceil(share * classes / sample))
-    found = docs.select("text").mapInArrow(pick, "h long, sid long").distinct().groupBy("h").count().where(F.col("count") >= limit)
+    found = chosen.mapInArrow(pick, "h long, sid long").distinct().groupBy("h").count().where(F.col("count") >= limit)
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -213,19 +209,26 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
     """(sid, n, tokens, prefix) of the classes that may have a link: set size, shared shingles as packed
     64-bit numbers in the global order from rare to frequent, and how many of them are in the prefix."""
     hot = hot_shingles(docs, count)
-    buckets = groups = max(1, math.ceil(total / bucket))
+    buckets = max(1, math.ceil(total / bucket))
+    groups = 4 * buckets
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, shared.value), _schema(_DEALT))
 
     def meet(table):
-        h, sid = _unpack(table)
-        order = np.lexsort((sid, h))
-        h, sid = h[order], sid[order]
-        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)
-        h, sid = h[keep], sid[keep]
+        # a shingle's 40 bits and a class's number in the bucket make one number, which is sorted in place
+        counts = [(np.frombuffer(i, np.uint64), c) for i, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
+        known, number = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
+        if len(known) >> 24:
+            raise ValueError("a bucket has too many classes; make buckets smaller")
+        key = np.concatenate([_high(x) for x in table.column("h").to_pylist()]) << np.uint64(24)
+        key |= np.repeat(number.astype(np.uint64), np.concatenate([_counted(c, len(i)) for i, c in counts]))
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        h = key >> np.uint64(24)
         size = np.diff(_runs(h))
         many = np.repeat(size > 1, size)
-        return pa.Table.from_batches([_record(_pack(table.column("bucket")[0].as_py(), h[many], _rank(np.repeat(size, size)[many]), sid[many], groups), _PACKED)])
+        df = _rank(size[size > 1])
+        return pa.Table.from_batches([_record(_pack(table.column("bucket")[0].as_py(), h[many], np.repeat(df, size[size > 1]), known[(key[many] & np.uint64((1 << 24) - 1)).astype(np.int64)], groups), _PACKED)])
 
     def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,7 +487,7 @@ def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
     else:
         named = classes.select("sid", "least", F.col("sid").alias("label"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = hub_join(named, lowest, "label").select(F.col("sid").alias("__sid"), "component_id")
+    named = store(hub_join(named, lowest, "label").select(F.col("sid").alias("__sid"), "component_id"))  # a plain side, so that a class of many copies is split
     out = own.where(F.col("sid").isNotNull()).join(named, F.col("sid") == F.col("__sid"), "left")
     out = out.select("doc_id", "n", "component_id").union(own.where(F.col("sid").isNull()).select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
