@@ -19,7 +19,8 @@ dealt on, so a frequent line sends one entry a piece.
 
 Cases: a null text is empty; texts of fewer than DEPTH bytes keep all; a row with a null id is
 neither removed from nor a reason to remove; rows of one id are no reason for each other, and
-repeated rows have equal results; texts of any length are worked on in slices; extra columns are
+repeated rows have equal results; if rows of one id differ in text, what is found for one is cut
+from the other at the same places, too, as far as it reaches; texts of any length are worked on in slices; extra columns are
 not read.
 """
 
@@ -42,7 +43,7 @@ DEPTH = 50
 SEED = 20
 BYTES = 5
 """Bytes of a minimizer's hash that are dealt out; with the number of its bucket they tell it apart."""
-BUCKET = 1_500_000
+BUCKET = 6_000_000
 """Entries in a bucket of minimizers, about."""
 BUCKET_RUNS = 100_000
 """Runs in a bucket of windows, about: some sixteen windows each."""
@@ -174,12 +175,19 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
     """(sid, h): the minimizers, packed, that a class shares with another; several rows for a class."""
 
     def meet(table):
-        h, sid = np.concatenate([_high(x) for x in table.column("h").to_pylist()]), _owners(table, "sid")
-        order = np.lexsort((sid, h))
-        h, sid = h[order], sid[order]
+        # a minimizer's 40 bits and a class's number in the bucket make one number, which is sorted in place
+        known, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sid").to_pylist()]), return_inverse=True)
+        if len(known) >> 24:
+            raise ValueError("a bucket has too many classes; make buckets smaller")
+        key = np.concatenate([_high(x) for x in table.column("h").to_pylist()]) << np.uint64(24)
+        count = [np.frombuffer(c, np.uint16 if len(c) * 4 == len(x) else np.uint32) for x, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
+        key |= np.repeat(number.astype(np.uint64), np.concatenate(count))
+        key.sort()
+        h, number = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
         cut = _cuts(h)
-        first, last = (np.repeat(x, np.diff(cut)) for x in (sid[cut[:-1]], sid[cut[1:] - 1]))
-        return pa.Table.from_batches([_by_class(table.column("bucket")[0].as_py(), h[first != last], sid[first != last], buckets)])
+        several = np.repeat(number[cut[:-1]] != number[cut[1:] - 1], np.diff(cut))
+        h, sid = h[several], known[number[several]]
+        return pa.Table.from_batches([_by_class(table.column("bucket")[0].as_py(), h, sid, buckets)])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,6 +379,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = unpack.decompress(text)
             found = merged(spans)
             parts, at = [], 0
+            found = np.minimum(found, len(raw))
+            found = found[found[:, 0] < found[:, 1]]
             for a, b in found.tolist():
                 parts.append(raw[at:a])
                 at = b
