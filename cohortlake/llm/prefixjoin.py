@@ -135,13 +135,13 @@ def _counted(data: bytes, n: int) -> np.ndarray:
 
 def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("bucket", "g") else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("bucket", "salt", "g") else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed shingles for each bucket and piece of text: BYTES bytes of each, class ids, and how many each has.
 
-    A shingle is told by its bucket and those bytes. Hot ones have bucket -1 - theirs.
+    A shingle is told by its bucket and those bytes. Hot ones have bucket -1 - theirs, and a salt that keeps pieces apart.
     """
     for batch in batches:
         for _, _, buf, offsets in pieces(batch.column(0)):
@@ -161,16 +161,17 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> I
             rows = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 own = _runs(owner[lo:hi])
-                rows.append((int(bucket[lo]), _low(h[lo:hi]), sid[owner[lo:hi][own[:-1]]].tobytes(), _counts(np.diff(own))))
+                salt = int(h[0] % np.uint64(1 << 30)) if bucket[lo] < 0 else 0
+                rows.append((int(bucket[lo]), salt, _low(h[lo:hi]), sid[owner[lo:hi][own[:-1]]].tobytes(), _counts(np.diff(own))))
             yield _record(rows, _DEALT)
 
 
-_DEALT = ["bucket", "h", "sid", "count"]
+_DEALT = ["bucket", "salt", "h", "sid", "count"]
 _PACKED = ["g", "bucket", "h", "df", "sid", "count", "n"]
 
 
 def _schema(names: list[str]) -> str:
-    return ", ".join(f"{n} {'long' if n in ('bucket', 'g') else 'binary'}" for n in names)
+    return ", ".join(f"{n} {'long' if n in ('bucket', 'salt', 'g') else 'binary'}" for n in names)
 
 
 def _unpack(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +216,10 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
     dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, shared.value), _schema(_DEALT))
 
     def meet(table):
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            h, sid = _unpack(table)
+            return pa.Table.from_batches([_record(_pack(-1 - bucket, h, np.full(len(h), HOT, np.uint8), sid, groups), _PACKED)])
         # a shingle's 40 bits and a class's number in the bucket make one number, which is sorted in place
         counts = [(np.frombuffer(i, np.uint64), c) for i, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
         known, number = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
@@ -228,15 +233,7 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
         size = np.diff(_runs(h))
         many = np.repeat(size > 1, size)
         df = _rank(size[size > 1])
-        return pa.Table.from_batches([_record(_pack(table.column("bucket")[0].as_py(), h[many], np.repeat(df, size[size > 1]), known[(key[many] & np.uint64((1 << 24) - 1)).astype(np.int64)], groups), _PACKED)])
-
-    def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                h, sid = _unpack(batch.slice(i, 1))
-                rows += _pack(-1 - batch.column(0)[i].as_py(), h, np.full(len(h), HOT, np.uint8), sid, groups)
-            yield _record(rows, _PACKED)
+        return pa.Table.from_batches([_record(_pack(bucket, h[many], np.repeat(df, size[size > 1]), known[(key[many] & np.uint64((1 << 24) - 1)).astype(np.int64)], groups), _PACKED)])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +241,7 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
             group = _group(sid.view(np.uint64), groups)
             yield _record([(int(g), 0, b"", b"", sid[group == g].tobytes(), b"", n[group == g].astype(np.uint32).tobytes()) for g in np.unique(group)], _PACKED)
 
-    packed = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _schema(_PACKED))
-    if len(hot):
-        packed = packed.unionByName(dealt.where("bucket < 0").mapInArrow(hot_ones, _schema(_PACKED)))
+    packed = dealt.groupBy("bucket", "salt").applyInArrow(meet, _schema(_PACKED))
     packed = packed.unionByName(classes.select("sid", "n").mapInArrow(sizes, _schema(_PACKED)))
     num, den = similarity
 
