@@ -49,6 +49,9 @@ BUCKET_RUNS = 100_000
 """Runs in a bucket of windows, about: some sixteen windows each."""
 
 
+NUMBERS = ("bucket", "salt", "sid", "doc", "g")
+
+
 def slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, place of the slice in it, bytes, offsets): runs of rows, or slices of a long one that overlap by DEPTH - 1 bytes."""
     for lo, _, buf, offsets in pieces(text):
@@ -95,7 +98,11 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in NUMBERS else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {'long' if n in NUMBERS else 'binary'}" for n in names)
 
 
 def _keyed(key: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
@@ -145,8 +152,11 @@ def _owners(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+_DEALT = ["bucket", "salt", "h", "ids", "count"]
+
+
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Minimizers by bucket, in packed form, and the classes that have them. In bucket -1 - theirs: those already seen to be shared."""
+    """Minimizers by bucket, in packed form, and the classes that have them. In bucket -1 - theirs, by a salt for each piece: those already seen to be shared."""
     for batch in batches:
         ids = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, _, buf, offsets in slices(batch.column(0)):
@@ -163,8 +173,9 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             rows = []
             for chosen, key in ((first, bucket), (many, -1 - bucket)):
                 part = h[chosen] // np.uint64(buckets)
-                rows += [(k, _low(part[at]), own, count) for k, own, count, at in _owned(key[chosen], sid[chosen], part)]
-            yield _batch(rows, ["bucket", "h", "sid", "count"])
+                salt = int(h[0] % np.uint64(1 << 30)) if len(h) and key is not bucket else 0
+                rows += [(k, salt, _low(part[at]), own, count) for k, own, count, at in _owned(key[chosen], sid[chosen], part)]
+            yield _batch(rows, _DEALT)
 
 
 def _by_class(bucket: int, low: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -175,41 +186,55 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
     """(sid, h): the minimizers, packed, that a class shares with another; several rows for a class."""
 
     def meet(table):
+        bucket, owners = table.column("bucket")[0].as_py(), table.column("ids").to_pylist()
+        h = np.concatenate([_high(x) for x in table.column("h").to_pylist()])
+        if bucket < 0:
+            return pa.Table.from_batches([_by_class(-1 - bucket, h, _owners(table, "ids"), buckets)])
         # a minimizer's 40 bits and a class's number in the bucket make one number, which is sorted in place
-        known, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sid").to_pylist()]), return_inverse=True)
+        known, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in owners]), return_inverse=True)
         if len(known) >> 24:
             raise ValueError("a bucket has too many classes; make buckets smaller")
-        key = np.concatenate([_high(x) for x in table.column("h").to_pylist()]) << np.uint64(24)
-        count = [np.frombuffer(c, np.uint16 if len(c) * 4 == len(x) else np.uint32) for x, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
+        key = h << np.uint64(24)
+        count = [np.frombuffer(c, np.uint16 if len(c) * 4 == len(x) else np.uint32) for x, c in zip(owners, table.column("count").to_pylist(), strict=True)]
         key |= np.repeat(number.astype(np.uint64), np.concatenate(count))
         key.sort()
         h, number = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
         cut = _cuts(h)
         several = np.repeat(number[cut[:-1]] != number[cut[1:] - 1], np.diff(cut))
-        h, sid = h[several], known[number[several]]
-        return pa.Table.from_batches([_by_class(table.column("bucket")[0].as_py(), h, sid, buckets)])
+        return pa.Table.from_batches([_by_class(bucket, h[several], known[number[several]], buckets)])
+
+    dealt = docs.select("text", "sid").mapInArrow(lambda it: _deal(it, buckets), _schema(_DEALT))
+    return dealt.groupBy("bucket", "salt").applyInArrow(meet, "sid long, h binary")
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield _by_class(-1 - row.column(0)[0].as_py(), _high(row.column(1)[0].as_py()), _owners(row, "sid"), buckets)
 
-    dealt = docs.select("text", "sid").mapInArrow(lambda it: _deal(it, buckets), "bucket long, h binary, sid binary, count binary")
-    met = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "sid long, h binary")
-    return met.unionByName(dealt.where("bucket < 0").mapInArrow(known, "sid long, h binary"))
+_RUN = ["bucket", "salt", "ids", "count", "first", "place", "length", "data"]
 
 
-_RUN = ["bucket", "doc", "count", "first", "place", "length", "data"]
+_SPANS = ["g", "ids", "count", "spans"]
 
 
-def _spans(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple]:
-    """Packed (first byte, end) by document."""
-    return _keyed(doc, np.stack([first, end], 1).astype(np.int64)) if len(doc) else []
+def union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes that spans of documents cover, in order of document and place."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, start, end
+    turn = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 40  # documents one after the other
+    reach = np.maximum.accumulate(end + turn)
+    new = np.concatenate([[True], (start + turn)[1:] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:], [len(doc)]]) - 1
+    return doc[new], start[new], (reach - turn)[last]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> list[tuple]:
+    """Spans, packed by group of documents: group, documents, how many spans each has, (first byte, end)."""
+    doc, start, end = union(doc, start, end)
+    pair = np.stack([start, end], 1).astype(np.int64)
+    return [(g, own, count, pair[at].tobytes()) for g, own, count, at in _owned(doc % groups, doc, pair)] if len(doc) else []
 
 
 def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> Iterator[pa.RecordBatch]:
-    """Runs of shared minimizers with their bytes, by bucket. In bucket -1: spans already seen to go."""
+    """Runs of shared minimizers with their bytes, by bucket. In bucket -1, by a salt for each piece: runs already seen to go, without bytes."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         ids, shared = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
@@ -238,14 +263,15 @@ def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> It
                 mine = np.array([least[key] for key in keys], np.int64)
                 start = first + shift - offsets[:-1][text]
                 gone = doc[mine] < doc if len(doc) else np.zeros(0, bool)
-                rows = [(-1, np.int64(d).tobytes(), b"", spans, b"", b"", b"") for d, spans in _spans(doc[gone], start[gone], (start + length)[gone])]
                 # a document that has one run twice deals on both
-                chosen = np.flatnonzero(~gone)
-                bucket = ((h[chosen] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-                for k, own, count, part in _owned(bucket, doc[chosen], chosen):
-                    i = chosen[part]
-                    kind = np.uint32 if start[i].max() < 1 << 32 else np.int64
-                    rows.append((k, own, count, start[i].astype(kind).tobytes(), (place - first)[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), b"".join(strings[x] for x in i.tolist())))
+                rows = []
+                for some, key, salt in ((gone, np.full(len(h), -1), int(h[0] % np.uint64(1 << 30)) if len(h) else 0), (~gone, ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), 0)):
+                    chosen = np.flatnonzero(some)
+                    for k, own, count, part in _owned(key[chosen], doc[chosen], chosen):
+                        i = chosen[part]
+                        kind = np.uint32 if start[i].max() < 1 << 32 else np.int64
+                        data = b"".join(strings[x] for x in i.tolist()) if k >= 0 else b""
+                        rows.append((k, salt, own, count, start[i].astype(kind).tobytes(), (place - first)[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), data))
                 yield _batch(rows, _RUN)
 
 
@@ -303,13 +329,16 @@ def repeated(data: np.ndarray, at: np.ndarray, digit: np.ndarray, doc: np.ndarra
 
 
 def removed_spans(rows: DataFrame, buckets: int, told: int) -> DataFrame:
-    """(packed text, doc_id, shared minimizers) -> (doc, spans): packed spans to remove; several rows for a document."""
+    """(packed text, doc_id, shared minimizers) -> (doc, spans): what to remove of each document that something is removed of."""
+    groups = max(1, buckets // 4)
 
     def sort(table):
-        doc = _owners(table, "doc")
+        doc = _owners(table, "ids")
         first = np.concatenate([np.frombuffer(f, np.uint32 if len(f) == 4 * len(p) else np.int64).astype(np.int64) for f, p in zip(table.column("first").to_pylist(), table.column("place").to_pylist(), strict=True)])
         place, length, data = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("place", "length", "data"))
         place, length = place.astype(np.int64), length.astype(np.int64)
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.Table.from_batches([_batch(_spans(doc, first, first + length, groups), _SPANS)])
         begin = np.cumsum(length) - length
         # whole runs first: of equal ones, those of larger documents go, and only one is cut into windows
         head = equals(data, begin, (place * 256 + length).astype(np.uint64), length, doc)
@@ -328,22 +357,19 @@ def removed_spans(rows: DataFrame, buckets: int, told: int) -> DataFrame:
         shift = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
         found = gone[offset[head[entry]] + shift]
         start = (first[entry] + shift)[found]
-        spans = _spans(np.concatenate([doc[whole], doc[entry][found]]), np.concatenate([first[whole], start]), np.concatenate([(first + length)[whole], start + DEPTH]))
-        spans = [(d, _joined(x)) for d, x in spans]
-        return pa.Table.from_batches([_batch(spans, ["doc", "spans"])])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = np.frombuffer(b"".join(batch.column("doc").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([_joined(x) for x in batch.column("first").to_pylist()], pa.binary())], ["doc", "spans"])
+        spans = _spans(np.concatenate([doc[whole], doc[entry][found]]), np.concatenate([first[whole], start]), np.concatenate([(first + length)[whole], start + DEPTH]), groups)
+        return pa.Table.from_batches([_batch(spans, _SPANS)])
 
-    dealt = rows.select("packed", "doc_id", "shared").mapInArrow(lambda it: _deal_runs(it, buckets, told), "bucket long, " + ", ".join(f"{c} binary" for c in _RUN[1:]))
-    sorted_ = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(sort, "doc long, spans binary")
-    return sorted_.unionByName(dealt.where("bucket < 0").mapInArrow(known, "doc long, spans binary"))
+    def gather(table):
+        doc = _owners(table, "ids")
+        pair = np.frombuffer(b"".join(table.column("spans").to_pylist()), np.int64).reshape(-1, 2)
+        doc, start, end = union(doc, pair[:, 0], pair[:, 1])
+        pair, cut = np.stack([start, end], 1), _cuts(doc)
+        return pa.Table.from_batches([_batch([(int(doc[a]), pair[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], ["doc", "spans"])])
 
-
-def _joined(spans: bytes) -> bytes:
-    return merged([spans]).tobytes()
+    dealt = rows.select("packed", "doc_id", "shared").mapInArrow(lambda it: _deal_runs(it, buckets, told), _schema(_RUN))
+    found = dealt.groupBy("bucket", "salt").applyInArrow(sort, _schema(_SPANS))
+    return found.groupBy("g").applyInArrow(gather, "doc long, spans binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -361,23 +387,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "sid", "text").mapInArrow(pack, "doc_id long, sid long, n_bytes long, sha string, packed binary")
 
 
-def merged(spans: list[bytes]) -> np.ndarray:
-    """Maximal runs of covered bytes, as rows of first byte and end."""
-    s = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
-    s = s[np.argsort(s[:, 0], kind="stable")]
-    end = np.maximum.accumulate(s[:, 1])
-    new = np.concatenate([[True], s[1:, 0] > end[:-1]])
-    last = np.concatenate([np.flatnonzero(new)[1:], [len(s)]]) - 1
-    return np.stack([s[new, 0], end[last]], 1)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for doc, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             raw = unpack.decompress(text)
-            found = merged(spans)
+            found = np.frombuffer(spans, np.int64).reshape(-1, 2)
             parts, at = [], 0
             found = np.minimum(found, len(raw))
             found = found[found[:, 0] < found[:, 1]]
@@ -411,8 +427,7 @@ def removal(docs: DataFrame, bucket: int = BUCKET, bucket_runs: int = BUCKET_RUN
     spans = store(removed_spans(first, max(1, math.ceil(entries / bucket_runs)), told))
     free_shuffles(spark)
     drop(found)
-    ours = spans.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
-    ours = ours.join(classes.select(F.col("least").alias("doc"), F.col("sid").alias("__sid")), "doc")
+    ours = spans.join(classes.select(F.col("least").alias("doc"), F.col("sid").alias("__sid")), "doc")
     # a class's first document is looked up by id and text, as another row of its id may have another text
     touched = packed(base).join(ours, (F.col("doc_id") == F.col("doc")) & (F.col("sid") == F.col("__sid")), "left")
     cut = touched.where(F.col("spans").isNotNull()).select("doc_id", "packed", "spans").mapInArrow(_cut, RESULT)
