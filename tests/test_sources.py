@@ -111,3 +111,18 @@ def test_command_line(tmp_path, capsys):
     assert main(["--config", str(good)]) == 0
     assert "4 metrics" in capsys.readouterr().out
     assert main(["-c", str(bad)]) == 2
+
+
+def test_windows_close_after_the_watermark(spark, tmp_path):
+    import datetime
+
+    from cohortlake.streaming.ingest import open_segments
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(at + datetime.timedelta(minutes=m), m % 3) for m in (1, 2, 59, 61, 300)]
+    spark.createDataFrame(rows, "ts timestamp, member long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, member long").parquet(str(tmp_path / "in"))
+    query = open_segments(stream, "1 hour", "10 minutes").writeStream.outputMode("append").format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.records, r.members) for r in spark.sql("SELECT records, bitmap_count(members) AS members FROM closed").collect())
+    assert got == [(1, 1), (3, 2)]
