@@ -86,8 +86,14 @@ class Engine:
             if metric.field != self.cfg.member.field:
                 raise UnsupportedQuery(f"{agg} is a sketch of {metric.field}, which no filter or slice can be applied to")
         hits = self.flagged(rows, tree, canonical)
-        exact = F.count_distinct(F.when(F.col("hit"), F.col("member"))) if agg != "count" else F.count_if("hit")
-        return self._row(hits.agg(F.count_distinct(F.struct(*SEGMENT)).alias("segments"), F.count_if("hit").alias("matched"), exact.alias("result")), agg)
+        # each shuffle has one key: two distinct counts in one would expand every row
+        zero = F.lit(0).cast("bigint")
+        by = hits.groupBy("member").agg(F.count_if("hit").alias("n")) if agg != "count" else hits.select(F.col("hit").cast("bigint").alias("n"))
+        result = F.count_if(F.col("n") > 0)
+        found = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched"), result.alias("result"))
+        segments = rows.select(*SEGMENT).distinct().agg(F.count("*").alias("segments"))  # reads two columns
+        both = segments.select("segments", zero.alias("matched"), zero.alias("result")).union(found.select(zero.alias("segments"), "matched", "result"))
+        return self._row(both.agg(*[F.sum(c).alias(c) for c in ("segments", "matched", "result")]), agg)
 
     @staticmethod
     def _row(df: DataFrame, agg: str, approx: bool = False) -> DataFrame:
