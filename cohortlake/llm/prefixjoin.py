@@ -427,7 +427,7 @@ def _grouped(similarity: tuple[int, int], two_sided: bool):
 
 def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, label) over the classes of active, a stored table that is deleted, that have a link."""
-    words = "transform(sequence(0, prefix - 1), i -> substring(tokens, 8 * i + 1, 8))"
+    words = "transform(sequence(0, prefix - 1), i -> xxhash64(substring(tokens, 8 * i + 1, 8)))"
     stars = active.select("sid", F.explode(F.expr(words)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
     # two levels of stars, so that no shingle's classes meet in one task
     inner = stars.groupBy("t", "salt").agg(F.min("sid").alias("b"))
@@ -435,6 +435,7 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     stars = stars.join(inner, ["t", "salt"]).select(F.col("sid").alias("a"), "b").union(inner.join(outer, "t").select(F.col("b").alias("a"), F.col("top").alias("b")))
     family = components(stars.where("a <> b").distinct())
     sized = family.groupBy("label").agg(F.count("*").alias("size"))
+    family = joinable(store(family))  # if small, the sets stay where they are
     member = active.drop("prefix").join(family, F.col("sid") == F.col("node")).drop("node")
     member = store(hub_join(member, sized, "label"))
     drop(active)
