@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 """So many bytes of text are worked on at once; only a single longer text makes a larger piece."""
 
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
