@@ -43,12 +43,17 @@ def normal(text: str) -> str:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte windows of the texts, each after three spaces, as numbers, and their counts."""
-    raw = np.frombuffer(b"".join(b"   " + t.encode() for t in texts), np.uint8).astype(np.uint32)
+    """Four-byte windows of the texts as numbers, and their counts. Each text begins after three spaces, which are context alone."""
+    padded = [b"   " + t.encode() for t in texts]
+    raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
     if len(raw) <= DEPTH:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    own = np.ones(len(raw), bool)
+    starts = np.cumsum([0] + [len(x) for x in padded[:-1]])
+    for i in range(DEPTH):
+        own[starts + i] = False
     coded = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    return np.unique(coded, return_counts=True)
+    return np.unique(coded[own[3:]], return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
