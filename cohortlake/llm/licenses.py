@@ -5,18 +5,21 @@ window has BANDS MinHash values, each a band of its own: with bands of one row,
 template window of Jaccard similarity s collide with probability 1 - (1 - s) ** BANDS. A notice
 of a single shingle is half of a window, which collides with 0.992, and lies in two windows; a
 longer notice that is kept whole in any two shingles on end has a window like its template's and
-collides for certain. Templates whose bands collide are verified by the exact share of their
+collides for certain. A notice of fewer words than five is one shingle of its own number of words;
+it is looked up by its hash among all shingles of so many words, so it is found for certain
+wherever it stands. Templates whose bands or hash collide are verified by the exact share of their
 shingles, as words, that the document has. Only DataFrame functions run. Nothing but the matches
 is shuffled; the templates are constants of the plan.
 
 Words are those between white space, in lower case. Cases: null and empty texts carry none; a
-text of fewer words than five is one shingle; a notice is reported once for a doc_id, however
+text of fewer words than five is one shingle beside long notices; a notice is reported once for a doc_id, however
 often its text or its repeated rows have it; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -52,6 +55,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("all-rights-reserved", "All rights reserved."),
+    ("all-rights-reserved", "All rights reserved"),
 )
 
 
@@ -59,21 +64,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def hashed(df: DataFrame) -> DataFrame:
-    """df with __h, hashes of the shingles of __w in order.
+def short_widths(notices: tuple[tuple[str, str], ...]) -> list[int]:
+    """The numbers of words of the notices that have fewer than SHINGLE."""
+    return sorted({n for _, text in notices if 0 < (n := len(re.findall("[^\\x20\\x09-\\x0D]+", text))) < SHINGLE})
+
+
+def hashed(df: DataFrame, widths: list[int]) -> DataFrame:
+    """df with __h, hashes of the shingles of __w in order, and for each n of widths __n{n}, those of its n-word shingles.
 
     What a lambda refers to is computed for each element anew, so each step is a column of its own.
     """
     each = df.withColumn("__e", F.transform("__w", lambda w: F.xxhash64(w)))
-    whole = F.transform(F.sequence(F.lit(0), F.size("__e") - SHINGLE), lambda i: F.xxhash64(*[F.get("__e", i + j) for j in range(SHINGLE)]))
-    short = F.when(F.size("__e") > 0, F.array(F.xxhash64(F.concat_ws(" ", "__w")))).otherwise(F.array().cast("array<bigint>"))
-    return each.withColumn("__h", F.when(F.size("__e") >= SHINGLE, whole).otherwise(short)).drop("__e")
+    none = F.array().cast("array<bigint>")
+    whole = lambda n: F.transform(F.sequence(F.lit(0), F.size("__e") - n), lambda i: F.xxhash64(*[F.get("__e", i + j) for j in range(n)]))
+    short = F.when(F.size("__e") > 0, F.array(F.xxhash64(F.concat_ws(" ", "__w")))).otherwise(none)
+    narrow = {f"__n{n}": F.when(F.size("__e") >= n, whole(n)).otherwise(none) for n in widths}
+    return each.withColumns({"__h": F.when(F.size("__e") >= SHINGLE, whole(SHINGLE)).otherwise(short)} | narrow).drop("__e")
 
 
-def shingles(words: Column) -> Column:
-    """The shingles as words."""
-    whole = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
-    return F.array_distinct(F.when(F.size(words) >= SHINGLE, whole).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
+def shingles(words: Column, width: Column) -> Column:
+    """The shingles of width words, as words."""
+    whole = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+    return F.array_distinct(F.when(F.size(words) >= width, whole).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
 
 
 def banded(df: DataFrame, seeds: list[int]) -> tuple[DataFrame, list[Column]]:
@@ -95,12 +107,15 @@ def _seeds(spark: SparkSession, bands: int) -> list[int]:
 
 
 def templates(spark: SparkSession, seeds: list[int], notices: tuple[tuple[str, str], ...] = TEMPLATES) -> list:
-    """Each notice with its shingles and band values; as many rows as there are notices."""
+    """Each notice with the width of its shingles, its shingles, band values and, if it is short, hash; as many rows as there are notices."""
     quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "\\'")) for i, (name, text) in enumerate(notices))
     w = words(F.col("text"))
     rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(n, name, text)")
-    rows, bands = banded(hashed(rows.withColumn("__w", w)), seeds)
-    return rows.select("n", "name", shingles(F.col("__w")).alias("shingles"), F.array(*bands).alias("bands")).orderBy("n").collect()
+    widths = short_widths(notices)
+    rows, bands = banded(hashed(rows.withColumn("__w", w), widths), seeds)
+    width = F.when(F.size("__w").isin(widths), F.size("__w")).otherwise(SHINGLE)
+    short = reduce(lambda rest, n: F.when(F.size("__w") == n, F.get(f"__n{n}", F.lit(0))).otherwise(rest), widths, F.lit(None).cast("long"))
+    return rows.select("n", "name", width.alias("width"), shingles(F.col("__w"), width).alias("shingles"), F.array(*bands).alias("bands"), short.alias("short")).orderBy("n").collect()
 
 
 def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, n_bands: int = BANDS) -> DataFrame:
@@ -109,14 +124,18 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = TEMPLATES, cont
     seeds = _seeds(spark, n_bands)
     known = templates(spark, seeds, notices)
     longs = lambda values: F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<bigint>")
-    table = [t.asDict() | {"bands": sorted({v for band in t["bands"] for v in band})} for t in known]
-    table = F.from_json(F.lit(json.dumps(table)), "array<struct<n long, name string, bands array<bigint>, shingles array<string>>>")
-    rows, own = banded(hashed(docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("__w"))), seeds)
-    hits = F.concat(*[F.array_intersect(band, longs({v for t in known for v in t["bands"][k]})) for k, band in enumerate(own)])
+    keys = lambda t: {v for band in t["bands"] for v in band} if t["short"] is None else {t["short"]}
+    table = [{"n": t["n"], "name": t["name"], "width": t["width"], "bands": sorted(keys(t)), "shingles": t["shingles"]} for t in known]
+    table = F.from_json(F.lit(json.dumps(table)), "array<struct<n long, name string, width int, bands array<bigint>, shingles array<string>>>")
+    widths = short_widths(notices)
+    rows, own = banded(hashed(docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("__w")), widths), seeds)
+    wanted = [(band, {v for t in known if t["short"] is None for v in t["bands"][k]}) for k, band in enumerate(own)]
+    wanted += [(F.col(f"__n{n}"), {t["short"] for t in known if t["short"] is not None and t["width"] == n}) for n in widths]
+    hits = F.concat(*[F.array_intersect(band, longs(values)) for band, values in wanted if values])
     rows = rows.select("doc_id", "__w", hits.alias("__hit"))
     retrieved = F.when(F.size("__hit") > 0, F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("__hit"))))
     # outer, so that the planner infers no filter below, which would compute all of this twice
     rows = rows.select("doc_id", "__w", F.explode_outer(retrieved).alias("__t")).where(F.col("__t").isNotNull())
-    shared = F.size(F.array_intersect(F.col("__t.shingles"), shingles(F.col("__w"))))
+    shared = F.size(F.array_intersect(F.col("__t.shingles"), shingles(F.col("__w"), F.col("__t.width"))))
     rows = rows.select("doc_id", F.col("__t.name").alias("license"), F.col("__t.n").alias("notice"), shared.cast("long").alias("shared"), F.size("__t.shingles").cast("long").alias("notice_shingles"))
     return rows.where(F.col("shared") >= F.lit(containment) * F.col("notice_shingles")).distinct()

@@ -116,6 +116,19 @@ def test_licenses(frame):
     assert licenses.scan(frame((1, "a")).where("false")).count() == 0
 
 
+def test_short_notices_are_found_in_longer_texts(frame):
+    own = {licenses.TEMPLATES[n][1]: n for n in range(len(licenses.TEMPLATES))}
+    dot, bare = own["All rights reserved."], own["All rights reserved"]
+    texts = {1: "one two three four five six seven.\nAll rights reserved.", 2: "ALL  RIGHTS\treserved.", 3: "of all rights reserved here by nobody at all", 4: "all rights are reserved. so it is", 5: "rights reserved.", 6: "x All rights reserved.", 7: "All rights reserved. " * 200, 8: None, 9: "", 10: "w " * 9_000 + "All rights reserved. " + "w " * 9_000}
+    got = licenses.scan(frame(*texts.items())).collect()
+    assert sorted((r.doc_id, r.notice) for r in got) == [(1, dot), (2, dot), (3, bare), (6, dot), (7, dot), (10, dot)]
+    assert {(r.shared, r.notice_shingles) for r in got} == {(1, 1)}
+    few = (("a", "one"), ("b", "one two"), ("c", "two three four five"), ("d", "one two three four five six"))
+    got = licenses.scan(frame((1, "zero one two three four five six"), (2, "one"), (3, "two three four five"), (4, "two one")), few)
+    assert sorted((r.doc_id, r.license) for r in got.collect()) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "a"), (3, "c"), (4, "a")]
+    assert [r.doc_id for r in licenses.scan(frame((1, "x one"), (2, "two")), few[:1]).collect()] == [1]
+
+
 TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hé"), (1, 2, "bob", "hé"), (1, 3, None, "?"), (2, None, "ann", None), (3, 0, "system", "alone"), (None, 0, "eve smith", "lost")]
 
 
