@@ -4,8 +4,9 @@ Items are partitioned by the size of their shingle set into powers of two. In th
 size s, documents are cut into windows of 2s shingles every s shingles, so an item lies whole in
 some window and the Jaccard similarity of the two has a floor. The number of MinHash bands (of
 one row) is chosen for each partition from that floor, so that a window that contains the least
-wanted share of an item collides with it with a probability of at least COLLISION. Minima over
-blocks are shared by the windows and the partitions. What collides is verified by the exact
+wanted share of an item collides with it with a probability of at least COLLISION. A
+band's order of shingles is that of their hashes mixed anew with its seed, so that bands are
+independent. Minima over blocks are shared by the windows and the partitions. What collides is verified by the exact
 share of the item's five-word shingles, as words, that the whole document has.
 
 One pass over the documents serves PART items, which are broadcast; more items than that are
@@ -61,7 +62,7 @@ class Index:
             bands = self.bands[size] = max(2, math.ceil(math.log(1 - collision) / math.log(1 - floor)))
             self.values[size] = []
             for seed in self.seeds(bands):
-                value = np.array([(hashed[i] ^ seed).min() for i in items], np.uint64)
+                value = np.array([mix(hashed[i] ^ seed).min() for i in items], np.uint64)
                 order = np.argsort(value, kind="stable")
                 near = np.zeros(1 << _FILTER_BITS, bool)
                 near[(value >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -90,7 +91,7 @@ class Index:
         nth = np.arange(len(text)) - block[text]
         for k, seed in enumerate(self.seeds(max(self.bands.values()))):
             grid = np.full(len(text) * least, np.iinfo(np.uint64).max, np.uint64)
-            grid[slot] = h ^ seed
+            grid[slot] = mix(h ^ seed)
             low = grid.reshape(-1, least).min(1)
             at, number = text, nth
             for size in range(int(math.log2(least)), int(math.log2(self.sizes[-1])) + 1):

@@ -152,6 +152,28 @@ def test_decontamination(frame, spark):
     assert decontamination.clean(frame((1, "a")), none).count() == 1
 
 
+@pytest.mark.parametrize("n", [5, 8])
+def test_small_items_are_found_as_often_as_stated(n):
+    import numpy as np
+    import pyarrow as pa
+    from cohortlake.llm._text import pieces
+
+    rnd, missed, trials = random.Random(n), 0, 0
+    for _ in range(4):  # new items, as the seeds are fixed
+        items = [" ".join(f"i{rnd.getrandbits(40)}" for _ in range(n)) for _ in range(1000)]
+        index = decontamination.Index(list(range(1000)), items)
+        texts = []
+        for item in items:
+            rest = [f"w{rnd.getrandbits(40)}" for _ in range(404 - n)]
+            at = rnd.randrange(len(rest))
+            texts.append(" ".join([*rest[:at], item, *rest[at:]]))
+        for lo, hi, buf, offsets in pieces(pa.array(texts, pa.large_string())):
+            found = index.candidates(buf, np.asarray(offsets))
+            missed += sum((i - lo, i) not in found for i in range(lo, hi))
+            trials += hi - lo
+    assert trials == 4000 and missed <= (1 - decontamination.COLLISION) * trials
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_top_k(spark, block):
     rnd = np.random.default_rng(2)
