@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Only where it is unset (tests) is a local one set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='cohortlake-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder in spark.checkpoint.dir, which all executors see; where that is unset, as in tests, one in the warehouse, which they see, too."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return path.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    mark = ""
+    while any((n + mark).lower() in taken for n in names):
+        mark += "_"
+    return [n + mark for n in names]
+
+
 def store(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage."""
     spark = df.sparkSession
@@ -62,15 +67,25 @@ def joinable(df: DataFrame) -> DataFrame:
 
 
 SALTS = 32
+"""A key's rows are dealt over so many tasks at least."""
+SALT_ROWS = 20_000_000
+"""A table of more rows than SALTS times this is dealt over more, so that a key with a third of all rows gives no task more than some SALT_ROWS."""
+
+
+def salts(rows: int) -> int:
+    return max(SALTS, -(-rows // (3 * SALT_ROWS)))
+
 
+def hub_join(many: DataFrame, one: DataFrame, key: str, rows: int = 0) -> DataFrame:
+    """many (of about so many rows) joined with the one row of each key: by broadcast if a count proves one small, else
+    with the rows of a key dealt over salts(rows) tasks and one repeated for each, so that a key with a large share of many is split.
 
-def hub_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many joined with the one row of each key: by broadcast if a count proves one small, else with the rows of
-    a key dealt over SALTS tasks and one repeated for each, so that a key with a large share of many is split."""
+    one is a stored table, as the count and the join both read it."""
     if few(one):
         return many.join(F.broadcast(one), key)
-    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
-    repeated = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    n = salts(rows)
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(n)))
+    repeated = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return salted.join(repeated, [key, "__salt"]).drop("__salt")
 
 

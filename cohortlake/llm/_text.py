@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
 PIECE_BYTES = 1_000_000
-"""So many bytes of text are worked on at once; only a single longer text makes a larger piece."""
+"""So many bytes of text are worked on at once; only a single longer text makes a larger piece, whose words are hashed in slices."""
 
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,6 +64,28 @@ def pieces(text: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int,
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased (A-Z) texts, the text that each belongs to, words in each text."""
+    if len(offsets) == 2 and len(buf) > 2 * PIECE_BYTES:
+        hashed = np.concatenate([_words(buf[a:b], np.array([0, b - a]))[0] for a, b in pairwise(_cut_at_gaps(buf))])
+        return hashed, np.zeros(len(hashed), np.int64), np.array([len(hashed)])
+    return _words(buf, offsets)
+
+
+def _cut_at_gaps(buf: np.ndarray) -> list[int]:
+    """Places that cut a long text into slices of about PIECE_BYTES, each before a separator."""
+    out = [0]
+    while len(buf) - out[-1] > 2 * PIECE_BYTES:
+        at = out[-1] + PIECE_BYTES
+        while at < len(buf):
+            gap = np.flatnonzero(_SEPARATOR[buf[at : at + PIECE_BYTES]])
+            if len(gap):
+                at += int(gap[0])
+                break
+            at += PIECE_BYTES
+        out.append(min(at, len(buf)))
+    return out if out[-1] == len(buf) else [*out, len(buf)]
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = _LOWER[buf]
     inside = ~_SEPARATOR[low]
     size = np.diff(offsets)
@@ -89,23 +113,48 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
     text = np.repeat(np.arange(len(count)), n)
     start = at[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     padded = np.concatenate([hashed, np.zeros(k, np.uint64)])
-    short = (count < k)[text]
-    power, _ = powers(k + 1)
     out = np.zeros(len(text), np.uint64)
-    for j in range(k):
-        part = padded[start + j] * power[j + 1]
+    power, _ = powers(k + 1)
+    for lo in range(0, len(text), PIECE_BYTES):
+        at, own = start[lo : lo + PIECE_BYTES], count[text[lo : lo + PIECE_BYTES]]
+        short = own < k
+        total = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            part = padded[at + j] * power[j + 1]
+            if short.any():
+                part = np.where(short & (j >= own), np.uint64(0), part)
+            total += part
         if short.any():
-            part = np.where(short & (j >= count[text]), np.uint64(0), part)
-        out += part
-    if short.any():
-        out = np.where(short, out + count[text].astype(np.uint64), out)
-    return mix(out + np.uint64(k)), text
-
-
-def plain_shingles(text: str | None, k: int = SHINGLE) -> set[tuple[str, ...]]:
-    """The same shingles as tuples of words, for exact checks."""
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "") if not (text or "").isascii() else (text or "").lower()
-    for c in "\t\n\x0b\x0c\r":
-        low = low.replace(c, " ")
-    w = [x for x in low.split(" ") if x]
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+            total = np.where(short, total + own.astype(np.uint64), total)
+        out[lo : lo + PIECE_BYTES] = mix(total + np.uint64(k))
+    return out, text
+
+
+_GAP = re.compile("[ \t-\r]")
+_CAPITALS = {c: c + 32 for c in range(65, 91)}
+
+
+def word_runs(text: str | None, k: int = SHINGLE, limit: int = PIECE_BYTES) -> Iterator[list[str]]:
+    """The words of a text, A-Z in lower case, in runs that overlap by k - 1 words, so that a long text is never held as words."""
+    text, at, before = text or "", 0, []
+    while at < len(text):
+        gap = _GAP.search(text, at + limit)
+        end = gap.start() if gap else len(text)
+        low = text[at:end]
+        low = low.lower() if low.isascii() else low.translate(_CAPITALS)
+        run = before + [w for w in _GAP.sub(" ", low).split(" ") if w]
+        yield run
+        before, at = run[-(k - 1) :], end
+
+
+def plain_shingles(text: str | None, k: int = SHINGLE, wanted: set[tuple[str, ...]] | None = None) -> set[tuple[str, ...]]:
+    """The same shingles as tuples of words, for exact checks; with wanted, only those among them."""
+    out: set[tuple[str, ...]] = set()
+    words: list[str] | None = []
+    for run in word_runs(text, k):
+        found = zip(*[run[i:] for i in range(k)], strict=False)
+        out.update(found if wanted is None else wanted.intersection(found))
+        words = run if words is not None and len(run) < k else None
+    if words:  # never so many as k
+        out = {tuple(words)} if wanted is None else wanted & {tuple(words)}
+    return out

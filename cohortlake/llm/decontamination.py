@@ -9,12 +9,13 @@ band's order of shingles is that of their hashes mixed anew with its seed, so th
 independent. Minima over blocks are shared by the windows and the partitions. What collides is verified by the exact
 share of the item's five-word shingles, as words, that the whole document has.
 
-One pass over the documents serves PART items, which are broadcast; more items than that are
-dealt into several parts by hash, and a pass is made for each.
+One pass over the documents serves PART items or PART_BYTES of them, which are broadcast; more
+items than that are dealt into several parts by hash, and a pass is made for each.
 
 Cases: null and empty texts on either side match nothing; items of fewer than five words are one
 shingle of all their words, and match documents that are just that; repeated items and documents
-match each for itself; extra columns are not read.
+match each for itself; very long documents are searched whole, their words in slices; extra
+columns are kept or not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from ._text import mix, pieces, plain_shingles, shingles
 CONTAINMENT = 0.8
 COLLISION = 0.995
 PART = 20_000
+PART_BYTES = 32 << 20
 SMALLEST = 4
 _FILTER_BITS = 18
 
@@ -120,19 +122,20 @@ class Index:
             for t, item in sorted(self.candidates(buf, offsets)):
                 by[t].append(item)
             for t, items in by.items():
-                found = plain_shingles(text[lo + t].as_py())
+                found = plain_shingles(text[lo + t].as_py(), wanted=set().union(*[self.sets[i] for i in items]))
                 for item in items:
                     shared = len(self.sets[item] & found)
                     if shared >= self.containment * len(self.sets[item]) - 1e-9:
                         yield lo + t, item, shared
 
 
-def parts(benchmark: DataFrame, part: int = PART) -> Iterator[list]:
-    """The items, at most about part of them at a time."""
-    items = benchmark.select("item_id", "text")
-    n = math.ceil(items.count() / part)
+def parts(benchmark: DataFrame, part: int = PART, part_bytes: int = PART_BYTES) -> Iterator[list]:
+    """The distinct items with how often each is there (times), at most about part of them and part_bytes of their texts at a time."""
+    items = benchmark.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("times"))
+    whole = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first()
+    n = max(math.ceil(whole.n / part), math.ceil(whole["size"] / part_bytes))
     for k in range(n):
-        yield (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).collect()
+        yield (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, part: int = PART) -> DataFrame:
@@ -143,10 +146,11 @@ def find(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT
     out = None
     for rows in parts(benchmark, part):
         index = docs.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], containment))
+        times = [r.times for r in rows]
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], index=index, times=times) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = list(index.value.matches(batch.column(1)))
+                found = [m for m in index.value.matches(batch.column(1)) for _ in range(times[m[1]])]
                 size = [len(index.value.sets[i]) for _, i, _ in found]
                 columns = [[batch.column(0)[r].as_py() for r, _, _ in found], [index.value.ids[i] for _, i, _ in found], [s for _, _, s in found], size, [s / n for (_, _, s), n in zip(found, size, strict=True)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)

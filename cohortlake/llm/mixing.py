@@ -7,7 +7,7 @@ probability of the fraction, by a coin seeded with its id. Only DataFrame functi
 Cases: a null text has size 0; a null source is a source of its own, the last in order; a null
 doc_id has a coin too (that of the word null); equal ids share a coin, so repeated rows are
 repeated alike; an empty table gives an empty table; a source of size 0 has target and rate 0;
-columns of any other name are kept and never read.
+very long texts are counted whole; columns of any other name are kept and never read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import joinable, running, store
+from ._shared import joinable, running, store, unused
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -56,28 +56,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int =
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: how often the mix has the document."""
-    sized = docs.withColumn("__size", size_of(F.col("text")))
-    sizes = store(sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
-    goal = targets(sizes, weights, ceiling).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    joined = sized.join(joinable(goal), sized["source"].eqNullSafe(goal["__source"]), "left").drop("__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    """row (the document with all its columns), doc_id, size, source_size, target and copies: how often the mix has the document."""
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    sizes = store(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = joinable(store(targets(sizes, weights, ceiling).withColumnRenamed("source", "of")))
+    joined = sized.join(goal, sized["source"].eqNullSafe(goal["of"]), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("__copies", (whole + F.when(coin(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("long"))
+    copies = (whole + F.when(coin(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("long")
+    return joined.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as plan() says, with copy, its number from 1."""
-    out = plan(docs, **how).where(F.col("__copies") > 0)
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"], F.col("__copy").alias("copy"))
+    """The mix itself: every document as often as plan() says, with copy, its number from 1 (by a longer name if docs has that)."""
+    (name,) = unused(docs, "copy")
+    each = plan(docs, **how).where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth"))
+    return each.select("row.*", F.col("nth").alias(name))
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """For each document, its size, its source's size and target, and the words that the mix takes of it."""
-    return plan(docs.select("doc_id", "text", "source"), **how).select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken")
-    )
+    return plan(docs.select("doc_id", "text", "source"), **how).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

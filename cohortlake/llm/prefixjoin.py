@@ -29,8 +29,10 @@ integer comparisons of the sizes of intersection and union.
 Cases: a text of fewer words than five is one shingle of all its words; null and wordless texts
 have empty sets, and are linked with nothing, themselves included among copies; repeated rows of
 one doc_id are each returned; a null doc_id is never the smallest of a group unless alone; extra
-columns are not read. Shingles are compared by 64-bit hashes, and classes by a 64-bit hash of the
-set: two different ones agree with a chance of 2 ** -64. Of a shingle's hash, the bucket and 40 bits are kept.
+columns are not read. Shingles are compared by 64-bit hashes, of which the bucket's number and 40
+bits are kept where they are dealt out: two sets of 200 shingles count one too many in common with a
+chance of 4e-8 at most. Sets are told apart by two hashes of 64 bits; where two sets agree in the
+first, the second names them. A very long text's words are hashed in slices.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import SALTS, drop, few, free_shuffles, hub_join, joinable, store
+from ._shared import drop, few, free_shuffles, hub_join, joinable, salts, store, unused
 from ._text import mix, pieces, shingles
 
 SIMILARITY = (80, 100)
@@ -58,13 +61,19 @@ SAMPLE = 64
 HOT_SHARE = 0.002
 """A shingle in more than this share of the sampled classes (and in HOT_LEAST of them) is hot; so there are at most the mean set size / HOT_SHARE."""
 HOT_LEAST = 32
+HOT_MOST = 1 << 23
+"""A shingle in more classes than this is hot, whatever its share, so that a bucket's classes have numbers of CLASS_BITS bits."""
 HOT = 255
+CLASS_BITS = 24
 BYTES = 5
 """Bytes of a shingle's hash that are dealt out; with the number of its bucket they tell it apart."""
 
 
-def sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, one text after the other in order of hash; texts' set sizes; a hash of each set (0: empty)."""
+def sets(buf: np.ndarray, offsets: np.ndarray, renamed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, one text after the other in order of hash; texts' set sizes; two hashes of each set (0: empty).
+
+    The first is replaced by the second where it is among renamed, which are in order.
+    """
     h, text = shingles(buf, offsets)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
@@ -72,26 +81,31 @@ def sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
         h, text = h[keep], text[keep]
     n = np.bincount(text, minlength=len(offsets) - 1).astype(np.int64)
-    sid = np.zeros(len(n), np.uint64)
+    names = [np.zeros(len(n), np.uint64) for _ in range(2)]
     if len(h):
         full = np.flatnonzero(n)
         at = (np.cumsum(n) - n)[full]
-        sid[full] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + n[full].astype(np.uint64)) | np.uint64(1)
-    return h, n, sid
+        for name, seed in zip(names, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
+            name[full] = mix(np.add.reduceat(mix(h ^ np.uint64(seed)), at) + n[full].astype(np.uint64)) | np.uint64(1)
+    sid, other = names
+    if renamed is not None and len(renamed):
+        at = np.minimum(np.searchsorted(renamed, sid), len(renamed) - 1)
+        sid = np.where(renamed[at] == sid, other, sid)
+    return h, n, sid, other
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], renamed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offsets in pieces(batch.column(1)):
-            _, n, sid = sets(buf, offsets)
-            ids = pa.array(sid.view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), ids], ["doc_id", "n", "sid"])
+            _, n, sid, other = sets(buf, offsets, renamed)
+            ids = [pa.array(x.view(np.int64), mask=n == 0) for x in (sid, other)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *ids], ["doc_id", "n", "sid", "other"])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sid (hash of the set, null if empty)."""
+def digests(docs: DataFrame, renamed: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n (set size), sid and other (hashes of the set, null if empty)."""
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(_digest, kept.select("doc_id").schema.add("n", "long").add("sid", "long"))
+    return kept.mapInArrow(lambda it: _digest(it, renamed), kept.select("doc_id").schema.add("n", "long").add("sid", "long").add("other", "long"))
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -105,11 +119,11 @@ def hot_shingles(docs: DataFrame, classes: int, sample: int = SAMPLE, share: flo
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offsets in pieces(batch.column(0)):
-                h, n, sid = sets(buf, offsets)
+                h, n, sid, _ = sets(buf, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(sid, n).view(np.int64))], ["h", "sid"])
 
     chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    limit = max(least, math.ceil(share * classes / sample))
+    limit = min(max(least, math.ceil(share * classes / sample)), HOT_MOST // sample)
     found = chosen.mapInArrow(pick, "h long, sid long").distinct().groupBy("h").count().where(F.col("count") >= limit)
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -138,14 +152,14 @@ def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("bucket", "salt", "g") else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray, renamed: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed shingles for each bucket and piece of text: BYTES bytes of each, class ids, and how many each has.
 
     A shingle is told by its bucket and those bytes. Hot ones have bucket -1 - theirs, and a salt that keeps pieces apart.
     """
     for batch in batches:
         for _, _, buf, offsets in pieces(batch.column(0)):
-            h, n, sid = sets(buf, offsets)
+            h, n, sid, _ = sets(buf, offsets, renamed)
             _, first = np.unique(sid, return_index=True)
             chosen = np.zeros(len(sid), bool)
             chosen[first] = n[first] > 0
@@ -206,34 +220,43 @@ def _rank(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(df) * 8, HOT - 1).astype(np.uint8)
 
 
-def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def _shared(h: np.ndarray, number: np.ndarray, bits: int = CLASS_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct (40 bits of a shingle, number of a class), those whose shingle has several classes, in order, and how many that are."""
+    if int(number.max(initial=0)) >> bits:
+        order = np.lexsort((number, h))
+        h, number = h[order], number[order]
+        keep = np.concatenate([[True], (h[1:] != h[:-1]) | (number[1:] != number[:-1])])
+        h, number = h[keep], number[keep]
+    else:  # the two make one number, which is sorted in place
+        key = h << np.uint64(bits)
+        key |= number.astype(np.uint64)
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        h, number = key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    size = np.diff(_runs(h))
+    many = np.repeat(size > 1, size)
+    return h[many], number[many], np.repeat(size[size > 1], size[size > 1])
+
+
+def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET, renamed: np.ndarray | None = None) -> DataFrame:
     """(sid, n, tokens, prefix) of the classes that may have a link: set size, shared shingles as packed
     64-bit numbers in the global order from rare to frequent, and how many of them are in the prefix."""
     hot = hot_shingles(docs, count)
     buckets = max(1, math.ceil(total / bucket))
     groups = 4 * buckets
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, shared.value), _schema(_DEALT))
+    shared = docs.sparkSession.sparkContext.broadcast((hot, renamed))
+    dealt = docs.select("text").mapInArrow(lambda it: _deal(it, buckets, *shared.value), _schema(_DEALT))
 
     def meet(table):
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
             h, sid = _unpack(table)
             return pa.Table.from_batches([_record(_pack(-1 - bucket, h, np.full(len(h), HOT, np.uint8), sid, groups), _PACKED)])
-        # a shingle's 40 bits and a class's number in the bucket make one number, which is sorted in place
         counts = [(np.frombuffer(i, np.uint64), c) for i, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
         known, number = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
-        if len(known) >> 24:
-            raise ValueError("a bucket has too many classes; make buckets smaller")
-        key = np.concatenate([_high(x) for x in table.column("h").to_pylist()]) << np.uint64(24)
-        key |= np.repeat(number.astype(np.uint64), np.concatenate([_counted(c, len(i)) for i, c in counts]))
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        h = key >> np.uint64(24)
-        size = np.diff(_runs(h))
-        many = np.repeat(size > 1, size)
-        df = _rank(size[size > 1])
-        return pa.Table.from_batches([_record(_pack(bucket, h[many], np.repeat(df, size[size > 1]), known[(key[many] & np.uint64((1 << 24) - 1)).astype(np.int64)], groups), _PACKED)])
+        h = np.concatenate([_high(x) for x in table.column("h").to_pylist()])
+        h, number, size = _shared(h, np.repeat(number, np.concatenate([_counted(c, len(i)) for i, c in counts])))
+        return pa.Table.from_batches([_record(_pack(bucket, h, _rank(size), known[number], groups), _PACKED)])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,22 +299,25 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes that (a, b) joins: the label is the least node. By alternating stars; each round halves chains at least."""
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    summed = lambda e: e.select(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = summed(edges)
     while True:
         # large star: of every node, the larger neighbours are tied to its least neighbour or itself
         sides = both(edges)
-        least = sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = hub_join(sides, least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = store(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = hub_join(sides, least, "a", 2 * before.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: the smaller neighbours and the node are tied to the least of them
-        down = large.where("a <> b").distinct()
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = hub_join(down, lowest, "a")
+        down = store(large.where("a <> b").distinct())
+        lowest = store(down.groupBy("a").agg(F.min("b").alias("m")))
+        small = hub_join(down, lowest, "a", 2 * before.n)
         new = store(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        same = new.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(edges)
+        drop(edges, least, down, lowest)
+        after = summed(new)
         edges = new
-        if same:
+        if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        before = after
 
 
 class Groups:
@@ -427,18 +453,19 @@ def _grouped(similarity: tuple[int, int], two_sided: bool):
 
 def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, label) over the classes of active, a stored table that is deleted, that have a link."""
+    count = active.count()
     words = "transform(sequence(0, prefix - 1), i -> xxhash64(substring(tokens, 8 * i + 1, 8)))"
-    stars = active.select("sid", F.explode(F.expr(words)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
+    stars = active.select("sid", F.explode(F.expr(words)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts(count))))
     # two levels of stars, so that no shingle's classes meet in one task
     inner = stars.groupBy("t", "salt").agg(F.min("sid").alias("b"))
     outer = inner.groupBy("t").agg(F.min("b").alias("top"))
     stars = stars.join(inner, ["t", "salt"]).select(F.col("sid").alias("a"), "b").union(inner.join(outer, "t").select(F.col("b").alias("a"), F.col("top").alias("b")))
     family = components(stars.where("a <> b").distinct())
-    sized = family.groupBy("label").agg(F.count("*").alias("size"))
-    family = joinable(store(family))  # if small, the sets stay where they are
-    member = active.drop("prefix").join(family, F.col("sid") == F.col("node")).drop("node")
-    member = store(hub_join(member, sized, "label"))
-    drop(active)
+    family = store(family)
+    sized = store(family.groupBy("label").agg(F.count("*").alias("size")))
+    member = active.drop("prefix").join(joinable(family), F.col("sid") == F.col("node")).drop("node")  # if small, the sets stay where they are
+    member = store(hub_join(member, sized, "label", count))
+    drop(active, family, sized)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     pairs = "a long, b long"
@@ -448,8 +475,9 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
         return components(inner)
     # one set for each group of a block, all of a family together, again in blocks: most groups meet here
     heads = big.join(inner.select(F.col("b").alias("sid")).distinct(), "sid")
-    counts = heads.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    heads = hub_join(heads, counts, "label").withColumn("part", F.pmod(F.xxhash64("sid", F.lit("head")), F.col("parts")).cast("int"))
+    heads = store(heads)
+    counts = store(heads.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")))
+    heads = hub_join(heads, counts, "label", count).withColumn("part", F.pmod(F.xxhash64("sid", F.lit("head")), F.col("parts")).cast("int"))
     met = store(heads.select("label", "part", "sid", "n", "tokens").groupBy("label", "part").applyInPandas(_grouped(similarity, False), pairs))
     known = store(components(inner.union(met)))
     big = big.withColumnRenamed("label", "family").join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -460,7 +488,7 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     main = store(main.select("family", "main", "blocks", F.ceil((F.col("k") - F.col("most")) / F.lit(block)).cast("int").alias("rest")))
     if main.isEmpty():
         return known
-    big = hub_join(big.drop("blocks"), main, "family")
+    big = hub_join(big.drop("blocks"), main, "family", count)
     columns = ["family", "one", "two", "side", "sid", "n", "tokens", "label"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = big.where("label <> main").withColumns({"one": F.pmod(F.xxhash64("sid", F.lit("rest")), F.col("rest")).cast("int"), "two": every("blocks"), "side": F.lit(0)})
@@ -469,31 +497,82 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     return components(inner.union(met).union(more))
 
 
-def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    spark = docs.sparkSession
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Stored digests of the documents; stored classes of equal sets (sid, least doc_id, n); the first hashes that two sets share."""
     own = store(digests(docs))
-    classes = store(own.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    named = own.where(F.col("sid").isNotNull())
+    classes = store(named.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("other").alias("one"), F.max("other").alias("two")))
+    clash = classes.where("one <> two").select("sid")
+    if clash.isEmpty():
+        return own, classes, np.zeros(0, np.uint64)
+    # among N sets some N * N / 2 ** 65 pairs, ten or so among 2e10; they go by the other hash
+    if not few(clash):
+        raise ValueError("too many sets agree in their first hash")
+    renamed = np.sort(np.array([r.sid for r in clash.collect()], np.int64).view(np.uint64))
+    drop(own, classes)
+    own = store(digests(docs, renamed))
+    return own, store(own.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))), renamed
+
+
+def components_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Stored digests (doc_id, n, sid); for each class (__sid) the component_id and a label of its component; the hashes that two sets share."""
+    own, classes, renamed = classes_of(docs)
     whole = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("total")).first()
     if whole.classes:
-        active = store(shared_sets(docs, classes, int(whole.total), whole.classes, similarity))
-        free_shuffles(spark)
+        active = store(shared_sets(docs, classes, int(whole.total), whole.classes, similarity, renamed=renamed))
+        free_shuffles(docs.sparkSession)
         label = set_components(active, similarity)
         named = classes.join(label, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
     else:
         named = classes.select("sid", "least", F.col("sid").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = store(hub_join(named, lowest, "label").select(F.col("sid").alias("__sid"), "component_id"))  # a plain side, so that a class of many copies is split
+    named = store(named)
+    lowest = store(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    out = store(hub_join(named, lowest, "label", whole.classes).select(F.col("sid").alias("__sid"), "label", "component_id"))
+    drop(classes, named, lowest)
+    return own, out, renamed  # a plain side, so that a class of many copies is split
+
+
+def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    own, named, _ = components_of(docs, similarity)
     out = own.where(F.col("sid").isNotNull()).join(named, F.col("sid") == F.col("__sid"), "left")
     out = out.select("doc_id", "n", "component_id").union(own.where(F.col("sid").isNull()).select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs with one document of each group, that of the smallest id, once. Rows with a null doc_id all stay."""
-    removed = store(linked(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(joinable(removed), F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if not few(repeated, 0):
-        out = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(out.where(F.col("doc_id").isNull()))
-    return out
+    """docs with one row of each group of linked documents, of those with the smallest doc_id.
+
+    If rows of that id have several sets, one set stays, and of its rows the least as JSON. Rows with a null doc_id and
+    those without words all stay.
+    """
+    own, named, renamed = components_of(docs, similarity)
+    groups = own.where(F.col("sid").isNotNull()).join(named, F.col("sid") == F.col("__sid"), "left")
+    gone, again = unused(docs, "gone", "again")
+    removed = store(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct())
+    twice = store(own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again)))
+    if twice.isEmpty():
+        return docs.join(joinable(removed), F.col("doc_id") == F.col(gone), "left_anti")
+    some = joinable(twice)  # their rows are told apart by their sets
+    single = docs.join(some, F.col("doc_id") == F.col(again), "left_anti").join(joinable(removed), F.col("doc_id") == F.col(gone), "left_anti")
+    several = docs.join(some, F.col("doc_id") == F.col(again), "left_semi")
+    return single.unionByName(_one_each(several, groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "label").agg(F.min("sid").alias("sid")), renamed))
+
+
+def _one_each(rows: DataFrame, firsts: DataFrame, renamed: np.ndarray) -> DataFrame:
+    """One of the rows of each (doc_id, sid) of firsts, and all rows without words."""
+    sid, whole, first, its = unused(rows, "sid", "whole", "first", "its")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sets(buf, offsets, renamed)[1:3] for _, _, buf, offsets in pieces(batch.column(batch.num_columns - 1))]
+            n, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids.view(np.int64), mask=n == 0), batch.column(batch.num_columns - 1)], [*batch.schema.names[:-1], sid, "text"])
+
+    moved = rows.select(*[c for c in rows.columns if c != "text"], "text")
+    named = moved.mapInArrow(name, T.StructType([*moved.schema.fields[:-1], T.StructField(sid, T.LongType()), moved.schema["text"]]))
+    chosen = firsts.select(F.col("doc_id").alias(first), F.col("sid").alias(its))
+    linked = named.where(F.col(sid).isNotNull()).join(chosen, (F.col("doc_id") == F.col(first)) & (F.col(sid) == F.col(its)), "left_semi")
+    each = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    linked = linked.select("doc_id", sid, each.alias(whole)).groupBy("doc_id", sid).agg(F.min_by(whole, F.to_json(whole)).alias(whole))
+    return linked.select(f"{whole}.*").unionByName(named.where(F.col(sid).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns]))
