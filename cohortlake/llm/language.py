@@ -6,9 +6,11 @@ bytes of -log2 of the byte's probability in the deepest context of the tree, wit
 probabilities (method C) down to shorter contexts, and at last a uniform byte. The language of
 the shortest code wins; its score is its probability if all languages are equally likely before.
 
-The trees of all languages are flattened into one table of costs by (context, byte, language), so
-whole batches of texts are scored by array lookups, each byte once for all languages. Texts are
-lower-cased and runs of anything but letters become one space. Whole texts are scored.
+Every context of the sample is kept. Languages are scored GROUP at a time: the trees of a group are
+flattened into hash tables from the strings of one to four bytes that occur in it to their costs
+by language, so whole batches of texts are scored by array lookups, each byte once for the group;
+strings that the group never saw are charged their escapes. Texts are lower-cased and runs of
+anything but letters (Unicode category L) become one space. Whole texts are scored.
 
 Cases: a null text or one without a letter is `und` with score 0; with nothing to learn from,
 every text is `und`; ties go to the language that is first in order; long texts are scored in
@@ -28,32 +30,44 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 1500
 """Labelled texts for each language, as expected from a coin by doc_id: the bound on what is fitted."""
-MAX_LANGUAGES = 512
-MAX_COSTS = 16_000_000
-"""Costs in the table at most, which bounds the contexts of three bytes: the most frequent stay, a rarer one is served by the next shorter."""
+SAMPLE_BYTES = 128 << 20
+"""Bytes of labelled texts, over all languages in equal shares, as expected from that coin: the bound with many or long ones."""
+GROUP = 16
 UNDETERMINED = "und"
 DEPTH = 3
-PIECE = 1 << 20
+PIECE = 1 << 18
 
-_GAPS = re.compile(r"[\W\d_]+")
+_ASCII = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
+_OTHER = re.compile("[" + "".join(chr(c) for c in range(128, 1 << 16) if not chr(c).isalpha() and not 0xD800 <= c < 0xE000) + "]")
+_HIGH = re.compile("[^\x00-\uffff]")
 
 
 def normal(text: str) -> str:
-    return _GAPS.sub(" ", text.lower()).strip()
+    """Letters (characters of a category L) in lower case, and a space for each run of others between them."""
+    text = text.lower().encode().translate(_ASCII).decode()
+    if not text.isascii():
+        text = _OTHER.sub(" ", text)
+        if _HIGH.search(text):
+            text = "".join(c if c.isalpha() else " " for c in text)
+    return " ".join(text.split())
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte windows of the texts as numbers, and their counts. Each text begins after three spaces, which are context alone."""
+def strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The four bytes that end at each byte of the texts, as numbers, and how many each text has. Each text begins after three spaces, which are context alone."""
     padded = [b"   " + t.encode() for t in texts]
+    size = np.array([len(x) for x in padded], np.int64)
     raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
     if len(raw) <= DEPTH:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), size - DEPTH
     own = np.ones(len(raw), bool)
-    starts = np.cumsum([0] + [len(x) for x in padded[:-1]])
-    for i in range(DEPTH):
-        own[starts + i] = False
+    own[((np.cumsum(size) - size)[:, None] + np.arange(DEPTH)).ravel()] = False
     coded = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    return np.unique(coded[own[3:]], return_counts=True)
+    return coded[own[3:]], size - DEPTH
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of the texts, and their counts."""
+    return np.unique(strings(texts)[0], return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,70 +80,120 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(coded.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-class Model:
-    """Frozen statistics: symbols of bytes, the node of each context, the cost of each symbol in it."""
-
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_costs: int = MAX_COSTS):
-        self.langs, many = langs, len(langs)
-        parts = [((gram >> shift) & 255).astype(np.int64) for shift in (24, 16, 8, 0)]
-        seen = np.unique(np.concatenate(parts)) if len(gram) else np.array([32])
-        self.symbol = np.zeros(256, np.uint8)  # 0 is any byte that was never seen
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        a = self.size = len(seen) + 1
-        s = [self.symbol[p].astype(np.int64) for p in parts]
-        full = (s[0] * a + s[1]) * a + s[2]
-        top, inverse = np.unique(full, return_inverse=True)
-        max_contexts = max(1, max_costs // (a * max(many, 1)))
-        if len(top) > max_contexts:
-            often = np.bincount(inverse, n)
-            top = np.sort(top[np.argsort(-often, kind="stable")[:max_contexts]])
-        levels = [np.zeros(1, np.int64), np.unique(s[2]), np.unique(s[1] * a + s[2]), top]
-        first = np.cumsum([0] + [len(x) for x in levels])
-        cost = np.empty((first[-1], a, many), np.float32)
-        below = np.full((a, many), 8.0)
-        self.node = np.zeros(1, np.int64)
-        for depth, contexts in enumerate(levels):
-            key = sum(s[2 - i] * a**i for i in range(depth)) if depth else np.zeros(len(gram), np.int64)
-            at = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
-            hit = contexts[at] == key
-            counts = np.zeros((len(contexts), a, many))
-            np.add.at(counts, (at[hit], s[3][hit], lang[hit]), n[hit])
-            total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            base = below if depth == 0 else cost[self.node[contexts % a ** (depth - 1)]]
+class Rows:
+    """The row of each key: a hash table with open addressing, for whole arrays of keys. A key that is not there has the row after the last."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.concatenate([keys.astype(np.int64), [-1]])
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.slots, self.probes = np.uint32(32 - bits), np.full(1 << bits, len(keys), np.int32), 0
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            at = self._slots(keys[left].astype(np.uint32), self.probes)
+            free = self.slots[at] == len(keys)
+            self.slots[at[free]] = left[free]
+            left = left[self.slots[at] != left]
+            self.probes += 1
+
+    def _slots(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64) + probe) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        none = len(self.keys) - 1
+        row = self.slots[self._slots(keys, 0)]
+        other = np.flatnonzero((self.keys[row] != keys) & (row != none))
+        for probe in range(1, self.probes + 1):
+            if not len(other):
+                break
+            at = self.slots[self._slots(keys[other], probe)] if probe < self.probes else np.full(len(other), none, np.int32)
+            row[other] = at
+            other = other[(self.keys[at] != keys[other]) & (at != none)]
+        return row
+
+
+class Trees:
+    """The frozen trees of a group of languages: costs of the strings seen, and of escapes from the contexts seen."""
+
+    def __init__(self, many: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.many = many
+        self.string: list[Rows] = []
+        self.context: list[Rows] = []
+        self.cost: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []
+        below = np.full((1, many), 8.0)  # a byte that was never seen
+        for depth in range(DEPTH + 1):
+            seen, row = np.unique(gram & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+            held, place = np.unique(seen >> 8, return_inverse=True)
+            counts = np.bincount(row * many + lang, n, len(seen) * many).reshape(len(seen), many)
+            total, distinct = np.zeros((len(held), many)), np.zeros((len(held), many))
+            np.add.at(total, place, counts)
+            np.add.at(distinct, place, counts > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.where(counts > 0, np.log2(total + distinct) - np.log2(counts), np.log2(total + distinct) - np.log2(distinct) + base)
-            cost[first[depth] : first[depth + 1]] = np.where(total > 0, own, base)
-            node = np.tile(self.node, a) if depth else np.zeros(1, np.int64)
-            node[contexts] = first[depth] + np.arange(len(contexts))
-            self.node = node
-        self.node = (self.node * a).astype(np.int32)
-        self.cost = cost.reshape(len(cost) * a, many)
+                escape = np.where(total > 0, np.log2(total + distinct) - np.log2(distinct), 0.0)
+                own = np.log2(total + distinct)[place] - np.log2(counts)
+            shorter = np.zeros(len(seen), np.int64) if depth == 0 else self.string[-1].find((seen & ((1 << 8 * depth) - 1)).astype(np.uint32))
+            cost = np.where(counts > 0, own, escape[place] + below[shorter])
+            self.string.append(Rows(seen))
+            self.context.append(Rows(held))
+            below = np.concatenate([cost, np.zeros((1, many))])
+            self.cost.append(below.astype(np.float32))
+            self.escape.append(np.concatenate([escape, np.zeros((1, many))]).astype(np.float32))
+
+    def bits(self, coded: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Code lengths of runs of strings that end where told: a row for each, a column for each language."""
+        row = self.string[DEPTH].find(coded)
+        begins = np.concatenate([[0], ends[:-1]])
+        out = np.zeros((len(ends), self.many))
+        for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+            if b > a:
+                out[i] = np.take(self.cost[DEPTH], row[a:b], 0).sum(0, dtype=np.float64)
+        odd = np.flatnonzero(row == len(self.cost[DEPTH]) - 1)
+        if len(odd):  # never seen in full: the escape, and the cost after the shorter context
+            text = np.searchsorted(ends, odd, "right")
+            np.add.at(out, text, self._unseen(coded[odd], DEPTH))
+        return out
+
+    def _unseen(self, coded: np.ndarray, depth: int) -> np.ndarray:
+        cost = self.escape[depth][self.context[depth].find(coded >> np.uint32(8))].astype(np.float64)
+        if depth == 0:
+            return cost + 8.0
+        coded = coded & np.uint32((1 << 8 * depth) - 1)
+        row = self.string[depth - 1].find(coded)
+        cost += self.cost[depth - 1][row]
+        odd = np.flatnonzero(row == len(self.cost[depth - 1]) - 1)
+        if len(odd):
+            cost[odd] += self._unseen(coded[odd], depth - 1)
+        return cost
+
+
+class Model:
+    """Frozen statistics of all languages."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, group: int = GROUP):
+        self.langs, self.trees = langs, []
+        for lo in range(0, len(langs), group):
+            own = (lang >= lo) & (lang < lo + group)
+            self.trees.append(Trees(min(group, len(langs) - lo), lang[own] - lo, gram[own], n[own]))
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths of normal texts: a row for each, a column for each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        at, a = 0, self.size
-        while at < len(texts):
-            data, ends, size = [], [], 0
-            rows = []
-            while at < len(texts) and (size == 0 or size < PIECE):
-                raw = b"   " + texts[at].encode()
-                for i in range(0, max(1, len(raw) - DEPTH), PIECE):
-                    piece = raw[i : i + PIECE + DEPTH]
-                    data.append(piece)
-                    rows.append(at)
-                    size += len(piece)
-                    ends.append(size)
-                at += 1
-            s = self.symbol[np.frombuffer(b"".join(data), np.uint8)].astype(np.int32)
-            context = np.zeros(len(s), np.int32)
-            context[3:] = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            for lo in range(0, len(rows)):
-                a0, a1 = starts[lo] + DEPTH, ends[lo]
-                if a1 > a0:
-                    index = self.node[context[a0:a1]] + s[a0:a1]
-                    out[rows[lo]] += self.cost[index].sum(0, dtype=np.float64)
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and size < 4 * PIECE:
+                size += len(texts[hi])
+                hi += 1
+            coded, n = strings(texts[lo:hi])
+            ends = np.cumsum(n)
+            begins = ends - n
+            # long texts in pieces, each string with its context
+            cut = [(i, a, min(a + PIECE, int(e))) for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)) for a in range(b, e, PIECE)]
+            if cut:
+                owner, stop = np.array([c[0] for c in cut]), np.array([c[2] for c in cut])
+                for k, trees in enumerate(self.trees):
+                    np.add.at(out, (lo + owner[:, None], k * len(self.trees[0].cost[0][0]) + np.arange(trees.many)), trees.bits(coded, stop))
+            lo = hi
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -150,18 +214,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from text and non-null lang of the documents that are not held out."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: (r.n, r.size) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size")).collect()}  # a row for each language
     langs = sorted(counts)
     if not langs:
         return Model([], *[np.zeros(0, np.int64)] * 3)
-    coin = F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 20))
-    keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (coin < math.ceil((1 << 20) * min(1.0, sample_docs / counts[lang]))))
-    counted = labelled.where(keep).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    shares = [min(1.0, sample_docs / n, sample_bytes / len(langs) / max(size, 1)) for n, size in (counts[x] for x in langs)]
+    least = F.create_map(*[F.lit(x) for lang, share in zip(langs, shares, strict=True) for x in (lang, math.ceil((1 << 20) * share))])
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 20)) < F.element_at(least, F.col("lang")))
+    counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     place = {lang: i for i, lang in enumerate(langs)}
     return Model(langs, np.array([place[x] for x in found["lang"].to_pylist()], np.int64), found["gram"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64))
