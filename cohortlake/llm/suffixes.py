@@ -13,15 +13,16 @@ end there. Runs of windows with a shared one are dealt out with their bytes. Eac
 first, by place and digits of eight bytes, so that equal ones are cut into windows once, and then
 the windows that are left.
 
-Equal texts are one class, by a 64-bit hash: all but that of the smallest id are removed whole.
-What repeats in a piece of a few megabytes is settled there, and only that of the smallest id is
-dealt on, so a frequent line sends one entry a piece.
+Equal texts are one class, by two hashes of 64 bits: all but that of the smallest id are removed
+whole. What repeats in a piece of a few megabytes is settled there, and only that of the smallest
+id is dealt on, so a frequent line sends one entry a piece. Runs of a minimizer that a sample shows
+to be frequent are dealt out as single windows, by a hash of the window, so that no bucket holds
+all that surrounds a frequent line; with very many pieces, such windows are merged in two levels.
 
 Cases: a null text is empty; texts of fewer than DEPTH bytes keep all; a row with a null id is
 neither removed from nor a reason to remove; rows of one id are no reason for each other, and
-repeated rows have equal results; if rows of one id differ in text, what is found for one is cut
-from the other at the same places, too, as far as it reaches; texts of any length are worked on in slices; extra columns are
-not read.
+repeated rows have equal results, while rows of one id with different texts are judged each for
+itself; texts of any length are worked on in slices; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +47,15 @@ BUCKET = 6_000_000
 """Entries in a bucket of minimizers, about."""
 BUCKET_RUNS = 100_000
 """Runs in a bucket of windows, about: some sixteen windows each."""
+CLASS_BITS = 24
+SAMPLE = 64
+"""One text in so many, by hash, is looked at for frequent minimizers."""
+HOT_RUNS = 2000
+"""A minimizer of more runs than this is frequent."""
+HOT_MOST = 1_000_000
+"""With more runs than HOT_RUNS times this, the limit rises, so that so many minimizers are frequent at most (8 bytes each are broadcast)."""
+MERGED = 20_000
+"""With more pieces than this, frequent windows are merged in salted groups of about so many pieces first."""
 
 
 NUMBERS = ("bucket", "salt", "sid", "doc", "g")
@@ -63,15 +72,20 @@ def slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             yield lo, 0, buf, offsets
 
 
+def hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all strings of width bytes."""
+    power, inverse = powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * inverse[: len(buf) - width + 1])
+
+
 def runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimizer: text, first window, last window, minimizer's place, its hash."""
     n = len(buf) - DEPTH + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    power, inverse = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    hashed = mix((sums[SEED:] - sums[:-SEED]) * inverse[: len(buf) - SEED + 1])
+    hashed = hashes(buf, SEED)
     low = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64)
     width, span = 1, DEPTH - SEED + 1
     while width * 2 <= span:
@@ -129,8 +143,8 @@ def _told(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h // np.uint64(buckets)) & np.uint64((1 << 8 * BYTES) - 1)) * np.uint64(buckets) + h % np.uint64(buckets)
 
 
-def _owned(key: np.ndarray, owner: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes, bytes, slice]]:
-    """For each key: key, owners, how many entries each has (4 bytes), and the place of its entries in the arrays, which are reordered."""
+def _owned(key: np.ndarray, owner: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, np.ndarray, bytes, slice]]:
+    """For each key: key, owners, packed, how many entries each has, and the place of its entries in the arrays, which are reordered."""
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     for x in arrays:
@@ -140,7 +154,7 @@ def _owned(key: np.ndarray, owner: np.ndarray, *arrays: np.ndarray) -> list[tupl
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         own = _cuts(owner[lo:hi])
         count = np.diff(own)
-        out.append((int(key[lo]), owner[lo:hi][own[:-1]].tobytes(), count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes(), slice(lo, hi)))
+        out.append((int(key[lo]), owner[lo:hi][own[:-1]], count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes(), slice(lo, hi)))
     return out
 
 
@@ -174,7 +188,7 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             for chosen, key in ((first, bucket), (many, -1 - bucket)):
                 part = h[chosen] // np.uint64(buckets)
                 salt = int(h[0] % np.uint64(1 << 30)) if len(h) and key is not bucket else 0
-                rows += [(k, salt, _low(part[at]), own, count) for k, own, count, at in _owned(key[chosen], sid[chosen], part)]
+                rows += [(k, salt, _low(part[at]), own.tobytes(), count) for k, own, count, at in _owned(key[chosen], sid[chosen], part)]
             yield _batch(rows, _DEALT)
 
 
@@ -182,6 +196,36 @@ def _by_class(bucket: int, low: np.ndarray, sid: np.ndarray, buckets: int) -> pa
     return _batch(_keyed(sid, low * np.uint64(buckets) + np.uint64(bucket)), ["sid", "h"])
 
 
+def _several(h: np.ndarray, number: np.ndarray, bits: int = CLASS_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (40 bits of a minimizer, number of a class), those whose minimizer has several classes."""
+    if int(number.max(initial=0)) >> bits:
+        order = np.lexsort((number, h))
+        h, number = h[order], number[order]
+    else:  # the two make one number, which is sorted in place
+        key = h << np.uint64(bits)
+        key |= number.astype(np.uint64)
+        key.sort()
+        h, number = key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    cut = _cuts(h)
+    several = np.repeat(number[cut[:-1]] != number[cut[1:] - 1], np.diff(cut))
+    return h[several], number[several]
+
+
+def hot_minimizers(docs: DataFrame, total: float, sample: int = SAMPLE, least: int = HOT_RUNS) -> np.ndarray:
+    """Minimizers of many runs, as a sample of the texts shows, in order of hash; total runs are expected in all."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in slices(batch.column(0)):
+                h, n = np.unique(runs(buf, offsets)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    limit = max(least, total / HOT_MOST) / sample
+    chosen = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit("hot")), F.lit(sample)) == 0)
+    found = chosen.mapInArrow(pick, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+
 def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
     """(sid, h): the minimizers, packed, that a class shares with another; several rows for a class."""
 
@@ -190,56 +234,73 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
         h = np.concatenate([_high(x) for x in table.column("h").to_pylist()])
         if bucket < 0:
             return pa.Table.from_batches([_by_class(-1 - bucket, h, _owners(table, "ids"), buckets)])
-        # a minimizer's 40 bits and a class's number in the bucket make one number, which is sorted in place
         known, number = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in owners]), return_inverse=True)
-        if len(known) >> 24:
-            raise ValueError("a bucket has too many classes; make buckets smaller")
-        key = h << np.uint64(24)
         count = [np.frombuffer(c, np.uint16 if len(c) * 4 == len(x) else np.uint32) for x, c in zip(owners, table.column("count").to_pylist(), strict=True)]
-        key |= np.repeat(number.astype(np.uint64), np.concatenate(count))
-        key.sort()
-        h, number = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-        cut = _cuts(h)
-        several = np.repeat(number[cut[:-1]] != number[cut[1:] - 1], np.diff(cut))
-        return pa.Table.from_batches([_by_class(bucket, h[several], known[number[several]], buckets)])
+        h, number = _several(h, np.repeat(number, np.concatenate(count)))
+        return pa.Table.from_batches([_by_class(bucket, h, known[number], buckets)])
 
     dealt = docs.select("text", "sid").mapInArrow(lambda it: _deal(it, buckets), _schema(_DEALT))
     return dealt.groupBy("bucket", "salt").applyInArrow(meet, "sid long, h binary")
 
 
-_RUN = ["bucket", "salt", "ids", "count", "first", "place", "length", "data"]
-
+_RUN = ["bucket", "salt", "ids", "sids", "count", "first", "place", "length", "data"]
+_FOUND = ["g", *_RUN]
+"""What a bucket gives: spans in data, by group of documents g; or, with g = -1, windows that are dealt on."""
 
-_SPANS = ["g", "ids", "count", "spans"]
 
-
-def union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The maximal runs of bytes that spans of documents cover, in order of document and place."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+def union(sid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The maximal runs of bytes that spans of documents (sid, doc) cover, in order of document and place."""
+    order = np.lexsort((start, doc, sid))
+    sid, doc, start, end = sid[order], doc[order], start[order], end[order]
     if not len(doc):
-        return doc, start, end
-    turn = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 40  # documents one after the other
+        return sid, doc, start, end
+    turn = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (sid[1:] != sid[:-1])])) << 40  # documents one after the other
     reach = np.maximum.accumulate(end + turn)
     new = np.concatenate([[True], (start + turn)[1:] > reach[:-1]])
     last = np.concatenate([np.flatnonzero(new)[1:], [len(doc)]]) - 1
-    return doc[new], start[new], (reach - turn)[last]
+    return sid[new], doc[new], start[new], (reach - turn)[last]
+
+
+def _documents(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Numbers of the documents that entries, in order of them, belong to."""
+    return np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (sid[1:] != sid[:-1])])) if len(doc) else np.zeros(0, np.int64)
+
+
+def _spans(sid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> list[tuple]:
+    """Spans, packed by group of documents: their documents, how many spans each has, (first byte, end)."""
+    sid, doc, start, end = union(sid, doc, start, end)
+    if not len(doc):
+        return []
+    pair, number = np.stack([start, end], 1).astype(np.int64), _documents(sid, doc)
+    first = _cuts(number)[:-1]
+    group = (sid.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+    return [(g, 0, 0, doc[first][own].tobytes(), sid[first][own].tobytes(), count, b"", b"", b"", pair[at].tobytes()) for g, own, count, at in _owned(group, number, pair)]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> list[tuple]:
-    """Spans, packed by group of documents: group, documents, how many spans each has, (first byte, end)."""
-    doc, start, end = union(doc, start, end)
-    pair = np.stack([start, end], 1).astype(np.int64)
-    return [(g, own, count, pair[at].tobytes()) for g, own, count, at in _owned(doc % groups, doc, pair)] if len(doc) else []
+def _entries(key: np.ndarray, salt: int, row: np.ndarray, doc: np.ndarray, sid: np.ndarray, start: np.ndarray, place: np.ndarray, length: np.ndarray, strings: list[bytes] | None) -> list[tuple]:
+    """Runs of the rows, packed by key."""
+    at = np.arange(len(key))
+    out = []
+    for k, own, count, part in _owned(key, row, at):
+        i = at[part]
+        first = i[np.concatenate([[0], np.cumsum(np.frombuffer(count, np.uint16 if len(count) == 2 * len(own) else np.uint32).astype(np.int64))[:-1]])]
+        kind = np.uint32 if start[i].max() < 1 << 32 else np.int64
+        data = b"".join(strings[x] for x in i.tolist()) if strings is not None else b""
+        out.append((k, salt, doc[first].tobytes(), sid[first].tobytes(), count, start[i].astype(kind).tobytes(), place[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), data))
+    return out
 
 
-def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> Iterator[pa.RecordBatch]:
-    """Runs of shared minimizers with their bytes, by bucket. In bucket -1, by a salt for each piece: runs already seen to go, without bytes."""
-    unpack = zstandard.ZstdDecompressor()
+def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int, hot: np.ndarray, merged: int) -> Iterator[pa.RecordBatch]:
+    """Runs of shared minimizers with their bytes, by bucket, and the windows of frequent ones by a hash of their own.
+
+    Frequent windows have a salt from 1 to merged if that is above 1. In bucket -1, by a salt for each piece, are
+    runs already seen to go, without bytes.
+    """
+    codec = pa.Codec("zstd")
     for batch in batches:
-        ids, shared = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+        ids, sids, sizes, shared = *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)), batch.column(4)
         for at in range(0, batch.num_rows, 1000):
-            texts = pa.array([unpack.decompress(x) for x in batch.column(0).slice(at, 1000).to_pylist()], pa.large_binary())
+            texts = pa.array([codec.decompress(x, n, asbytes=True) for x, n in zip(batch.column(0).slice(at, 1000).to_pylist(), sizes[at : at + 1000].tolist(), strict=True)], pa.large_binary())
             for lo, shift, buf, offsets in slices(texts):
                 lo += at
                 text, first, last, place, h = runs(buf, offsets)
@@ -251,7 +312,17 @@ def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> It
                     i = np.minimum(np.searchsorted(own, known[a:b]), len(own) - 1)
                     keep[a:b] = own[i] == known[a:b]
                 text, first, last, place, h = text[keep], first[keep], last[keep], place[keep], h[keep]
-                doc, length = ids[lo + text], last - first + DEPTH
+                often = np.zeros(len(h), bool)
+                if len(hot) and len(h):
+                    often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                    n = (last - first + 1)[often]
+                    run = np.repeat(np.flatnonzero(often), n)
+                    window = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                    own = hashes(buf, DEPTH)[window] if len(window) else np.zeros(0, np.uint64)
+                    text, first, last, place, h = (np.concatenate([x[~often], y]) for x, y in ((text, text[run]), (first, window), (last, window), (place, place[run]), (h, own)))
+                    often = np.arange(len(h)) >= len(h) - len(window)
+                row, length = lo + text, last - first + DEPTH
+                doc, sid = ids[row], sids[row]
                 strings = [buf[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist(), strict=True)]
                 keys = list(zip(strings, (place - first).tolist(), strict=True))
                 # equal runs of a piece: all but the smallest document's go, and one is dealt on
@@ -265,13 +336,11 @@ def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int) -> It
                 gone = doc[mine] < doc if len(doc) else np.zeros(0, bool)
                 # a document that has one run twice deals on both
                 rows = []
-                for some, key, salt in ((gone, np.full(len(h), -1), int(h[0] % np.uint64(1 << 30)) if len(h) else 0), (~gone, ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), 0)):
-                    chosen = np.flatnonzero(some)
-                    for k, own, count, part in _owned(key[chosen], doc[chosen], chosen):
-                        i = chosen[part]
-                        kind = np.uint32 if start[i].max() < 1 << 32 else np.int64
-                        data = b"".join(strings[x] for x in i.tolist()) if k >= 0 else b""
-                        rows.append((k, salt, own, count, start[i].astype(kind).tobytes(), (place - first)[i].astype(np.uint8).tobytes(), length[i].astype(np.uint8).tobytes(), data))
+                seed = int(h[0] % np.uint64(1 << 30)) if len(h) else 0
+                bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+                for some, key, salt in ((gone, np.full(len(h), -1), seed), (~gone & ~often, bucket, 0), (~gone & often, bucket, 1 + seed % merged if merged > 1 else 0)):
+                    i = np.flatnonzero(some)
+                    rows += _entries(key[i], salt, row[i], doc[i], sid[i], start[i], (place - first)[i], length[i], None if key is not bucket else [strings[x] for x in i.tolist()])
                 yield _batch(rows, _RUN)
 
 
@@ -328,80 +397,93 @@ def repeated(data: np.ndarray, at: np.ndarray, digit: np.ndarray, doc: np.ndarra
     return out
 
 
-def removed_spans(rows: DataFrame, buckets: int, told: int) -> DataFrame:
-    """(packed text, doc_id, shared minimizers) -> (doc, spans): what to remove of each document that something is removed of."""
-    groups = max(1, buckets // 4)
-
-    def sort(table):
-        doc = _owners(table, "ids")
-        first = np.concatenate([np.frombuffer(f, np.uint32 if len(f) == 4 * len(p) else np.int64).astype(np.int64) for f, p in zip(table.column("first").to_pylist(), table.column("place").to_pylist(), strict=True)])
-        place, length, data = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("place", "length", "data"))
-        place, length = place.astype(np.int64), length.astype(np.int64)
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.Table.from_batches([_batch(_spans(doc, first, first + length, groups), _SPANS)])
-        begin = np.cumsum(length) - length
-        # whole runs first: of equal ones, those of larger documents go, and only one is cut into windows
-        head = equals(data, begin, (place * 256 + length).astype(np.uint64), length, doc)
-        whole = doc > doc[head]
-        some = np.flatnonzero(head == np.arange(len(head)))
-        windows = length[some] - DEPTH + 1
-        offset = np.zeros(len(head), np.int64)
-        offset[some] = np.cumsum(windows) - windows
-        entry = np.repeat(some, windows)
-        shift = np.arange(len(entry)) - np.repeat(offset[some], windows)
-        gone = repeated(data, begin[entry] + shift, (place[entry] - shift + DEPTH).astype(np.uint64), doc[entry])
-        # the windows of a run tell of its equals in the same document, too
+def _meet(table: pa.Table, groups: int) -> pa.Table:
+    """The runs of a bucket: spans of what is in a smaller document, too; of a salted one, also the windows that are dealt on."""
+    bucket, salt = (table.column(c)[0].as_py() for c in ("bucket", "salt"))
+    doc, sid = _owners(table, "ids"), _owners(table, "sids")
+    first = np.concatenate([np.frombuffer(f, np.uint32 if len(f) == 4 * len(p) else np.int64).astype(np.int64) for f, p in zip(table.column("first").to_pylist(), table.column("place").to_pylist(), strict=True)])
+    place, length, data = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("place", "length", "data"))
+    place, length = place.astype(np.int64), length.astype(np.int64)
+    if bucket < 0:
+        return pa.Table.from_batches([_batch(_spans(sid, doc, first, first + length, groups), _FOUND)])
+    begin = np.cumsum(length) - length
+    # whole runs first: of equal ones, those of larger documents go, and only one is cut into windows
+    head = equals(data, begin, (place * 256 + length).astype(np.uint64), length, doc)
+    whole = doc > doc[head]
+    if salt > 0:
+        out = _spans(sid[whole], doc[whole], first[whole], (first + length)[whole], groups)
         rest = np.flatnonzero(~whole)
-        windows = length[rest] - DEPTH + 1
-        entry = np.repeat(rest, windows)
-        shift = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-        found = gone[offset[head[entry]] + shift]
-        start = (first[entry] + shift)[found]
-        spans = _spans(np.concatenate([doc[whole], doc[entry][found]]), np.concatenate([first[whole], start]), np.concatenate([(first + length)[whole], start + DEPTH]), groups)
-        return pa.Table.from_batches([_batch(spans, _SPANS)])
+        strings = [data[a : a + DEPTH].tobytes() for a in begin[rest].tolist()]
+        row = np.unique(np.stack([sid[rest], doc[rest]]), axis=1, return_inverse=True)[1].ravel() if len(rest) else rest
+        out += [(-1, *x) for x in _entries(np.full(len(rest), bucket), 0, row, doc[rest], sid[rest], first[rest], place[rest], length[rest], strings)]
+        return pa.Table.from_batches([_batch(out, _FOUND)])
+    some = np.flatnonzero(head == np.arange(len(head)))
+    windows = length[some] - DEPTH + 1
+    offset = np.zeros(len(head), np.int64)
+    offset[some] = np.cumsum(windows) - windows
+    entry = np.repeat(some, windows)
+    shift = np.arange(len(entry)) - np.repeat(offset[some], windows)
+    gone = repeated(data, begin[entry] + shift, (place[entry] - shift + DEPTH).astype(np.uint64), doc[entry])
+    # the windows of a run tell of its equals in the same document, too
+    rest = np.flatnonzero(~whole)
+    windows = length[rest] - DEPTH + 1
+    entry = np.repeat(rest, windows)
+    shift = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+    found = gone[offset[head[entry]] + shift]
+    start, entry = (first[entry] + shift)[found], entry[found]
+    spans = _spans(np.concatenate([sid[whole], sid[entry]]), np.concatenate([doc[whole], doc[entry]]), np.concatenate([first[whole], start]), np.concatenate([(first + length)[whole], start + DEPTH]), groups)
+    return pa.Table.from_batches([_batch(spans, _FOUND)])
+
+
+def removed_spans(rows: DataFrame, buckets: int, told: int, hot: np.ndarray, merged: int = 1) -> DataFrame:
+    """(packed text, doc_id, sid, shared minimizers) -> (doc, sid, spans): what to remove of each document that something is removed of."""
+    groups = max(1, buckets // 4)
 
     def gather(table):
-        doc = _owners(table, "ids")
-        pair = np.frombuffer(b"".join(table.column("spans").to_pylist()), np.int64).reshape(-1, 2)
-        doc, start, end = union(doc, pair[:, 0], pair[:, 1])
-        pair, cut = np.stack([start, end], 1), _cuts(doc)
-        return pa.Table.from_batches([_batch([(int(doc[a]), pair[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], ["doc", "spans"])])
-
-    dealt = rows.select("packed", "doc_id", "shared").mapInArrow(lambda it: _deal_runs(it, buckets, told), _schema(_RUN))
-    found = dealt.groupBy("bucket", "salt").applyInArrow(sort, _schema(_SPANS))
-    return found.groupBy("g").applyInArrow(gather, "doc long, spans binary")
+        doc, sid = _owners(table, "ids"), _owners(table, "sids")
+        pair = np.frombuffer(b"".join(table.column("data").to_pylist()), np.int64).reshape(-1, 2)
+        sid, doc, start, end = union(sid, doc, pair[:, 0], pair[:, 1])
+        pair, cut = np.stack([start, end], 1), _cuts(_documents(sid, doc))
+        return pa.Table.from_batches([_batch([(int(doc[a]), int(sid[a]), pair[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], ["doc", "sid", "spans"])])
+
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    dealt = rows.select("packed", "doc_id", "sid", "n_bytes", "shared").mapInArrow(lambda it: _deal_runs(it, buckets, told, shared.value, merged), _schema(_RUN))
+    found = dealt.groupBy("bucket", "salt").applyInArrow(lambda table: _meet(table, groups), _schema(_FOUND))
+    if merged > 1:
+        found = store(found)
+        again = found.where("g < 0").select(*_RUN).groupBy("bucket", "salt").applyInArrow(lambda table: _meet(table, groups), _schema(_FOUND))
+        found = found.where("g >= 0").unionByName(again)
+    return found.select("g", "ids", "sids", "count", "data").groupBy("g").applyInArrow(gather, "doc long, sid long, spans binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, sid, n_bytes, sha (of the text), packed (the text, compressed, as it is shuffled by id)."""
+    """doc_id, sid, other, n_bytes, sha (of the text), packed (the text, compressed, as it is shuffled by id)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            raw = [x.as_buffer() for x in batch.column(2)]
+            raw = [x.as_buffer() for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.size for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([press.compress(x) for x in raw], pa.binary())],
-                ["doc_id", "sid", "n_bytes", "sha", "packed"],
+                [*batch.columns[:3], pa.array([x.size for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())],
+                ["doc_id", "sid", "other", "n_bytes", "sha", "packed"],
             )
 
-    return docs.select("doc_id", "sid", "text").mapInArrow(pack, "doc_id long, sid long, n_bytes long, sha string, packed binary")
+    return docs.select("doc_id", "sid", "other", "text").mapInArrow(pack, "doc_id long, sid long, other long, n_bytes long, sha string, packed binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
+    codec = pa.Codec("zstd")
     for batch in batches:
         out = []
-        for doc, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            raw = unpack.decompress(text)
+        for doc, n, text, spans in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            raw = codec.decompress(text, n, asbytes=True)
             found = np.frombuffer(spans, np.int64).reshape(-1, 2)
             parts, at = [], 0
-            found = np.minimum(found, len(raw))
-            found = found[found[:, 0] < found[:, 1]]
             for a, b in found.tolist():
                 parts.append(raw[at:a])
                 at = b
             kept = b"".join(parts) + raw[at:]
-            out.append((doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest()))
+            out.append((doc, n, n - len(kept), len(found), hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -409,31 +491,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removal(docs: DataFrame, bucket: int = BUCKET, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
+def removal(docs: DataFrame, bucket: int = BUCKET, bucket_runs: int = BUCKET_RUNS, merged: int = MERGED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sid"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sid"), F.xxhash64(F.lit("other"), text).alias("other"))
     named = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH))
-    classes = store(named.groupBy("sid").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("n")))
+    classes = store(named.groupBy("sid", "other").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("n")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    spacing = (DEPTH - SEED + 2) / 2
-    told = max(1, math.ceil(total / spacing / bucket))
+    expected = total / ((DEPTH - SEED + 2) / 2)
+    hot = hot_minimizers(named, expected)
+    told = max(1, math.ceil(expected / bucket))
     found = store(shared_minimizers(named, told))
     entries = found.agg(F.coalesce(F.sum(F.octet_length("h") / 8), F.lit(0.0)).alias("n")).first().n
     free_shuffles(spark)
-    shared = found.groupBy("sid").agg(F.collect_list("h").alias("shared")).join(classes.select("sid", F.col("least").alias("doc_id")), "sid")
-    first = packed(named).join(shared, ["sid", "doc_id"])
-    spans = store(removed_spans(first, max(1, math.ceil(entries / bucket_runs)), told))
+    shared = found.groupBy("sid").agg(F.collect_list("h").alias("shared")).join(classes.select("sid", "other", F.col("least").alias("doc_id")), "sid")
+    first = packed(named).join(shared, ["sid", "other", "doc_id"])
+    spans = store(removed_spans(first, max(1, math.ceil(entries / bucket_runs)), told, hot, math.ceil(total / PIECE_BYTES / merged)))
     free_shuffles(spark)
     drop(found)
-    ours = spans.join(classes.select(F.col("least").alias("doc"), F.col("sid").alias("__sid")), "doc")
-    # a class's first document is looked up by id and text, as another row of its id may have another text
+    # of a class, the rows of the least id are cut, and all others are copies; another text of that id has its own class
+    ours = spans.select("doc", F.col("sid").alias("__sid"), "spans")
     touched = packed(base).join(ours, (F.col("doc_id") == F.col("doc")) & (F.col("sid") == F.col("__sid")), "left")
-    cut = touched.where(F.col("spans").isNotNull()).select("doc_id", "packed", "spans").mapInArrow(_cut, RESULT)
-    copy = classes.select(F.col("sid").alias("__c"), "least")
-    plain = touched.where(F.col("spans").isNull()).select("doc_id", "sid", "n_bytes", "sha")
-    plain = plain.join(copy, (F.col("sid") == F.col("__c")) & (F.col("n_bytes") >= DEPTH) & (F.col("doc_id") > F.col("least")), "left")
+    cut = touched.where(F.col("spans").isNotNull()).select("doc_id", "n_bytes", "packed", "spans").mapInArrow(_cut, RESULT)
+    copy = classes.select(F.col("sid").alias("__c"), F.col("other").alias("__o"), "least")
+    plain = touched.where(F.col("spans").isNull()).select("doc_id", "sid", "other", "n_bytes", "sha")
+    plain = plain.join(copy, (F.col("sid") == F.col("__c")) & (F.col("other") == F.col("__o")) & (F.col("n_bytes") >= DEPTH) & (F.col("doc_id") > F.col("least")), "left")
     is_copy = F.col("least").isNotNull()
     plain = plain.select(
         "doc_id", "n_bytes", F.when(is_copy, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), is_copy.cast("long").alias("n_spans"), F.when(is_copy, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256")
