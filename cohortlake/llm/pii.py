@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 _CAPITAL = re.compile(r"(?=.*[A-Z].*[A-Z])(?=.*[0-9].*[0-9])[A-Z0-9]{16,}")
 _PATHLIKE = re.compile(r".*(://|www\.|[/\\].*[/\\]|\.(html?|php|png|jpe?g|com|org|net)\b)")
 _WORD = re.compile(r"[a-z_]+")
+_PIECE = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
 def _cue(text: str, start: int, cues: tuple[str, ...]) -> bool:
@@ -128,7 +131,12 @@ def proposals(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, i
     if not _DIGIT.search(text):
         return out
     spans = sorted((s, e) for _, s, e in taken)
-    free = lambda s, e: not any(a < e and s < b for a, b in spans)
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
+
     for m in _LOCALPHONE.finditer(text):
         if free(*m.span()):
             word = m.group()
@@ -145,7 +153,7 @@ def proposals(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, i
             1 if _HEX.fullmatch(word) or _CAPITAL.fullmatch(word) or (all(kinds) and len(word) >= 20) else -1,
             1 if _cue(text, m.start(), CREDENTIAL_CUES) else 0,
             1 if text[max(0, m.start() - 2) : m.start()].strip(" \"'")[-1:] in ("=", ":") or text[m.start() - 1 : m.start()] in ('"', "'") else 0,
-            -1 if _PATHLIKE.match(word) or not word.isascii() else 1 if len(set(word)) >= 10 else -1,
+            -1 if _PATHLIKE.match(word) or not word.isascii() or len(word) > 5 * len(_PIECE.findall(word)) else 1 if len(set(word)) >= 10 else -1,  # words and numbers come in few pieces
         )
         out.append(("secret", *m.span(), (*votes, min(3, len(word) // 8))))
     return out
