@@ -11,9 +11,11 @@ wherever it stands. Templates whose bands or hash collide are verified by the ex
 shingles, as words, that the document has. Only DataFrame functions run. Nothing but the matches
 is shuffled; the templates are constants of the plan.
 
-Words are those between white space, in lower case. Cases: null and empty texts carry none; a
-text of fewer words than five is one shingle beside long notices; a notice is reported once for a doc_id, however
-often its text or its repeated rows have it; extra columns are not read.
+Words are those between white space, in lower case. A text of more than SLICE characters is worked
+on in slices that overlap, and what they have of a notice is put together. Cases: null and empty
+texts carry none; a text of fewer words than five is one shingle beside long notices; a notice is
+reported once for a doc_id, however often its text or its repeated rows have it, and texts of one
+doc_id are each looked at by themselves; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SHINGLE = 5
 WINDOW = 2
 BANDS = 7
 CONTAINMENT = 0.8
+SLICE, OVERLAP = 1 << 20, 1 << 12
+"""Characters of a slice, and how far it reaches into the next; five words of a notice are shorter than that."""
 
 # The wording of public license notices.
 TEMPLATES = (
@@ -64,6 +68,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def sliced(docs: DataFrame, size: int = SLICE, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, __id (hash of the text), __w: the words of each slice, without those that its ends may cut."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    last = F.floor(F.greatest(F.char_length("__text") - 1, F.lit(0)) / size).cast("int")
+    one = F.array(F.struct(F.col("__text").alias("text"), F.lit(False).alias("begun"), F.lit(False).alias("goes_on")))
+    many = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.substring(F.col("__text"), i * size + 1, F.lit(size + overlap)).alias("text"), (i > 0).alias("begun"), (i < last).alias("goes_on")))
+    cut = docs.select("doc_id", text.alias("__text"), F.xxhash64(text).alias("__id")).select("doc_id", "__id", F.explode(F.when(F.char_length("__text") <= size, one).otherwise(many)).alias("__s"))
+    w = words(F.col("__s.text"))
+    whole = cut.select("doc_id", "__id", "__s.begun", "__s.goes_on", w.alias("__w"))
+    kept = F.slice("__w", F.col("begun").cast("int") + 1, F.greatest(F.size("__w") - F.col("begun").cast("int") - F.col("goes_on").cast("int"), F.lit(0)))
+    return whole.select("doc_id", "__id", F.when(F.col("begun") | F.col("goes_on"), kept).otherwise(F.col("__w")).alias("__w"))
+
+
 def short_widths(notices: tuple[tuple[str, str], ...]) -> list[int]:
     """The numbers of words of the notices that have fewer than SHINGLE."""
     return sorted({n for _, text in notices if 0 < (n := len(re.findall("[^\\x20\\x09-\\x0D]+", text))) < SHINGLE})
@@ -128,14 +145,17 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = TEMPLATES, cont
     table = [{"n": t["n"], "name": t["name"], "width": t["width"], "bands": sorted(keys(t)), "shingles": t["shingles"]} for t in known]
     table = F.from_json(F.lit(json.dumps(table)), "array<struct<n long, name string, width int, bands array<bigint>, shingles array<string>>>")
     widths = short_widths(notices)
-    rows, own = banded(hashed(docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("__w")), widths), seeds)
+    rows, own = banded(hashed(sliced(docs), widths), seeds)
     wanted = [(band, {v for t in known if t["short"] is None for v in t["bands"][k]}) for k, band in enumerate(own)]
     wanted += [(F.col(f"__n{n}"), {t["short"] for t in known if t["short"] is not None and t["width"] == n}) for n in widths]
     hits = F.concat(*[F.array_intersect(band, longs(values)) for band, values in wanted if values])
-    rows = rows.select("doc_id", "__w", hits.alias("__hit"))
+    rows = rows.select("doc_id", "__id", "__w", hits.alias("__hit"))
     retrieved = F.when(F.size("__hit") > 0, F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("__hit"))))
     # outer, so that the planner infers no filter below, which would compute all of this twice
-    rows = rows.select("doc_id", "__w", F.explode_outer(retrieved).alias("__t")).where(F.col("__t").isNotNull())
-    shared = F.size(F.array_intersect(F.col("__t.shingles"), shingles(F.col("__w"), F.col("__t.width"))))
-    rows = rows.select("doc_id", F.col("__t.name").alias("license"), F.col("__t.n").alias("notice"), shared.cast("long").alias("shared"), F.size("__t.shingles").cast("long").alias("notice_shingles"))
-    return rows.where(F.col("shared") >= F.lit(containment) * F.col("notice_shingles")).distinct()
+    rows = rows.select("doc_id", "__id", "__w", F.explode_outer(retrieved).alias("__t")).where(F.col("__t").isNotNull())
+    found = F.array_intersect(F.col("__t.shingles"), shingles(F.col("__w"), F.col("__t.width")))
+    rows = rows.select("doc_id", "__id", F.col("__t.name").alias("license"), F.col("__t.n").alias("notice"), F.size("__t.shingles").cast("long").alias("notice_shingles"), found.alias("__found"))
+    # a row for each slice that meets a band; no more shingles than the notice has
+    rows = rows.groupBy("doc_id", "__id", "license", "notice", "notice_shingles").agg(F.size(F.array_distinct(F.flatten(F.collect_set("__found")))).cast("long").alias("shared"))
+    rows = rows.where(F.col("shared") >= F.lit(containment) * F.col("notice_shingles"))
+    return rows.groupBy("doc_id", "license", "notice").agg(F.max("shared").alias("shared"), F.first("notice_shingles").alias("notice_shingles"))

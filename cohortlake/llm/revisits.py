@@ -13,7 +13,8 @@ Outcomes: resolved; unverified (the revisit has no validator, so nothing is merg
 response is named); mismatch (validators differ; nothing is merged); missing (no earlier
 response). Cases: records with a null url or time match nothing and revisits among them are
 missing; of responses at one time the one with the larger record_id is the later; repeated
-revisits are each resolved; a null header map is empty; extra columns are not read.
+revisits are each resolved; a null header map is empty; very long urls and headers are only read
+and copied; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -74,15 +75,26 @@ def resolve(records: DataFrame, permitted: tuple[str, ...] = PERMITTED) -> DataF
 
 
 def records_of(pages: DataFrame, lag: int = LAG) -> DataFrame:
-    """Archive records of a table of pages, which has no times and headers of its own: each page is a
-    response at the time of its id, and is asked for again lag pages later with its own entity tag."""
+    """Archive records of a table of pages, which has no times and headers of its own.
+
+    A page is a response at the time 2 * page_id, with an entity tag and a date of modification that its content gives. It
+    is asked for again after, and sometimes before, a number of pages that the first eight hexadecimal digits of the MD5 of
+    its id give: x mod 4 of 0 asks 32 * lag + 1 later, with 1 it is 33 later, with 2 it is 1 later, and with 3 it is 1
+    before. x // 4 mod 5 gives the validators: 0 its own tag and date, 1 its date alone, 2 a tag that changed, 3 a date that
+    changed, 4 none.
+    """
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit("")).cast("binary")), 1, 16), F.lit('"'))
-    base = pages.select("page_id", "url", tag.alias("tag"))
-    ts = 2 * F.col("page_id")
-    later = ts + 2 * lag + 1
-    text = lambda s: F.lit(s)
-    response = F.struct(ts.alias("ts"), text("response").alias("kind"), F.create_map(text("cache-control"), text("max-age=60"), text("content-type"), text("text/html"), text("date"), ts.cast("string"), text("etag"), F.col("tag")).alias("headers"))
-    revisit = F.struct(later.alias("ts"), text("revisit").alias("kind"), F.create_map(text("cache-control"), text("max-age=120"), text("content-type"), text("text/plain"), text("date"), later.cast("string"), text("etag"), F.concat(text("W/"), F.col("tag"))).alias("headers"))
+    dated = F.concat(F.lit("day "), F.substring(F.md5(F.coalesce("html", F.lit("")).cast("binary")), 1, 2))
+    x = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    base = pages.select("page_id", "url", tag.alias("tag"), dated.alias("dated"), (x % 4).alias("when"), (F.floor(x / 4) % 5).alias("how"))
+    ts, text = 2 * F.col("page_id"), F.lit
+    later = ts + F.when(F.col("when") == 0, 32 * lag + 1).when(F.col("when") == 1, 33).when(F.col("when") == 2, 1).otherwise(-1)
+    none = text(None).cast("string")
+    etag = F.when(F.col("how") == 0, F.concat(text("W/"), F.col("tag"))).when(F.col("how") == 2, text('"changed"')).otherwise(none)
+    modified = F.when(F.col("how") <= 1, F.col("dated")).when(F.col("how") == 3, text("day changed")).otherwise(none)
+    given = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(text(k).alias("k"), v.alias("v")) for k, v in pairs]), lambda e: e["v"].isNotNull()))
+    response = F.struct(ts.alias("ts"), text("response").alias("kind"), given(("cache-control", text("max-age=60")), ("content-type", text("text/html")), ("date", ts.cast("string")), ("etag", F.col("tag")), ("last-modified", F.col("dated"))).alias("headers"))
+    revisit = F.struct(later.alias("ts"), text("revisit").alias("kind"), given(("cache-control", text("max-age=120")), ("content-type", text("text/plain")), ("date", later.cast("string")), ("etag", etag), ("last-modified", modified)).alias("headers"))
     both = base.select("page_id", "url", F.explode(F.array(response, revisit)).alias("r"))
     return both.select(F.col("page_id").alias("record_id"), "url", "r.ts", "r.kind", "r.headers")
 
@@ -95,13 +107,16 @@ def resolved_pages(pages: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH b AS (SELECT page_id, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', '') AS bare FROM pages),
+WITH b AS (SELECT page_id, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || substr(md5(coalesce(html, '')), 1, 2) AS dated, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) AS x,
+           regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', '') AS bare FROM pages),
 q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)'))) AS kept FROM b),
-c AS (SELECT page_id, tag, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM q),
-r AS (SELECT url_key, 2 * page_id AS ts, page_id, tag FROM c),
-v AS (SELECT url_key, 2 * page_id + 10001 AS ts, page_id, tag FROM c),
-j AS (SELECT v.page_id AS record_id, v.url_key, v.ts AS asked_ts, v.tag AS asked, r.ts AS was, r.page_id AS response_id, r.tag AS stored FROM v ASOF LEFT JOIN r ON v.url_key = r.url_key AND v.ts > r.ts)
-SELECT record_id, url_key, CASE WHEN response_id IS NULL THEN 'missing' WHEN asked = stored THEN 'resolved' ELSE 'mismatch' END AS outcome, response_id,
-       CASE WHEN response_id IS NULL THEN NULL WHEN asked = stored THEN 'cache-control=max-age=120; content-type=text/html; date=' || asked_ts || '; etag=W/' || asked
-            ELSE 'cache-control=max-age=60; content-type=text/html; date=' || was || '; etag=' || stored END AS headers FROM j
+c AS (SELECT page_id, tag, dated, x % 4 AS asked_when, x // 4 % 5 AS how, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM q),
+r AS (SELECT url_key, 2 * page_id AS ts, page_id, tag, dated FROM c),
+v AS (SELECT url_key, 2 * page_id + CASE asked_when WHEN 0 THEN 160001 WHEN 1 THEN 33 WHEN 2 THEN 1 ELSE -1 END AS ts, page_id, CASE how WHEN 0 THEN tag WHEN 2 THEN '"changed"' END AS asked_tag, CASE WHEN how <= 1 THEN dated WHEN how = 3 THEN 'day changed' END AS asked_date, how FROM c),
+j AS (SELECT v.page_id AS record_id, v.url_key, v.ts AS asked_ts, how, asked_tag, asked_date, r.ts AS was, r.page_id AS response_id, r.tag, r.dated FROM v ASOF LEFT JOIN r ON v.url_key = r.url_key AND v.ts > r.ts),
+o AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN how = 4 THEN 'unverified' WHEN CASE WHEN asked_tag IS NOT NULL THEN asked_tag = tag ELSE asked_date = dated END THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT record_id, url_key, outcome, response_id,
+       CASE WHEN response_id IS NULL THEN NULL
+            WHEN outcome = 'resolved' THEN 'cache-control=max-age=120; content-type=text/html; date=' || asked_ts || '; etag=' || CASE WHEN asked_tag IS NULL THEN tag ELSE 'W/' || asked_tag END || '; last-modified=' || asked_date
+            ELSE 'cache-control=max-age=60; content-type=text/html; date=' || was || '; etag=' || tag || '; last-modified=' || dated END AS headers FROM o
 """
