@@ -1,6 +1,7 @@
 """Operators on pairs and repeats, against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -57,7 +58,7 @@ def test_prefix_join(spark, frame, monkeypatch, block):
     texts = corpus()
     monkeypatch.setattr(prefixjoin.set_components, "__defaults__", (prefixjoin.SIMILARITY, block))
     monkeypatch.setattr(prefixjoin.hot_shingles, "__defaults__", (2, 0.05, 4))
-    monkeypatch.setattr(prefixjoin.shared_sets, "__defaults__", (prefixjoin.SIMILARITY, 3000))
+    monkeypatch.setattr(prefixjoin.shared_sets, "__defaults__", (prefixjoin.SIMILARITY, 3000, None))
     rows = prefixjoin.linked(frame(*enumerate(texts))).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
@@ -69,10 +70,62 @@ def test_prefix_join_edges(frame):
 
 
 def test_one_of_each_group_stays(frame):
-    docs = frame((4, "a b c d e f g"), (2, "a b c d e f g"), (7, "z"), (7, "z"), (8, None), (None, "a b c d e f g"))
+    docs = frame((4, "a b c d e f g"), (2, "a b c d e f g"), (7, "z"), (7, "z"), (8, None), (8, ""), (None, "a b c d e f g"))
     kept = prefixjoin.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "8", "8", "None"]
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    near = long.replace("z", "zz")
+    rows = [(1, long, "p"), (2, near, "q"), (2, "something else that nobody says twice", "r"), (3, "one two three four five six", "s"), (3, "one two three four five six", "t"), (3, "one two three four five seven eight nine ten", "u"), (5, near, "v"), (5, long, "w")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, other string, __gone int, gone int, again int, sid int, whole int")
+    kept = prefixjoin.deduplicated(docs)
+    assert kept.columns == docs.columns
+    # 3 has two sets that are not linked, and each is first in its group
+    assert sorted((r.doc_id, r.other) for r in kept.collect()) == [(1, "p"), (2, "r"), (3, "s"), (3, "u")]
+
+
+def test_sets_that_agree_in_one_hash(spark, frame, monkeypatch):
+    texts = ["a b c d e f", "one two three four five", "a b c d e f"]
+    real = prefixjoin.digests
+    # all sets have one first hash, until they are renamed
+    same = lambda docs, renamed=None: real(docs, renamed) if renamed is not None else real(docs).withColumn("sid", F.lit(7).cast("long"))
+    monkeypatch.setattr(prefixjoin, "digests", same)
+    own, classes, renamed = prefixjoin.classes_of(frame(*enumerate(texts)))
+    assert renamed.tolist() == [7] and classes.count() == 2
+    buf, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 11, 34, 45])
+    _, _, sid, other = prefixjoin.sets(buf, offsets)
+    again = prefixjoin.sets(buf, offsets, np.sort(sid[:1]))[2]
+    assert again.tolist() == [other[0], sid[1], other[2]] and sid[0] == sid[2] != sid[1]
+
+
+def test_buckets_with_many_classes():
+    rnd = np.random.default_rng(3)
+    h, number = rnd.integers(0, 40, 500).astype(np.uint64), rnd.integers(0, 90, 500)
+    want = prefixjoin._shared(h, number)
+    for a, b in zip(want, prefixjoin._shared(h, number, 6), strict=True):
+        assert a.tolist() == b.tolist()
+    assert len(want[0]) and (want[2] > 1).all()
+
+
+def test_long_texts_are_worked_on_in_slices(monkeypatch):
+    from cohortlake.llm import _text
+
+    rnd = random.Random(5)
+    text = " ".join(words(rnd, 3000)) + "  É\tÀb " + "y" * 700 + " end"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    at = np.array([0, len(raw)])
+    whole, plain = _text.shingles(raw, at)[0], plain_shingles(text)
+    monkeypatch.setattr(_text, "PIECE_BYTES", 100)
+    assert _text.shingles(raw, at)[0].tolist() == whole.tolist()
+    assert len(set(whole.tolist())) == len(plain)
+    monkeypatch.setattr(_text.word_runs, "__defaults__", (5, 64))
+    assert _text.plain_shingles(text) == plain
+    some = set(random.Random(1).sample(sorted(plain), 10)) | {("not", "in", "it", "at", "all"), ("end",)}
+    assert _text.plain_shingles(text, wanted=some) == some & plain
+    assert _text.plain_shingles("a  b", wanted={("a", "b")}) == {("a", "b")} and _text.plain_shingles(" \n") == set()
 
 
 def brute_removal(texts):
@@ -98,16 +151,34 @@ def repeats():
     return texts
 
 
-@pytest.mark.parametrize("piece", [1500, 2_000_000])
-def test_suffixes(spark, frame, monkeypatch, piece):
-    texts = repeats()
+@pytest.mark.parametrize(("piece", "least", "merged"), [(1500, 3, 2), (1500, 2000, 1), (2_000_000, 3, 1)])
+def test_suffixes(spark, frame, monkeypatch, piece, least, merged):
+    texts = repeats() + [f"{i} before it " * (i % 4) + "one line that is in every text and has more bytes than a window, so that it goes" + f" and {i} after it" * (i % 3) for i in range(60)]
     monkeypatch.setattr(suffixes, "PIECE_BYTES", piece)
     monkeypatch.setattr(suffixes, "slices", _slices(piece))
-    rows = suffixes.removal(frame(*enumerate(texts)).repartition(3), 500, 50).collect()
+    monkeypatch.setattr(suffixes.hot_minimizers, "__defaults__", (1, least))
+    if merged > 1:
+        monkeypatch.setattr(suffixes.removed_spans, "__defaults__", (3,))
+    rows = suffixes.removal(frame(*enumerate(texts)).repartition(3), 500, 50, 10 if merged > 1 else 10**9).collect()
     want = brute_removal(texts)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
+def test_rows_of_one_id_are_cut_each_for_itself(frame):
+    rnd = random.Random(3)
+    one, two = " ".join(words(rnd, 40, 10**6)), " ".join(words(rnd, 30, 10**6))
+    rows = suffixes.removal(frame((1, one), (2, one[:90] + "z" * 5), (2, two), (2, one), (3, two))).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows)
+    assert got == sorted([(1, len(one), 0), (2, 95, 90), (2, len(two), 0), (2, len(one), len(one)), (3, len(two), len(two))])
+
+
+def test_minimizers_with_many_classes():
+    rnd = np.random.default_rng(3)
+    h, number = rnd.integers(0, 40, 300).astype(np.uint64), rnd.integers(0, 90, 300)
+    for a, b in zip(suffixes._several(h, number), suffixes._several(h, number, 6), strict=True):
+        assert a.tolist() == b.tolist() and len(a)
+
+
 def _slices(piece):
     def slices(text):
         for lo, _, buf, offsets in suffixes.pieces(text, piece):
@@ -174,34 +245,58 @@ def test_small_items_are_found_as_often_as_stated(n):
     assert trials == 4000 and missed <= (1 - decontamination.COLLISION) * trials
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_top_k(spark, block):
+@pytest.mark.parametrize(("block", "group_bytes"), [(7, 200), (4096, 1 << 20)])
+def test_top_k(spark, block, group_bytes):
     rnd = np.random.default_rng(2)
     vectors = {int(i) * 50: rnd.normal(size=6).round(2) for i in range(60)}
     vectors[150] = vectors[100]
     vectors[200] = np.zeros(6)
-    rows = [(i, [float(x) for x in v]) for i, v in vectors.items()] + [(300_000, None), (400_000, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (500_000, [float("nan")] * 6), (600_000, [1.0, 2.0]), (None, [0.0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [float(x) for x in v], 1, 2) for i, v in vectors.items()] + [(300_000, None, 1, 2), (400_000, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1, 2), (500_000, [float("nan")] * 6, 1, 2), (600_000, [1.0, 2.0], 1, 2), (None, [0.0] * 6, 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, number int")
     scaled = topk.scaled(df)
-    got = topk.search(scaled, scaled.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 5, block, 3).collect()
+    got = topk.search(scaled, scaled.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 5, block, group_bytes).collect()
     whole = {i: np.floor(1024 * v).astype(int) for i, v in vectors.items()}
     want = set()
     for q in (i for i in whole if i % 100 == 0):
         best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    assert {(r.query_id, r["rank"], r.id, r.score) for r in got} == want
+    assert {(r.query_id, r["rank"], r.id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.neighbours(df.where("false")).count() == 0
 
 
+def test_repeated_queries_have_a_list_each(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), *[(i, [float(i), -float(i)]) for i in range(1, 30)], (5, [5.0, -5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.neighbours(df, 3).collect())
+    first = [(1, 29, 29 * 1024**2), (2, 28, 28 * 1024**2), (3, 27, 27 * 1024**2)]
+    second = [(1, 1, -(1024**2)), (2, 2, -2 * 1024**2), (3, 3, -3 * 1024**2)]
+    assert got == sorted(first + second * 2)
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e18, 1e18]), (1, [1e18, 1e18]), (2, [-1e18, -1e18]), (3, [1e300, 1.0]), (4, [3e6, 3e6]), (5, [1e-9, -1e18])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    component = lambda x: max(-most - 1, min(int(math.nextafter(2.0**63, 0)), math.floor(x * 1024)))
+    whole = {i: [component(x) for x in v] for i, v in rows}
+    want = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(whole[0], v, strict=True)))), i) for i, v in whole.items() if i)
+    assert [(-r.score, r.vec_id) for r in topk.neighbours(df).orderBy("rank").collect()] == want
+
+
 def test_threshold_stops_early():
     rnd = np.random.default_rng(1)
     lists = topk.Lists(np.arange(5000), (rnd.normal(size=(5000, 2)) * 1000).astype(np.int64))
     seen, scores = [], lists.scores
     lists.scores = lambda rows, q: (seen.append(len(rows)), scores(rows, q))[1]
-    best = lists.top(-1, np.array([3, -2]), 5)
-    every = Counter({i: int(s) for i, s in enumerate(lists.vectors @ np.array([3, -2]))})
-    assert [s for s, _ in best] == [s for _, s in every.most_common(5)]
+    query = np.array([3, -2])
+    ids, best = lists.top(-1, query, 5)
+    every = Counter({i: int(s) for i, s in enumerate(lists.vectors @ query)})
+    assert best.tolist() == [s for _, s in every.most_common(5)]
     assert sum(seen) < 2500
+    # a better kth score from an earlier block leaves nothing to read
+    seen.clear()
+    lists.top(-1, query, 5, ids + 10_000, best + 10_000)
+    assert not seen
 
 
 def test_components(spark):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from cohortlake.llm import language, mixing
 from cohortlake.llm._text import plain_shingles
 from test_pairs import brute_components
@@ -134,6 +135,39 @@ def test_every_stage(spark, table):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_columns_of_any_name_are_kept(spark, table):
+    _, _, at = table
+    names = ["__gone", "gone", "again", "__target", "__source", "__size", "__copies", "size", "target", "row", "of", "copies", "copy", "nth", "sid", "__sid", "lang_pred", "score", "__v0"]
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = wide.columns
+        stage(spark, wide, at).write.parquet(f"{at}/wide-{n}")
+        wide = spark.read.parquet(f"{at}/wide-{n}")
+        assert wide.columns[: len(before)] == before, name
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in wide.collect() for n in names) and wide.columns[-1] == "copy_"
+
+
+def test_stages_are_run_once(spark, table, monkeypatch):
+    _, _, at = table
+    want = sorted(map(str, corpus_pipeline.run(spark, at).collect()))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return docs.mapInArrow(count, docs.schema)
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], ("count", counted), *stages[1:]])
+    out = corpus_pipeline.run(spark, at)
+    assert sorted(map(str, out.collect())) == want
+    assert seen.value == language.keep_identified(spark.read.parquet(f"{at}/documents.parquet")).count()
+
+
 def test_empty_tables(spark, table):
     _, _, at = table
     docs = spark.read.parquet(f"{at}/documents.parquet").where("false")

@@ -87,6 +87,50 @@ def test_pii(frame):
     assert pii.find(docs.where("false")).count() == 0
 
 
+def test_added_spans_are_mostly_right():
+    """Precision and recall of what is added to the base spans, over planted secrets, local numbers and what only looks like them."""
+    rnd = random.Random(4)
+    pick = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = lower + lower.upper() + digits
+    real = [lambda: ("secret", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "key is {}"), lambda: ("secret", "ghp_" + pick(mixed, 36), "token: {} "), lambda: ("secret", pick("0123456789abcdef", 32), 'password = "{}"'), lambda: ("secret", pick(mixed, 24) + "9aZ", "api_key={} "), lambda: ("localphone", f"({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}", "call {} now"), lambda: ("localphone", f"{rnd.randrange(200, 999)}-{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}", "phone {}.")]
+    fake = [lambda: f"https://www.{pick(lower, 8)}.com/{pick(lower, 6)}/{rnd.randrange(10**5)}", lambda: f"/usr/{pick(lower, 5)}/{pick(lower, 6)}{rnd.randrange(99)}", lambda: f"{pick(lower, 14)}-{rnd.randrange(2000)}", lambda: f"section-{rnd.randrange(99)}-of-chapter", lambda: f"{pick(lower, 13)}{rnd.randrange(9)}"]
+    texts, planted = [], []
+    for _ in range(600):
+        text, own = " ".join(pick(lower, rnd.randrange(2, 9)) for _ in range(8)) + " ", set()
+        for _ in range(2):
+            if rnd.random() < 0.5:
+                kind, value, frame = rnd.choice(real)()
+                before, after = frame.split("{}")
+                own.add((kind, len(text) + len(before), len(text) + len(before) + len(value)))
+                text += before + value + after + " "
+            else:
+                text += "see " + rnd.choice(fake)() + " and "
+        texts.append(text)
+        planted.append(own)
+    counts = {}
+    for t in texts:
+        for kind, _, _, shape in pii.proposals(t, pii.base_spans(t)):
+            counts[kind, shape] = counts.get((kind, shape), 0) + 1
+    fitted = pii.Labeling(counts)
+    got = [set(fitted.spans(t)[1]) for t in texts]
+    right = sum(len(g & p) for g, p in zip(got, planted, strict=True))
+    assert right >= 0.95 * sum(map(len, planted)) and right >= 0.95 * sum(map(len, got))
+
+
+def test_proposals_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = "a.b@c.example.com 4111111111111111 tok3n-abcdefghij1 " * n
+        began = time.perf_counter()
+        pii.proposals(text, pii.base_spans(text))
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(8000) < 40 * max(seconds(800), 0.005)
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rnd, counts = random.Random(2), {}
     for _ in range(4000):
@@ -129,23 +173,71 @@ def test_short_notices_are_found_in_longer_texts(frame):
     assert [r.doc_id for r in licenses.scan(frame((1, "x one"), (2, "two")), few[:1]).collect()] == [1]
 
 
-TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hé"), (1, 2, "bob", "hé"), (1, 3, None, "?"), (2, None, "ann", None), (3, 0, "system", "alone"), (None, 0, "eve smith", "lost")]
+def test_notices_with_edits_are_found(frame):
+    """Recall at the limit of containment, of whole notices and of edited ones, inside other text."""
+    rnd = random.Random(8)
+    rows, want = [], set()
+    for n, (_, notice) in enumerate(licenses.TEMPLATES):
+        own = set(zip(*[notice.lower().split()[i:] for i in range(5)], strict=False))
+        for _ in range(12):
+            words = notice.split()
+            for _ in range(rnd.randrange(4)):  # each edit breaks up to five shingles
+                edited = list(words)
+                edited[rnd.randrange(len(words))] = f"e{rnd.getrandbits(30)}"
+                if own and len(own & set(zip(*[" ".join(edited).lower().split()[i:] for i in range(5)], strict=False))) >= 0.8 * len(own):
+                    words = edited
+            around = [" ".join(f"w{rnd.getrandbits(30)}" for _ in range(30)) for _ in range(2)]
+            want.add((len(rows), n))
+            rows.append((len(rows), f"{around[0]} {' '.join(words)} {around[1]}"))
+    got = {(r.doc_id, r.notice) for r in licenses.scan(frame(*rows)).collect()}
+    assert len(want & got) >= 0.995 * len(want) and len(want) > 250
+
+
+def test_notices_in_slices(frame, monkeypatch):
+    notice = licenses.TEMPLATES[5][1]
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(50)}" for _ in range(k)) + " " + notice + " " + " ".join(f"w{rnd.randrange(50)}" for _ in range(40)) for k in (0, 5, 11, 90)]
+    rows = [*enumerate(texts), (9, "All rights " + "reserved. " * 200), (9, texts[0]), (10, None), (11, "x" * 3000)]
+    whole = sorted(map(tuple, licenses.scan(frame(*rows)).collect()))
+    monkeypatch.setattr(licenses.sliced, "__defaults__", (150, 120))
+    assert sorted(map(tuple, licenses.scan(frame(*rows)).collect())) == whole and len(whole) == 6
+
+
+TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hé"), (1, 2, "bob", "hé"), (1, 3, None, "?"), (2, None, "ann", None), (3, 0, "system", "alone"), (None, 0, "eve smith", "lost"), (4, 0, "张三", "a"), (4, 1, "李四", "b"), (4, 2, "x|>%", "c"), (4, 3, "unknown", "d"), (4, 4, None, "e"), (4, 4, "", "f")]
 
 
 def test_chat(spark):
-    df = spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, part int")
+    df = spark.createDataFrame([(*t, 1, 2, "z") for t in TURNS], "conv_id long, turn long, role string, text string, part int, at int, perspective string")
     rows = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
-    assert set(rows) == {(1, "ann"), (1, "bob"), (2, "ann"), (None, "eve smith")}
+    assert set(rows) == {(1, "ann"), (1, "bob"), (2, "ann"), (None, "eve smith"), *((4, r) for r in ("张三", "李四", "x|>%", "unknown", ""))}
     bob = rows[1, "bob"]
-    assert bob.text == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi < |end|><|end|>\n<|assistant|>\nhé<|end|>\n<|assistant|>\nhé<|end|>\n<|user name=unknown|>\n?<|end|>\n"
-    spans = [tuple(map(int, x.split(":"))) for x in bob.mask.split(",")]
-    assert [bob.text[a:b] for a, b in spans] == ["hé<|end|>"] * 2
+    assert bob.text == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi < |end|><|end|>\n<|assistant|>\nhé<|end|>\n<|assistant|>\nhé<|end|>\n<|user|>\n?<|end|>\n"
+    said = lambda text, mask: [text[a:b] for a, b in (map(int, x.split(":")) for x in mask.split(",") if x)]
+    assert said(bob.text, bob.mask) == ["hé<|end|>"] * 2
     assert rows[2, "ann"].mask == "14:21" and rows[2, "ann"].n_turns == 1
-    parts = chat.rotate(df, part=2).where("conv_id = 1 AND perspective = 'bob'").orderBy("part").collect()
-    assert "".join(r.text for r in parts) == bob.text and [r.part for r in parts] == [0, 1, 2]
+    heads = rows[4, ""].text.split("\n")[::2][:-1]
+    assert heads == ["<|user name=张三|>", "<|user name=李四|>", "<|user name=x%7C%3E%25|>", "<|user name=unknown|>", "<|user|>", "<|assistant|>"]
+    # in parts, texts and spans are those of the whole
+    for size in (1, 2, 3):
+        by = {}
+        for r in sorted(chat.rotate(df, part=size).collect(), key=lambda r: r.part):
+            by.setdefault((r.conv_id, r.perspective), []).append(r)
+        assert {k: ("".join(r.text for r in v), ",".join(r.mask for r in v if r.mask)) for k, v in by.items()} == {k: (r.text, r.mask) for k, r in rows.items()}
+        assert all(r.part == n and r.at == sum(len(x.text) for x in v[:n]) and r.n_turns <= size for v in by.values() for n, r in enumerate(v))
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    long = spark.range(600).select(F.lit(9).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    whole = spark.createDataFrame([(8, 0, "a", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    got = chat.rotate(long.union(whole)).collect()
+    assert sorted((r.conv_id, r.perspective, r.part, r.n_turns) for r in got) == [(8, "a", 0, 1)] + [(9, p, k, n) for p in "ab" for k, n in ((0, 256), (1, 256), (2, 88))]
+    parts = sorted((r for r in got if r.conv_id == 9 and r.perspective == "b"), key=lambda r: r.part)
+    text, mask = "".join(r.text for r in parts), ",".join(r.mask for r in parts)
+    assert [text[a:b] for a, b in (map(int, x.split(":")) for x in mask.split(","))] == [f"t{i}<|end|>" for i in range(1, 600, 2)]
+    assert next(r for r in got if r.conv_id == 8).mask == "14:300021"
+
+
 def test_canonical_urls(spark):
     urls = {"http://www.A.com:80/x/?b=2&a=1&utm_source=q#top": "a.com/x?a=1&b=2", "https://a.com/x": "a.com/x", "HTTPS://A.com": "a.com", "a.com/X/": "a.com/X", "http://a.com/?ref=1": "a.com"}
     df = spark.createDataFrame([(u,) for u in urls], "url string")
