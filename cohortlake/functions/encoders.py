@@ -19,6 +19,13 @@ def folded_hash(value: Column) -> Column:
     return F.when(value.isNotNull(), h.bitwiseXOR(F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(UINT32)))
 
 
+def hashed(value: Column, encoding: str, algo: str | None = None) -> Column:
+    """The code of a hashed dimension, 32 bits as a long: by murmur3 or xxhash64 as told, else as the encoding has it."""
+    if (algo or ("murmur3" if encoding == "hash32" else "xxh3")) == "murmur3":
+        return F.when(value.isNotNull(), F.hash(value.cast("string")).cast("bigint").bitwiseAND(F.lit(UINT32)))
+    return folded_hash(value.cast("string"))
+
+
 def stable_fraction(value: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of the MD5 of the value's text: the same in any engine."""
     return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

@@ -6,7 +6,7 @@ raw_<dimension> (for dimensions kept by last value), field_<field> (for metrics)
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,17 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortlake.functions.coerce import at_path, coerce, coerce_json, event_ms
-from cohortlake.functions.encoders import UINT32, bucketed, uint32
+from cohortlake.functions.encoders import UINT32, bucketed, hashed, uint32
 from cohortlake.plans.config import INTEGERS, Dimension, IndexConfig
 
 OTHER = "__overflow__"
 SEGMENT = ("part", "bucket")
 
 
-class CardinalityError(RuntimeError):
-    pass
-
-
 class TooManySegments(ValueError):
     pass
 
@@ -73,7 +69,7 @@ def dimension(cfg: IndexConfig, dim: Dimension) -> Column:
         value = bucketed(number, dim.bucket)
     if dim.numeric:
         return uint32(value.try_cast("bigint") if kind == "string" and dim.bucket is None else value.cast("bigint"))
-    return value.cast("string")
+    return hashed(value, dim.encoding, dim.hashAlgo) if dim.hashed else value.cast("string")
 
 
 def cells(records: DataFrame, cfg: IndexConfig, part: Column, offset: Column, source_ms: Column | None = None, json: str | None = None) -> DataFrame:
@@ -85,6 +81,8 @@ def cells(records: DataFrame, cfg: IndexConfig, part: Column, offset: Column, so
         member = uint32(member.cast("bigint") if cfg.fields[cfg.member.field].type in INTEGERS else member.try_cast("bigint"))
     elif cfg.fields[cfg.member.field].type == "bytes":
         member = F.hex(member)
+    if cfg.member.encoding == "hash64":
+        member = F.when(member.isNotNull(), F.xxhash64(member.cast("string")))
     last = {f"raw_{n}": F.when(F.col(f"field_{cfg.dimension(n).field}").cast("double").between(0, UINT32), F.col(f"field_{cfg.dimension(n).field}").cast("double").cast("bigint")) for n in cfg.experimentalModels.bsiDims}
     kept = sorted({m.field for m in cfg.metrics if m.field})
     out = rows.select(
@@ -92,36 +90,40 @@ def cells(records: DataFrame, cfg: IndexConfig, part: Column, offset: Column, so
         *[dimension(cfg, d).alias(f"dim_{d.name}") for d in cfg.dimensions], *[c.alias(n) for n, c in last.items()], *[F.col(f"field_{n}") for n in kept],
     )
     out = out.where(F.col("member").isNotNull() & F.col("bucket").isNotNull())
-    return reduce(lambda df, d: guarded(df, d), [d for d in cfg.dimensions if d.maxCardinality is not None], out)
+    out = reduce(lambda df, d: guarded(df, f"dim_{d.name}", d.maxCardinality, d.onOverflow, not d.numeric and not d.hashed), [d for d in cfg.dimensions if d.maxCardinality is not None], out)
+    book = cfg.member.dict
+    if cfg.member.encoding != "dict" or book is None or book.maxSize is None:
+        return out
+    text = dict(out.dtypes)["member"] == "string"
+    return guarded(out, "member", book.maxSize, book.onOverflow, text).where(F.col("member").isNotNull())
 
 
-def first_seen(df: DataFrame, dim: Dimension) -> DataFrame:
-    """(part, bucket, value, nth): the values of a dimension in each segment in order of first appearance."""
-    seen = df.where(F.col(f"dim_{dim.name}").isNotNull()).groupBy(*SEGMENT, F.col(f"dim_{dim.name}").alias("value")).agg(F.min("offset").alias("first"))
+def first_seen(df: DataFrame, column: str) -> DataFrame:
+    """(part, bucket, value, nth): the values of a column in each segment in order of first appearance."""
+    seen = df.where(F.col(column).isNotNull()).groupBy(*SEGMENT, F.col(column).alias("value")).agg(F.min("offset").alias("first"))
     return seen.select(*SEGMENT, "value", F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("first", "value")).alias("nth"))
 
 
-def guarded(df: DataFrame, dim: Dimension) -> DataFrame:
-    """df with at most maxCardinality values of a dimension in each segment, those seen first.
+def guarded(df: DataFrame, name: str, most: int, on_overflow: str, text: bool) -> DataFrame:
+    """df with at most so many values of a column in each segment, those seen first.
 
-    Others become null (reject) or one value of their own (overflow), or stop the job (halt).
+    Others become null (reject) or, of texts, one value of their own (overflow), or stop the job (halt).
     """
-    late = first_seen(df, dim).where(F.col("nth") > dim.maxCardinality).select(*SEGMENT, F.col("value").alias("__late"))
-    name = f"dim_{dim.name}"
-    joined = df.join(late, [df[c].eqNullSafe(late[c]) for c in SEGMENT] + [df[name] == late["__late"]], "left").drop(*[late[c] for c in SEGMENT])
+    late = first_seen(df, name).where(F.col("nth") > most).select(F.col("part").alias("__p"), F.col("bucket").alias("__b"), F.col("value").alias("__late"))
+    same = F.col("part").eqNullSafe(F.col("__p")) & F.col("bucket").eqNullSafe(F.col("__b")) & (F.col(name) == F.col("__late"))
+    joined = df.join(late, same, "left")
     over = F.col("__late").isNotNull()
-    if dim.onOverflow == "halt":
-        message = F.lit(f"dimension {dim.name} has more than {dim.maxCardinality} values in a segment")
+    if on_overflow == "halt":
+        message = F.lit(f"{name.removeprefix('dim_')} has more than {most} values in a segment")
         value = F.when(over, F.raise_error(message).cast(df.schema[name].dataType)).otherwise(F.col(name))
     else:
-        instead = F.lit(OTHER) if dim.onOverflow == "overflow" and not dim.numeric else F.lit(None)
-        value = F.when(over, instead).otherwise(F.col(name))
+        value = F.when(over, F.lit(OTHER) if on_overflow == "overflow" and text else F.lit(None)).otherwise(F.col(name))
     return joined.withColumn(name, value.cast(df.schema[name].dataType)).select(*df.columns)
 
 
 def overflow_counts(df: DataFrame, dim: Dimension) -> DataFrame:
     """(part, bucket, accepted, overflowed) values of a dimension that df holds before the guard."""
-    seen = first_seen(df, dim)
+    seen = first_seen(df, f"dim_{dim.name}")
     return seen.groupBy(*SEGMENT).agg(F.count_if(F.col("nth") <= dim.maxCardinality).alias("accepted"), F.count_if(F.col("nth") > dim.maxCardinality).alias("overflowed"))
 
 
@@ -135,26 +137,34 @@ def pruned(df: DataFrame, cfg: IndexConfig, start: int | None = None, end: int |
     return df.where(F.col("part").isin(parts)) if parts else df
 
 
-def postings(df: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """(part, bucket, member, dim, value), distinct: which members have a value of a dimension."""
-    pairs = F.array(*[F.struct(F.lit(d.name).alias("dim"), F.col(f"dim_{d.name}").cast("string").alias("value")) for d in cfg.dimensions])
-    rows = df.select(*SEGMENT, "member", F.explode(pairs).alias("p")).select(*SEGMENT, "member", "p.dim", "p.value")
+def values(cfg: IndexConfig) -> Column:
+    """The values of a record's dimensions: (dim, value as text, code as a number)."""
+    return F.array(*[F.struct(F.lit(d.name).alias("dim"), F.col(f"dim_{d.name}").cast("string").alias("value"), (F.col(f"dim_{d.name}") if d.numeric or d.hashed else F.lit(None)).cast("bigint").alias("code")) for d in cfg.dimensions])
+
+
+def postings(df: DataFrame, cfg: IndexConfig, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """(segment, member, dim, value, code), distinct: which members have a value of a dimension."""
+    rows = df.select(*keys, "member", F.explode(values(cfg)).alias("p")).select(*keys, "member", "p.*")
     return rows.where(F.col("value").isNotNull()).distinct()
 
 
-def catalog(df: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """A row for each segment: id, times, records, offsets and distinct values of every dimension."""
-    base = df.groupBy(*SEGMENT).agg(F.count("*").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
-    pairs = F.array(*[F.struct(F.lit(d.name).alias("dim"), F.col(f"dim_{d.name}").cast("string").alias("value")) for d in cfg.dimensions])
-    values = df.select(*SEGMENT, F.explode(pairs).alias("p")).where("p.value IS NOT NULL").distinct()
-    counted = values.groupBy(*SEGMENT).agg(*[F.count_if(F.col("p.dim") == d.name).alias(f"values_{d.name}") for d in cfg.dimensions])
-    out = base.join(counted, list(SEGMENT), "left")
+def listed(base: DataFrame, pairs: DataFrame, cfg: IndexConfig, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """A row for each segment of base, which has its records and offsets, with its distinct values of every dimension, from pairs (dim, value)."""
+    counted = pairs.distinct().groupBy(*keys).agg(*[F.count_if(F.col("dim") == d.name).alias(f"values_{d.name}") for d in cfg.dimensions])
+    out = base.join(counted, list(keys), "left")
     return out.select(
-        F.concat_ws("-", F.lit("p").alias("p"), "part", "bucket").alias("id"), "part", F.col("bucket").alias("start_ms"), (F.col("bucket") + F.lit(cfg.bucket_ms)).alias("end_ms"), "records", "first_offset", "last_offset",
+        F.concat_ws("-", F.lit("p").alias("p"), "part", "bucket").alias("id"), *[k for k in keys if k not in SEGMENT], "part", F.col("bucket").alias("start_ms"), (F.col("bucket") + F.lit(cfg.bucket_ms)).alias("end_ms"), "records", "first_offset", "last_offset",
         *[F.coalesce(f"values_{d.name}", F.lit(0)).cast("bigint").alias(f"values_{d.name}") for d in cfg.dimensions],
     )
 
 
+def catalog(df: DataFrame, cfg: IndexConfig, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """A row for each segment: id, times, records, offsets and distinct values of every dimension."""
+    base = df.groupBy(*keys).agg(F.count("*").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+    pairs = df.select(*keys, F.explode(values(cfg)).alias("p")).where("p.value IS NOT NULL").select(*keys, "p.dim", "p.value")
+    return listed(base, pairs, cfg, keys)
+
+
 def dimension_cardinality(df: DataFrame, cfg: IndexConfig) -> DataFrame:
     """(dim, values): distinct values of each dimension over all segments."""
     return postings(df, cfg).select("dim", "value").distinct().groupBy("dim").agg(F.count("*").alias("values"))

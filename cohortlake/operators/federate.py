@@ -1,4 +1,4 @@
-"""Several nodes as one: cells with a node column in one plan, so members found by two nodes count once."""
+"""Several nodes as one, in one plan. A node's segments are its own: a filter is evaluated on each, and the members that are found count once."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.plans.config import IndexConfig
 
-from .cells import SEGMENT, catalog
+from .cells import SEGMENT
 from .queries import Engine
 
 
@@ -21,42 +21,36 @@ class Federation:
         self.cfg = cfg
         up = set(nodes if available is None else available)
         self.up = {n: df for n, df in nodes.items() if n in up}
-        self.partial = len(self.up) < len(nodes)
+        self.down = [n for n in nodes if n not in up]
         if not self.up:
             raise ValueError("no node is available")
-        self.cells = reduce(DataFrame.unionByName, [df.withColumn("node", F.lit(n)) for n, df in self.up.items()])
-        # a segment of one node is no segment of another, even for one part and time
-        self.engine = Engine(self.cells, cfg)
+        # the node is part of a segment's key: one part and time of two nodes are two segments
+        cells = reduce(DataFrame.unionByName, [df.withColumn("node", F.lit(n)) for n, df in self.up.items()])
+        self.engine = Engine(cells, cfg, ("node", *SEGMENT))
+
+    @property
+    def partial(self) -> bool:
+        return bool(self.down)
 
     def _flag(self, df: DataFrame) -> DataFrame:
         return df.withColumn("partial", F.lit(self.partial))
 
     def query(self, filter: str | None = None, agg: str = "count", **where) -> DataFrame:
         """One row as of Engine.query, with partial. Counts add up; members and sketches are merged."""
-        if agg in ("cardinality",):
-            return self._flag(self.engine.query(filter, agg, **where))
-        each = [Engine(df, self.cfg).query(filter, agg, **where) for df in self.up.values()]
-        metric = self.cfg.metric(agg)
-        if metric is not None and metric.type in ("ull", "hll", "cpc"):
-            return self._flag(self.engine.query(filter, agg, **where))
-        rows = reduce(DataFrame.unionByName, each)
-        return self._flag(rows.groupBy("metric", "approx").agg(F.sum("segments").alias("segments"), F.sum("matched").alias("matched"), F.sum("result").alias("result")).select("segments", "matched", "result", "metric", "approx"))
+        return self._flag(self.engine.query(filter, agg, **where))
 
     def facets(self, filter: str | None = None, top: int = 20, **where) -> DataFrame:
-        from pyspark.sql.window import Window
-
-        rows = reduce(DataFrame.unionByName, [Engine(df, self.cfg).facets(filter, 1000, **where) for df in self.up.values()])
-        counted = rows.groupBy("dim", "value").agg(F.sum("count").alias("count"))
-        place = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("count"), "value"))
-        return self._flag(counted.withColumn("place", place).where(F.col("place") <= top).drop("place"))
+        return self._flag(self.engine.facets(filter, top, **where))
 
     def timeseries(self, step: str, filter: str | None = None, agg: str = "count", **where) -> DataFrame:
         return self._flag(self.engine.timeseries(step, filter, agg, **where))
 
     def segments(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [catalog(df, self.cfg).withColumn("node", F.lit(n)) for n, df in self.up.items()])
+        return self.engine.segments()
 
     def nodes(self) -> DataFrame:
-        """(node, segments, records)."""
-        by = self.cells.groupBy("node", *SEGMENT).agg(F.count("*").alias("n"))
-        return by.groupBy("node").agg(F.count("*").alias("segments"), F.sum("n").alias("records"))
+        """(node, up, segments, records) of all nodes; none are known of those away."""
+        by = self.engine.cells.groupBy(*self.engine.keys).agg(F.count("*").alias("n"))
+        rows = by.groupBy("node").agg(F.count("*").alias("segments"), F.sum("n").alias("records"))
+        names = self.engine.cells.sparkSession.createDataFrame([(n, n in self.up) for n in [*self.up, *self.down]], "node string, up boolean")
+        return names.join(F.broadcast(rows), "node", "left").select("node", "up", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("records", F.lit(0)).alias("records"))

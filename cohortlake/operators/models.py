@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from cohortlake.functions.encoders import stable_fraction
 from cohortlake.plans.config import IndexConfig
-from cohortlake.plans.filters import Always, And, Filter, FilterError, Not, OneOf, Or, leaves, parse, ranges, within
+from cohortlake.plans.filters import Always, And, Filter, FilterError, Not, OneOf, Or, parse, ranges, within
 
 from .cells import SEGMENT, pruned
 from .queries import BUILT_IN, Engine, UnsupportedQuery, in_universe
@@ -90,9 +90,17 @@ def profile_count(engine: Engine, filter: str | None = None) -> DataFrame:
 
 
 def permutation(df: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """(part, bucket, member, position): members of a segment in order of signature, so that cohorts lie together."""
-    order = Window.partitionBy(*SEGMENT).orderBy(F.col("signature"), F.col("member"))
-    return signatures(df, cfg).select(*SEGMENT, "member", (F.row_number().over(order) - 1).alias("position"))
+    """(part, bucket, member, position): members of a segment in order of signature, so that cohorts lie together.
+
+    A cohort begins after the members of all earlier ones; only a cohort's members are put in order together.
+    """
+    own = signatures(df, cfg)
+    sizes = own.groupBy(*SEGMENT, "signature").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy(*SEGMENT).orderBy("signature").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*SEGMENT, "signature", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("begin"))
+    nth = F.row_number().over(Window.partitionBy(*SEGMENT, "signature").orderBy("member"))
+    numbered = own.select(*SEGMENT, "signature", "member", nth.alias("nth"))
+    return numbered.join(begins, [*SEGMENT, "signature"]).select(*SEGMENT, "member", (F.col("begin") + F.col("nth") - 1).alias("position"))
 
 
 def reordered_count(engine: Engine, filter: str | None = None) -> DataFrame:
@@ -139,7 +147,7 @@ def compare(engine: Engine, models: str | Iterable[str], filter: str | None = No
                 elif name == "reordered":
                     found = reordered_count(part, filter)
                 elif name == "bsi":
-                    hits = part.flagged(part.cells, tree, keep_outside=True).where("hit")
+                    hits = part.hits(tree, keep_outside=True)
                     found = hits.agg(F.count("*").alias("matched"), F.count_distinct("member").alias("result"))
                 else:
                     found = part.query(filter, agg, canonical=True)
@@ -152,5 +160,3 @@ def compare(engine: Engine, models: str | Iterable[str], filter: str | None = No
         out = row if out is None else out.unionByName(row)
     return out
 
-
-__all__ = ["MODELS", "compare", "last_value_count", "last_value_sum", "last_values", "leaves", "model_list", "permutation", "profile_count", "profiles", "reordered_count", "sampled", "signatures", "theta_estimate", "why_not"]

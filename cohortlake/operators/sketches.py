@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.plans.config import IndexConfig, Metric
+from cohortlake.plans.config import Metric
 
 from .cells import SEGMENT
 
 
-def sketch(df: DataFrame, metric: Metric) -> DataFrame:
-    """(part, bucket, slices, sketch): records with a null slice are left out."""
-    slices = [f"dim_{s}" for s in metric.sliceBy or []]
-    kept = df.dropna(subset=slices) if slices else df
-    return kept.groupBy(*SEGMENT, *slices).agg(F.hll_sketch_agg(F.col(f"field_{metric.field}").cast("string"), F.lit(metric.precision)).alias("sketch"))
+def slices(metric: Metric) -> list[str]:
+    return [f"dim_{s}" for s in metric.sliceBy or []]
+
+
+def sketch(df: DataFrame, metric: Metric, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """(segment, slices, sketch): records with a null slice are left out."""
+    by = slices(metric)
+    kept = df.dropna(subset=by) if by else df
+    return kept.groupBy(*keys, *by).agg(F.hll_sketch_agg(F.col(f"field_{metric.field}").cast("string"), F.lit(metric.precision)).alias("sketch"))
 
 
 def merged(sketches: DataFrame, *by: str) -> DataFrame:
     """The estimate over all segments, for each value of by."""
     return sketches.groupBy(*by).agg(F.hll_union_agg("sketch", F.lit(True)).alias("sketch")).withColumn("estimate", F.hll_sketch_estimate("sketch")).drop("sketch")
-
-
-def sliced(df: DataFrame, cfg: IndexConfig, metric: Metric) -> DataFrame:
-    """The estimate for each slice of a metric."""
-    return merged(sketch(df, metric), *[f"dim_{s}" for s in metric.sliceBy or []])
-
-
-def theta_members(df: DataFrame, *by: str) -> DataFrame:
-    """Theta sketches of members, which can be intersected and subtracted as well as merged."""
-    return df.groupBy(*by).agg(F.theta_sketch_agg("member").alias("sketch"))

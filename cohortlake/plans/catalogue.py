@@ -14,16 +14,19 @@ from cohortlake.operators import models
 from cohortlake.operators.cells import cells, dimension_cardinality, overflow_counts
 from cohortlake.operators.federate import Federation
 from cohortlake.operators.queries import Engine
+from cohortlake.operators.segments import Stored
 from cohortlake.sources.scratch import scratch
 from cohortlake.sources.store import Store
-from cohortlake.streaming.ingest import Ingest
+from cohortlake.streaming.ingest import Ingest, open_segments
 
-from .config import Bucket, Dimension
-from .fixtures import JAN1, JAN31, event_config, event_rows, events, lineitem, orders, with_k
+from .config import Bucket, Dimension, IndexConfig
+from .fixtures import EVENTS, JAN1, JAN31, event_config, event_rows, events, lineitem, orders, with_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+FILTERS: dict[str, tuple] = {}
+"""The filters that are asked of the events and of a store of them."""
 DAY = 86_400_000
 JAN5_6H, JAN6_6H = 1704434400000, 1704520800000
 
@@ -48,6 +51,8 @@ SELECT count(DISTINCT (part, bucket)) AS segments, CAST(count(*) FILTER (WHERE h
 
 def _filter(name: str, text: str | None, flags: dict[str, str], condition: str, agg: str = "cardinality", where: str = "true", engine=events, cells: str = CELLS, **limits) -> None:
     result = "count(DISTINCT CASE WHEN hit THEN member END)" if agg != "count" else "CAST(count(*) FILTER (WHERE hit) AS BIGINT)"
+    if engine is events:
+        FILTERS[name] = (text, agg, limits)
     _register(name, lambda s, d: engine(s, d).query(text, agg, **limits), _hits(flags, condition, result, agg, where, cells))
 
 
@@ -88,10 +93,9 @@ def _near(estimate: DataFrame, exact: DataFrame) -> DataFrame:
     return both.select("segments", (F.abs(F.col("estimate") / F.col("result") - 1) < 0.05).alias("close"))
 
 
-def _sliced(s: SparkSession, d: str) -> DataFrame:
-    engine = events(s, d)
-    exact = engine.cells.groupBy("dim_event_type").agg(F.count_distinct("field_k").alias("exact"))
-    both = engine.sliced("distinctK").join(exact, "dim_event_type")
+def _sliced(s: SparkSession, d: str, engine: Engine | None = None) -> DataFrame:
+    exact = events(s, d).cells.groupBy("dim_event_type").agg(F.count_distinct("field_k").alias("exact"))
+    both = (engine or events(s, d)).sliced("distinctK").join(exact, "dim_event_type")
     return both.select(F.col("dim_event_type").alias("event_type"), (F.abs(F.col("estimate") / F.col("exact") - 1) < 0.05).alias("close"))
 
 
@@ -174,20 +178,57 @@ _register("fanout_cardinality", lambda s, d: _nodes(s, d).query("event_type:purc
 _register("fanout_count", lambda s, d: _nodes(s, d).query("event_type:purchase", "count"), f"WITH {CELLS} SELECT (SELECT count(DISTINCT (part, bucket)) FROM c) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT (part, bucket, member)) AS result, 'count' AS metric, false AS approx, false AS partial FROM c WHERE event_type = 'purchase'")
 _register("fanout_facets", lambda s, d: _nodes(s, d).facets("event_type:error", 5), f"WITH {CELLS}, {_POSTINGS}, e AS (SELECT DISTINCT part, bucket, member FROM c WHERE event_type = 'error'), n AS (SELECT dim, value, count(*) AS count FROM p SEMI JOIN e USING (part, bucket, member) GROUP BY ALL) " + _TOP.format(5).replace("SELECT dim, value, count FROM", "SELECT dim, value, count, false AS partial FROM"))
 _register("fanout_segments", lambda s, d: _nodes(s, d).segments().select("node", "part", "start_ms", "records"), f"WITH {CELLS} SELECT 'node' || (part % 2) AS node, part, bucket AS start_ms, count(*) AS records FROM c GROUP BY part, bucket")
-_register("fanout_nodes", lambda s, d: _nodes(s, d).nodes(), f"WITH {CELLS} SELECT 'node' || (part % 2) AS node, count(DISTINCT (part, bucket)) AS segments, count(*) AS records FROM c GROUP BY 1")
+_register("fanout_nodes", lambda s, d: _nodes(s, d).nodes(), f"WITH {CELLS} SELECT 'node' || (part % 2) AS node, true AS up, count(DISTINCT (part, bucket)) AS segments, count(*) AS records FROM c GROUP BY 1")
 _register("fanout_partial", lambda s, d: Federation({f"node{i}": events(s, d).cells.where(f"part % 2 = {i}") for i in (0, 1)}, events(s, d).cfg, ["node0"]).query(None, "cardinality"), f"WITH {CELLS} SELECT count(DISTINCT (part, bucket)) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT member) AS result, 'cardinality' AS metric, false AS approx, true AS partial FROM c WHERE part % 2 = 0")
 
 
+# nodes that have the same parts and times: a node's segments are its own
+def _shared(s: SparkSession, d: str) -> Federation:
+    e = events(s, d)
+    return Federation({f"node{i}": e.cells.where(f"offset % 2 = {i}") for i in (0, 1)}, e.cfg)
+
+
+def _shared_hits(flags: dict[str, str], condition: str, result: str, agg: str) -> str:
+    leaves = "".join(f", coalesce(bool_or({sql}), false) AS {name}" for name, sql in flags.items())
+    return f"""WITH {CELLS}, m AS (SELECT "offset" % 2 AS node, part, bucket, member{leaves} FROM c GROUP BY ALL), h AS (SELECT *, ({condition}) AS hit FROM m)
+SELECT count(DISTINCT (node, part, bucket)) AS segments, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS matched, {result} AS result, '{agg}' AS metric, false AS approx, false AS partial FROM h"""
+
+
+_HIT_MEMBERS, _HIT_PAIRS = "count(DISTINCT CASE WHEN hit THEN member END)", "CAST(count(*) FILTER (WHERE hit) AS BIGINT)"
+_register("fanout_shared_and", lambda s, d: _shared(s, d).query("event_type:purchase AND event_type:click", "cardinality"), _shared_hits(_p | _c, "p AND c", _HIT_MEMBERS, "cardinality"))
+_register("fanout_shared_not", lambda s, d: _shared(s, d).query("NOT event_type:purchase", "count"), _shared_hits(_p, "NOT p", _HIT_PAIRS, "count"))
+_register("fanout_timeseries", lambda s, d: _shared(s, d).timeseries("1d", "event_type:purchase AND event_type:click", "cardinality", start=JAN1, end=JAN31), f"""WITH {CELLS}, m AS (SELECT "offset" % 2 AS node, part, bucket, member FROM c GROUP BY ALL HAVING bool_or(event_type = 'purchase') AND bool_or(event_type = 'click'))
+SELECT {JAN1} + i * 86400000 AS step_start, {JAN1} + (i + 1) * 86400000 AS step_end, count(DISTINCT member) AS result, false AS partial FROM range(30) t(i) LEFT JOIN m ON bucket = {JAN1} + i * 86400000 GROUP BY i""")
+_register("fanout_sketch", lambda s, d: _near(_shared(s, d).query(None, "distinctUsers").select("segments", F.col("result").alias("estimate")), events(s, d).query(None, "cardinality").select("result")), f"""WITH {CELLS} SELECT count(DISTINCT ("offset" % 2, part, bucket)) AS segments, true AS close FROM c""")
+_register("fanout_shared_facets", lambda s, d: _shared(s, d).facets(None, 5), f"WITH {CELLS.replace('AS member, event_type', 'AS member, event_id % 2 AS node, event_type')}, {_POSTINGS.replace('DISTINCT part', 'DISTINCT node, part')}, n AS (SELECT dim, value, count(*) AS count FROM p GROUP BY ALL) " + _TOP.format(5).replace("SELECT dim, value, count FROM", "SELECT dim, value, count, false AS partial FROM"))
+
+
 # store and stream
-def _stored(s: SparkSession, d: str) -> Store:
-    engine = events(s, d)
-    store = Store(s, engine.cfg, scratch(s))
-    store.write(engine.cells)
-    return store
+_STORES: dict[tuple, Store] = {}
 
 
-def _kept(s: SparkSession, d: str) -> DataFrame:
+def _stored(s: SparkSession, d: str, last_value: bool = False) -> Store:
+    """The events as segments of a store, written once in a session: half of them as a whole, the rest appended, which leaves segments open."""
+    key = (s.sparkContext.applicationId, d, last_value)
+    if key not in _STORES:
+        engine = events(s, d, last_value)
+        store = Store(s, engine.cfg, scratch(s))
+        store.write(engine.cells.where("offset % 2 = 0"))
+        store.append(engine.cells.where("offset % 2 = 1"))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _frozen(s: SparkSession, d: str) -> Stored:
     store = _stored(s, d)
+    store.freeze()
+    return store.engine()
+
+
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    engine = events(s, d)
+    store = Store(s, engine.cfg, scratch(s))
+    store.write(engine.cells)
     store.collect_garbage(now_ms=JAN31, retention_ms=10 * DAY)
     return store.manifest().select("part", "start_ms", "records")
 
@@ -207,11 +248,105 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("store_query", lambda s, d: _stored(s, d).engine().query("event_type:purchase", "cardinality"), ORACLE_SQL["card_eq"])
+for _name, (_text, _agg, _limits) in FILTERS.items():
+    _register(f"store_{_name}", lambda s, d, t=_text, a=_agg, w=_limits: _stored(s, d).engine().query(t, a, **w), ORACLE_SQL[_name])
+_register("store_frozen", lambda s, d: _frozen(s, d).query("NOT event_type:purchase", "cardinality"), ORACLE_SQL["card_not"])
+_register("store_metric_count", lambda s, d: _stored(s, d).engine().query("event_type:error", "requestCount"), ORACLE_SQL["metric_count"])
+_register("store_metric_sum", lambda s, d: _stored(s, d).engine().query("event_type:error", "totalValue"), ORACLE_SQL["metric_sum"])
+_register("store_matched_records", lambda s, d: _stored(s, d).engine().records("event_type:purchase AND event_type:error"), ORACLE_SQL["matched_records"])
+_register("store_metric_ull_nofilter_tol", lambda s, d: _near(_stored(s, d).engine().query(None, "distinctUsers").select("segments", F.col("result").alias("estimate")), _stored(s, d).engine().query(None, "cardinality").select("result")), ORACLE_SQL["metric_ull_nofilter_tol"])
+_register("store_sliced_ull_tol", lambda s, d: _sliced(s, d, _stored(s, d).engine()), ORACLE_SQL["sliced_ull_tol"])
+_register("store_facets_all", lambda s, d: _stored(s, d).engine().facets(), ORACLE_SQL["facets_all"])
+_register("store_facets_filtered_topn", lambda s, d: _stored(s, d).engine().facets("event_type:error", 3), ORACLE_SQL["facets_filtered_topn"])
+_register("store_timeseries_1d", lambda s, d: _stored(s, d).engine().timeseries("1d", "event_type:purchase", "cardinality", JAN1, JAN31), ORACLE_SQL["timeseries_1d"])
+_register("store_timeseries_metric", lambda s, d: _stored(s, d).engine().timeseries("1d", None, "totalValue", JAN1, JAN31), ORACLE_SQL["timeseries_metric"])
+_register("store_segments_catalog", lambda s, d: _stored(s, d).engine().segments(), ORACLE_SQL["segments_catalog"])
+_register("store_legacy_cardinality", lambda s, d: _stored(s, d).engine().legacy_cardinality("event_type", "click"), ORACLE_SQL["legacy_cardinality"])
+_register("store_bsi_mixed", lambda s, d: _stored(s, d, True).engine().query("event_type:purchase AND vraw:[100,200]", "cardinality").select("matched", "result"), ORACLE_SQL["bsi_mixed"])
+_register("store_compare_models", lambda s, d: models.compare(_stored(s, d).engine(), "roaring,bsi,theta,joint_profile,reordered,unknown", "event_type:purchase"), ORACLE_SQL["compare_models"])
 _register("manifest_prune", lambda s, d: _stored(s, d).pruned_manifest(JAN5_6H, JAN6_6H).select("part", "start_ms", "records"), f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket < {JAN6_6H} AND bucket + 86400000 > {JAN5_6H} GROUP BY part, bucket")
 _register("gc_keep", _kept, f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket + 86400000 >= {JAN31 - 10 * DAY} GROUP BY part, bucket")
 _register("stream_equals_batch", _streamed, f"({ORACLE_SQL['card_and']}) UNION ALL ({ORACLE_SQL['metric_count']}) UNION ALL ({ORACLE_SQL['metric_sum']})")
 
+
+def _open(s: SparkSession, d: str) -> DataFrame:
+    """Closed windows of a stream of members far apart, as bitmaps by bucket of member numbers."""
+    root = scratch(s)
+    last = F.lit(JAN31 + 30 * DAY)  # a later record closes all windows
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"), (F.col("user_id") * 40_000).alias("member"))
+    rows.write.parquet(f"{root}/in/1")
+    rows.limit(1).select(F.timestamp_millis(last).alias("ts"), F.lit(0).cast("long").alias("member")).write.parquet(f"{root}/in/2")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in/*")
+    closed = open_segments(stream, "1 day", "1 day").select(F.unix_millis("window.start").alias("start_ms"), "b", "records", "members")
+    closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{root}/out").groupBy("start_ms").agg(F.sum("records").alias("records"), F.sum(F.bitmap_count("members")).alias("members"))
+
+
+_register("stream_open_segments", _open, f"WITH {CELLS} SELECT bucket AS start_ms, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT member) AS BIGINT) AS members FROM c GROUP BY bucket")
+
+
 # extraction
+def _json(s: SparkSession, d: str) -> DataFrame:
+    """Events as JSON texts with nested fields, one in seven of them no JSON."""
+    rows = s.read.parquet(f"{d}/events.parquet")
+    value = F.to_json(F.struct(F.struct("user_id", F.struct(F.col("event_type").alias("kind")).alias("about")).alias("who"), F.col("value").cast("string").alias("amount"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at")))
+    return rows.select("user_id", "event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("no "), value)).otherwise(value).alias("value"))
+
+
+NESTED = IndexConfig.parse("""
+apiVersion: v1
+kind: IndexerConfig
+metadata: {name: nested}
+source: {topic: t, bootstrap: none, consumerGroup: g}
+segmentation: {bucket: 1d}
+fields:
+  user: {path: who.user_id, type: int64}
+  kind: {path: who.about.kind, type: string}
+  amount: {path: amount, type: string}
+  absent: {path: who.nothing.here, type: string}
+  at: {path: at, type: int64}
+timeField: at
+member: {field: user, encoding: raw_uint32}
+dimensions:
+  - {name: kind, field: kind, encoding: dict}
+  - {name: band, field: amount, encoding: raw_uint32, bucket: {type: linear, step: 25}}
+  - {name: absent, field: absent, encoding: dict}
+metrics: [{name: n, type: count}]
+storage: {path: nested}
+""")
+
+
+def _nested(s: SparkSession, d: str) -> Engine:
+    return Engine(cells(_json(s, d), NESTED, F.pmod("user_id", F.lit(4)), F.col("event_id"), json="value"), NESTED)
+
+
+_NESTED = CELLS.replace("FROM events)", "FROM events WHERE event_id % 7 <> 0)")
+_register("json_decode", lambda s, d: _nested(s, d).cells.select("offset", "bucket", "member", F.col("dim_kind").alias("kind"), F.col("dim_absent").isNull().alias("absent")), f"""WITH {_NESTED} SELECT "offset", bucket, member, event_type AS kind, true AS absent FROM c""")
+_register("dotted_path", lambda s, d: _nested(s, d).query("kind:purchase AND NOT kind:error", "cardinality"), _hits(_p | _e, "p AND NOT e", cells=_NESTED))
+_register("bucket_text_input", lambda s, d: _nested(s, d).facets(None, 5).where("dim = 'band'"), f"WITH {_NESTED}, p AS (SELECT DISTINCT part, bucket, member, 'band' AS dim, CAST(CAST(floor(greatest(value, 0) / 25) AS BIGINT) AS VARCHAR) AS value FROM c), n AS (SELECT dim, value, count(*) AS count FROM p GROUP BY ALL) " + _TOP.format(5))
+
+
+def _edited(s: SparkSession, d: str, old: str, new: str, **columns) -> Engine:
+    """The events under a document with one line changed, and with columns replaced."""
+    cfg = IndexConfig.parse(EVENTS.replace(old, new))
+    return Engine(cells(event_rows(s, d).withColumns(columns), cfg, F.pmod("event_id", F.lit(4)), F.col("event_id")), cfg)
+
+
+_EDITED = CELLS.replace("user_id % 4", "event_id % 4")
+_register("null_members", lambda s, d: _edited(s, d, "\n", "\n", user_id=F.when(F.col("event_id") % 3 != 0, F.col("user_id"))).query(None, "requestCount"), f"""WITH {_EDITED} SELECT count(DISTINCT (part, bucket)) AS segments, count(*) AS matched, count(*) AS result, 'requestCount' AS metric, false AS approx FROM c WHERE "offset" % 3 <> 0""")
+_register("hash_dims", lambda s, d: _edited(s, d, "field: type, encoding: dict", "field: type, encoding: hash64, hashAlgo: xxh3").query("event_type:click,view AND NOT event_type:error", "count"), _hits(_c | _v | _e, "(c OR v) AND NOT e", "CAST(count(*) FILTER (WHERE hit) AS BIGINT)", "count", cells=_EDITED))
+_register("hash_members", lambda s, d: _edited(s, d, "field: user, encoding: raw_uint32", "field: user, encoding: hash64").query("event_type:click", "cardinality"), _hits(_c, "c", cells=_EDITED))
+for _kind in ("hll", "cpc"):
+    _register(f"{_kind}_tol", lambda s, d, k=_kind: _near((e := _edited(s, d, "name: distinctUsers, type: ull", f"name: distinctUsers, type: {k}")).query(None, "distinctUsers").select("segments", F.col("result").alias("estimate")), e.query(None, "cardinality").select("result")), f"WITH {_EDITED} SELECT count(DISTINCT (part, bucket)) AS segments, true AS close FROM c")
+_GUARDED = """f AS (SELECT part, bucket, k, min("offset") AS first FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY part, bucket ORDER BY first, k) AS nth FROM f),
+g AS (SELECT c.part, c.bucket, c.member, CASE WHEN nth <= 20 THEN {} ELSE {} END AS value FROM c JOIN r USING (part, bucket, k))"""
+_register("guarded_values", lambda s, d: _edited(s, d, "name: k, field: k, encoding: raw_uint32", "name: k, field: k, encoding: raw_uint32, maxCardinality: 20").query("k:[10,60]", "count"), f"WITH {_EDITED}, {_GUARDED.format('k', 'NULL')} SELECT (SELECT count(DISTINCT (part, bucket)) FROM c) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT (part, bucket, member)) AS result, 'count' AS metric, false AS approx FROM g WHERE value BETWEEN 10 AND 60")
+_register("guarded_overflow", lambda s, d: _edited(s, d, "name: k, field: k, encoding: raw_uint32", "name: k, field: kt, encoding: dict, maxCardinality: 20, onOverflow: overflow").query("k:__overflow__", "count"), f"WITH {_EDITED}, {_GUARDED.format('NULL', 'k')} SELECT (SELECT count(DISTINCT (part, bucket)) FROM c) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT (part, bucket, member)) AS result, 'count' AS metric, false AS approx FROM g WHERE value IS NOT NULL")
+_register("timeseries_defaults", lambda s, d: events(s, d).timeseries("6h", "event_type:purchase"), f"""WITH {CELLS}, b AS (SELECT min(bucket) AS lo, max(bucket) + 86400000 AS hi FROM c), s AS (SELECT lo + i * 21600000 AS step_start, lo + (i + 1) * 21600000 AS step_end FROM b, range(10000) t(i) WHERE lo + i * 21600000 < hi),
+m AS (SELECT DISTINCT part, bucket, member FROM c WHERE event_type = 'purchase')
+SELECT step_start, step_end, count(member) AS result FROM s LEFT JOIN m ON m.bucket < step_end AND m.bucket + 86400000 > step_start GROUP BY ALL""")
+
+
 def _coerced(s: SparkSession, d: str) -> DataFrame:
     rows = event_rows(s, d)
     text, number = rows.schema["props"].dataType, rows.schema["value"].dataType

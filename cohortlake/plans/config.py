@@ -14,6 +14,7 @@ import yaml
 
 from cohortlake.functions.durations import duration_ms
 
+# The names, choices and defaults of the document format.
 INTEGERS = ("uint8", "uint16", "uint32", "uint64", "int32", "int64")
 FieldType = Literal["string", "bytes", "uint8", "uint16", "uint32", "uint64", "int32", "int64", "float", "double", "bool"]
 Overflow = Literal["reject", "overflow", "halt"]
@@ -102,6 +103,10 @@ class Dimension:
     def numeric(self) -> bool:
         return self.encoding == "raw_uint32"
 
+    @property
+    def hashed(self) -> bool:
+        return self.encoding in ("hash32", "hash64")
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -302,4 +307,7 @@ def unused(cfg: IndexConfig) -> list[str]:
         out.append("source.parallelism")
     if cfg.query.http.auth != "none":
         out.append("query.http.auth")
+    out += [f"dimension {d.name}: hashAlgo" for d in cfg.dimensions if d.hashAlgo and not d.hashed]
+    if cfg.member.dict and (cfg.member.encoding != "dict" or cfg.member.dict.snapshotEvery):
+        out.append("member.dict")
     return out + [f"metric {m.name}: hashSeed" for m in cfg.metrics if m.hashSeed is not None]

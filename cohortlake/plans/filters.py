@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .config import IndexConfig
+from cohortlake.functions.encoders import hashed
+
+from .config import Dimension, IndexConfig
 
 LONG = 1 << 63
 
@@ -180,30 +183,48 @@ def within(value: Column, low: int | None, high: int | None) -> Column:
     return out & value.isNotNull()
 
 
-def holds(cfg: IndexConfig, leaf: OneOf | Between) -> Column | None:
-    """Whether a record meets a leaf; None if no record can."""
+def holds(cfg: IndexConfig, leaf: OneOf | Between, column: Callable[[Dimension], Column] = lambda dim: F.col(f"dim_{dim.name}")) -> Column | None:
+    """Whether a record meets a leaf; None if no record can. column is where a dimension's value is."""
     dim = cfg.dimension(leaf.dim)
     if dim is None:
         return None
-    value = F.col(f"dim_{dim.name}")
+    value = column(dim)
     if isinstance(leaf, Between):
         if not dim.numeric:
             warnings.warn(f"{leaf.dim} has no order, so a range of it is empty", stacklevel=3)
             return None
         return within(value, leaf.low, leaf.high)
+    if dim.hashed:
+        return value.isin(*[hashed(F.lit(v), dim.encoding, dim.hashAlgo) for v in leaf.values])
     if not dim.numeric:
         return value.isin(*leaf.values)
     numbers = [int(v) for v in leaf.values if re.fullmatch(r"[+-]?[0-9]{1,19}", v) and -LONG <= int(v) < LONG]
     return value.isin(*numbers) if numbers else None
 
 
+def open_ended(tree: Filter) -> bool:
+    """Whether a member of which no record meets any leaf is found. If not, records that meet no leaf need not be read."""
+    if isinstance(tree, Not):
+        return not open_ended(tree.inner)
+    if isinstance(tree, And):
+        return open_ended(tree.left) and open_ended(tree.right)
+    if isinstance(tree, Or):
+        return open_ended(tree.left) or open_ended(tree.right)
+    return isinstance(tree, Always)
+
+
 @dataclass
 class Flags:
-    """Aggregates by name, and the condition over them that the tree makes."""
+    """Aggregates by name, and the condition over them that the tree makes.
 
-    cfg: IndexConfig
+    test gives the condition on a row for a leaf (None: no row can meet it), last the aggregate for a member's last value.
+    """
+
+    test: Callable[[OneOf | Between], Column | None]
+    last: Callable[[str], Column]
     by_last_value: frozenset[str] = frozenset()
     aggregates: dict[str, Column] = field(default_factory=dict)
+    tests: list[Column] = field(default_factory=list)
     names: dict[OneOf | Between, str | None] = field(default_factory=dict)
 
     def condition(self, tree: Filter) -> Column:
@@ -217,11 +238,16 @@ class Flags:
             return self.condition(tree.left) | self.condition(tree.right)
         if isinstance(tree, Between) and tree.dim in self.by_last_value:
             name = f"last_{tree.dim}"
-            self.aggregates[name] = F.max_by(f"raw_{tree.dim}", F.when(F.col(f"raw_{tree.dim}").isNotNull(), F.col("offset")))
+            self.aggregates[name] = self.last(tree.dim)
             return F.coalesce(within(F.col(name), tree.low, tree.high), F.lit(False))
         if tree not in self.names:
-            test = holds(self.cfg, tree)
+            test = self.test(tree)
             self.names[tree] = None if test is None else f"leaf_{len(self.aggregates)}"
             if test is not None:
+                self.tests.append(test)
                 self.aggregates[self.names[tree]] = F.coalesce(F.bool_or(test), F.lit(False))
         return F.lit(False) if self.names[tree] is None else F.col(self.names[tree])
+
+    def met(self) -> Column:
+        """Whether a row meets some leaf."""
+        return reduce(lambda a, b: a | b, self.tests, F.lit(False))

@@ -20,6 +20,7 @@ fields:
   user: {path: user_id, type: int64}
   type: {path: event_type, type: string}
   k: {path: k, type: int64}
+  kt: {path: k, type: string}
   value: {path: value, type: double}
   whole: {path: value, type: int64}
   ts: {path: ts, type: int64, unit: ms}

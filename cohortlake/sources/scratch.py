@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cohortlake-')}"
+    """A new folder under spark.checkpoint.dir; where that is unset, under the warehouse, which executors see, too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/engine-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import encoders
 from cohortlake.functions.coerce import coerce, coerce_json
 from cohortlake.operators import models
-from cohortlake.operators.cells import CardinalityError, TooManySegments, cells  # noqa: F401
+from cohortlake.operators.cells import TooManySegments, cells
 from cohortlake.operators.federate import Federation
 from cohortlake.operators.queries import Engine, UnsupportedQuery
 from cohortlake.plans.config import Bucket, IndexConfig
@@ -57,23 +57,34 @@ def simple(spark, *rows):
     return engine(spark, [(p, u, c, d, 10, 0) for p, u, c, d in rows])
 
 
-def test_segment_algebra(spark):
-    e = simple(spark, (0, 1, "FR", "mobile"), (0, 2, "FR", "desktop"), (0, 3, "DE", "mobile"), (0, 1, "FR", "mobile"))
-    assert one(e.query("country:FR", "cardinality")) == 2
-    assert one(e.query("country:FR AND device:mobile", "cardinality")) == 1
-    assert one(e.query("country:FR,DE", "cardinality")) == 3
-    assert one(e.query("NOT country:FR", "cardinality")) == 1
-    assert one(e.query(None, "requestCount")) == 4
+def random_rows(seed, n=150, parts=3):
+    rnd = random.Random(seed)
+    return [(rnd.randrange(parts), rnd.randrange(30), rnd.choice(["PT", "NO", "KE", None]), rnd.choice(["lamp", "fridge", "oven"]), rnd.randrange(90), rnd.randrange(3) * 3_600_000) for _ in range(n)]
+
+
+FILTERS = ("country:PT", "country:PT,NO AND device:oven", "NOT country:KE", "device:lamp AND NOT (country:NO OR device:fridge)", "country:KE OR NOT device:lamp", "country:none")
+
+
+def test_filters_are_algebra_of_members(spark):
+    rows = random_rows(1)
+    e = engine(spark, rows)
+    for text in FILTERS:
+        want = brute(rows, parse(text))
+        got = e.query(text, "cardinality").first()
+        assert (got.result, got.matched, got.segments) == (len({u for _, u in want}), len(want), 9), text
+        assert one(e.query(text, "count")) == len(want)
+        only = brute([r for r in rows if r[0] in (0, 2)], parse(text))
+        assert one(e.query(text, "count", parts=[0, 2])) == len(only)
+    assert one(e.query("country:PT", "requestCount")) == len(rows)
+    assert one(e.query(None, "totalLatency")) == sum(r[4] for r in rows)
 
 
-def test_parts_are_joined(spark):
-    e = simple(spark, (0, 1, "FR", "mobile"), (0, 2, "FR", "mobile"), (0, 3, "DE", "mobile"), (1, 3, "FR", "desktop"), (1, 4, "FR", "mobile"), (1, 5, "DE", "mobile"))
-    assert one(e.query("country:FR", "cardinality")) == 4
-    whole = e.query(None, "cardinality").first()
-    assert (whole.segments, whole.matched, whole.result) == (2, 6, 5)
-    assert one(e.query("country:FR AND device:mobile", "cardinality")) == 3
-    assert one(e.query("country:FR", "requestCount")) == 6
-    assert one(e.query("country:FR", "cardinality", parts=[0])) == 2
+def test_leaves_reach_the_scan(spark, tmp_path):
+    engine(spark, random_rows(2)).cells.write.parquet(f"{tmp_path}/cells")
+    e = Engine(spark.read.parquet(f"{tmp_path}/cells"), CFG)
+    plan = lambda text: e.hits(parse(text), canonical=True)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(EqualTo(dim_country,PT),EqualTo(dim_device,oven))]" in plan("country:PT AND device:oven")
+    assert "Or(" not in plan("country:PT OR NOT device:oven").split("PushedFilters")[1][:80]
 
 
 def test_and_is_of_members_not_rows(spark):
@@ -156,10 +167,10 @@ def test_cardinality_halt(spark):
 
 
 def brute(rows, tree):
+    """(segment, user) of the users that a filter finds, segment by segment."""
     cells = {}
     for p, u, c, d, m, t in rows:
         cells.setdefault((p, t // 3_600_000), []).append((u, c, d, m))
-    found = set()
 
     def members(rows, tree):
         if isinstance(tree, OneOf):
@@ -170,9 +181,7 @@ def brute(rows, tree):
         both = members(rows, tree.left), members(rows, tree.right)
         return both[0] & both[1] if isinstance(tree, And) else both[0] | both[1]
 
-    for rows in cells.values():
-        found |= members(rows, tree)
-    return found
+    return {(k, u) for k, rows in cells.items() for u in members(rows, tree)}
 
 
 def test_models_agree_with_sets(spark):
@@ -182,7 +191,7 @@ def test_models_agree_with_sets(spark):
     for text in ("country:FR AND NOT device:mobile", "(country:DE,IT OR device:tablet) AND NOT country:ES", "NOT (country:FR OR country:DE)"):
         tree = parse(text)
         assert isinstance(tree, (And, Not, Or))
-        want = float(len(brute(rows, tree)))
+        want = float(len({u for _, u in brute(rows, tree)}))
         got = {r.model: r.value for r in models.compare(e, "roaring,bsi,joint_profile,reordered", text).collect()}
         assert got == dict.fromkeys(("roaring", "bsi", "joint_profile", "reordered"), want)
 
@@ -210,16 +219,54 @@ def test_theta_is_near(spark):
 
 
 def test_federation(spark):
-    e = simple(spark, (0, 1, "FR", "m"), (0, 2, "FR", "m"), (0, 3, "DE", "m"), (1, 3, "FR", "m"), (1, 4, "FR", "m"), (1, 5, "DE", "m"))
-    nodes = {f"n{i}": e.cells.where(f"part = {i}") for i in (0, 1)}
-    f = Federation(nodes, CFG)
-    assert one(f.query(None, "cardinality")) == 5
-    assert one(f.query(None, "count")) == 6
-    assert f.query(None, "count").first().partial is False
-    assert Federation(nodes, CFG, ["n0"]).query(None, "cardinality").first().asDict() == {"segments": 1, "matched": 3, "result": 3, "metric": "cardinality", "approx": False, "partial": True}
-    assert {(r.value, r["count"]) for r in f.facets().where("dim = 'country'").collect()} == {("FR", 4), ("DE", 2)}
-    assert f.nodes().count() == 2 and f.segments().count() == 2
-    assert one(f.query(None, "distinctUsers")) == pytest.approx(5, abs=0.1)
+    """Nodes that have the same parts and times: each evaluates for itself."""
+    nodes = {f"n{i}": random_rows(10 + i, 60) for i in range(3)}
+    f = Federation({n: engine(spark, rows).cells for n, rows in nodes.items()}, CFG)
+    for text in FILTERS:
+        found = [brute(rows, parse(text)) for rows in nodes.values()]
+        got = f.query(text, "cardinality").first()
+        assert (got.result, got.matched, got.partial) == (len({u for x in found for _, u in x}), sum(map(len, found)), False), text
+        assert one(f.query(text, "count")) == sum(map(len, found))
+        assert one(f.query(text, "distinctUsers")) == got.result
+    segments = sum(len({(r[0], r[5]) for r in rows}) for rows in nodes.values())
+    assert f.query(None, "requestCount").first().asDict() == {"segments": segments, "matched": 180, "result": 180, "metric": "requestCount", "approx": False, "partial": False}
+    assert f.segments().count() == segments and {(r.node, r.up, r.records) for r in f.nodes().collect()} == {(n, True, 60) for n in nodes}
+    users = len({r[1] for rows in nodes.values() for r in rows})
+    assert one(f.query(None, "distinctUsers")) == pytest.approx(users, abs=0.1)
+    series = f.timeseries("1h", "device:oven", "cardinality", start=0, end=3 * 3_600_000).orderBy("step_start").collect()
+    want = [len({u for rows in nodes.values() for (_, h), u in brute(rows, parse("device:oven")) if h == hour}) for hour in range(3)]
+    assert [r.result for r in series] == want and not any(r.partial for r in series)
+    counts = {v: len({(n, r[0], r[5], r[1]) for n, rows in nodes.items() for r in rows if r[2] == v}) for v in ("PT", "NO", "KE")}
+    assert {(r.value, r["count"]) for r in f.facets().where("dim = 'country'").collect()} == set(counts.items())
+    some = Federation({n: engine(spark, rows).cells for n, rows in nodes.items()}, CFG, ["n0"])
+    assert some.query(None, "count").first().partial and {(r.node, r.up) for r in some.nodes().collect()} == {("n0", True), ("n1", False), ("n2", False)}
+
+
+def test_facets_are_not_cut_before_they_are_added(spark):
+    rows = [(0, u, f"c{v:04}", "x", 1, 0) for v in range(1005) for u in range(2 if v < 1003 else 1)]
+    low = {"a": [r for r in rows if not (r[2] == "c1004")] + [(0, 9, "c1004", "x", 1, 0)], "b": [(0, u, "c1004", "x", 1, 0) for u in range(3)]}
+    f = Federation({n: engine(spark, r).cells for n, r in low.items()}, CFG)
+    assert f.facets(top=1).where("dim = 'country'").first().asDict() == {"dim": "country", "value": "c1004", "count": 4, "partial": False}
+
+
+@pytest.mark.parametrize("encoding", ["hash32", "hash64, hashAlgo: murmur3", "hash64"])
+def test_hashed_dimensions_and_members(spark, encoding):
+    text = CONFIG.replace("{name: country, field: country, encoding: dict}", f"{{name: country, field: country, encoding: {encoding}}}").replace("member: {field: userId, encoding: raw_uint32}", "member: {field: device, encoding: hash64}")
+    rows = random_rows(4)
+    e = engine(spark, rows, IndexConfig.parse(text, validate=True))
+    assert dict(e.cells.dtypes)["dim_country"] == "bigint" and dict(e.cells.dtypes)["member"] == "bigint"
+    assert all(0 <= r.dim_country < 1 << 32 for r in e.cells.select("dim_country").dropna().collect())
+    assert one(e.query("country:PT,KE", "count")) == len({(r[0], r[5], r[3]) for r in rows if r[2] in ("PT", "KE")})
+    assert one(e.query(None, "cardinality")) == 3
+
+
+def test_members_beyond_the_dictionary(spark):
+    text = CONFIG.replace("member: {field: userId, encoding: raw_uint32}", "member: {field: device, encoding: dict, dict: {maxSize: 2, onOverflow: %s}}")
+    rows = [(0, 1, "PT", d, 1, 0) for d in ("a", "b", "a", "c", "d")]
+    members = lambda mode: sorted(r.member for r in engine(spark, rows, IndexConfig.parse(text % mode)).cells.collect())
+    assert members("reject") == ["a", "a", "b"] and members("overflow") == ["__overflow__"] * 2 + ["a", "a", "b"]
+    with pytest.raises(Exception, match="member has more than 2"):
+        members("halt")
 
 
 def test_json_coercion(spark):
