@@ -45,7 +45,7 @@ BYTES = 5
 """Bytes of a minimizer's hash that are dealt out; with the number of its bucket they tell it apart."""
 BUCKET = 6_000_000
 """Entries in a bucket of minimizers, about."""
-BUCKET_RUNS = 100_000
+BUCKET_RUNS = 25_000
 """Runs in a bucket of windows, about: some sixteen windows each."""
 CLASS_BITS = 24
 SAMPLE = 64
@@ -293,7 +293,7 @@ def _entries(key: np.ndarray, salt: int, row: np.ndarray, doc: np.ndarray, sid:
 def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int, hot: np.ndarray, merged: int) -> Iterator[pa.RecordBatch]:
     """Runs of shared minimizers with their bytes, by bucket, and the windows of frequent ones by a hash of their own.
 
-    Frequent windows have a salt from 1 to merged if that is above 1. In bucket -1, by a salt for each piece, are
+    Frequent windows have a salt from 1 to merged if that is above 1. In buckets below 0, one for each piece, are
     runs already seen to go, without bytes.
     """
     codec = pa.Codec("zstd")
@@ -338,7 +338,7 @@ def _deal_runs(batches: Iterator[pa.RecordBatch], buckets: int, told: int, hot:
                 rows = []
                 seed = int(h[0] % np.uint64(1 << 30)) if len(h) else 0
                 bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-                for some, key, salt in ((gone, np.full(len(h), -1), seed), (~gone & ~often, bucket, 0), (~gone & often, bucket, 1 + seed % merged if merged > 1 else 0)):
+                for some, key, salt in ((gone, np.full(len(h), -1 - seed % buckets), 0), (~gone & ~often, bucket, 0), (~gone & often, bucket, 1 + seed % merged if merged > 1 else 0)):
                     i = np.flatnonzero(some)
                     rows += _entries(key[i], salt, row[i], doc[i], sid[i], start[i], (place - first)[i], length[i], None if key is not bucket else [strings[x] for x in i.tolist()])
                 yield _batch(rows, _RUN)
