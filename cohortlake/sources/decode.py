@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,23 +33,30 @@ def decoded(raw: DataFrame, cfg: IndexConfig, avro_schema: str | None = None, de
         raise MissingConnector(f"{kind} needs its Spark module on the class path: {e}") from e
 
 
-def kafka(spark: SparkSession, cfg: IndexConfig, streaming: bool = True, **options: str) -> DataFrame:
-    """The configured topic: value, part, offset, source_ms. Needs Spark's Kafka module."""
-    reader = spark.readStream if streaming else spark.read
+def kafka_options(cfg: IndexConfig, streaming: bool = True) -> dict[str, str]:
+    """Options of Spark's Kafka source for the configured topic."""
     start = cfg.source.startOffset
     given = {"kafka.bootstrap.servers": cfg.source.bootstrap, "subscribe": cfg.source.topic, "kafka.group.id": cfg.source.consumerGroup, "failOnDataLoss": "false"}
     if start.startswith("timestamp:"):
-        import datetime
-
         instant = datetime.datetime.fromisoformat(start.removeprefix("timestamp:").replace("Z", "+00:00"))
-        given["startingTimestamp"] = str(int(instant.timestamp() * 1000))
-    else:
-        given["startingOffsets"] = start if streaming or start == "earliest" else "earliest"
+        instant = instant if instant.tzinfo else instant.replace(tzinfo=datetime.UTC)
+        return given | {"startingTimestamp": str(int(instant.timestamp() * 1000))}
+    return given | {"startingOffsets": start if streaming or start == "earliest" else "earliest"}
+
+
+def from_kafka(rows: DataFrame) -> DataFrame:
+    """Columns of Spark's Kafka source as value, part, offset, source_ms."""
+    return rows.select("value", F.col("partition").alias("part"), "offset", F.unix_millis("timestamp").alias("source_ms"))
+
+
+def kafka(spark: SparkSession, cfg: IndexConfig, streaming: bool = True, **options: str) -> DataFrame:
+    """The configured topic: value, part, offset, source_ms. Needs Spark's Kafka module."""
+    reader = spark.readStream if streaming else spark.read
     try:
-        rows = reader.format("kafka").options(**given, **options).load()
+        rows = reader.format("kafka").options(**kafka_options(cfg, streaming), **options).load()
     except Exception as e:
         raise MissingConnector(f"kafka needs its Spark module on the class path: {e}") from e
-    return rows.select("value", F.col("partition").alias("part"), "offset", F.unix_millis("timestamp").alias("source_ms"))
+    return from_kafka(rows)
 
 
 def json_files(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int = 1) -> DataFrame:
@@ -68,8 +77,8 @@ def synthetic(spark: SparkSession, rows: int = 10_000_000, users: int = 500_000,
             out = F.when(u >= max(upto, 0.0), out) if out is None else F.when(u < upto + share, F.lit(name)).otherwise(out)
         return out
 
-    normal = F.sqrt(-2 * F.ln(F.greatest(draw("a"), F.lit(1e-12)))) * F.cos(2 * F.lit(3.141592653589793) * draw("b"))
     user = F.floor(F.pow(draw("user"), F.lit(2.0)) * users).cast("bigint")
+    # Countries, devices, plans and statuses that the benchmark's queries name
     return spark.range(rows).select(
         user.alias("userId"),
         pick("country", {"US": 0.3, "IN": 0.2, "BR": 0.12, "DE": 0.1, "GB": 0.08, "FR": 0.08, "ID": 0.05, "MX": 0.04, "RU": 0.02, "JP": 0.01}).alias("country"),
@@ -78,7 +87,7 @@ def synthetic(spark: SparkSession, rows: int = 10_000_000, users: int = 500_000,
         pick("plan", {"free": 0.8, "pro": 0.15, "enterprise": 0.05}).alias("plan"),
         pick("status", {"200": 0.9, "404": 0.06, "500": 0.02, "502": 0.01, "503": 0.006, "504": 0.004}).cast("bigint").alias("status"),
         F.concat(F.lit("/p/"), F.floor(F.pow(draw("path"), F.lit(3.0)) * paths)).alias("path"),
-        F.floor(F.exp(F.lit(4.0) + normal * 0.8)).cast("bigint").alias("latency"),
+        F.floor(F.exp(F.lit(4.0) + F.randn(seed) * 0.8)).cast("bigint").alias("latency"),
         (F.lit(1_700_000_000_000) + F.floor(F.col("id").cast("double") / rows * hours * 3_600_000)).cast("bigint").alias("tsMs"),
         F.pmod(user, F.lit(parts)).cast("int").alias("part"),
         F.col("id").alias("offset"),

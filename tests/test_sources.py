@@ -255,6 +255,20 @@ def test_connectors_say_what_is_missing(spark):
         decode.decoded(raw, avro, avro_schema="{}")
 
 
+def test_kafka_options_and_columns(spark):
+    import datetime
+
+    at = lambda start, streaming: decode.kafka_options(IndexConfig.parse(CONFIG.replace("consumerGroup: g", f"consumerGroup: g, startOffset: '{start}'")), streaming)
+    assert at("latest", True) == {"kafka.bootstrap.servers": "b", "subscribe": "t", "kafka.group.id": "g", "failOnDataLoss": "false", "startingOffsets": "latest"}
+    assert at("latest", False)["startingOffsets"] == at("earliest", True)["startingOffsets"] == "earliest"
+    assert at("timestamp:1970-01-01T00:00:05", True)["startingTimestamp"] == at("timestamp:1970-01-01T01:00:05+01:00", True)["startingTimestamp"] == "5000"
+    texts = [json.dumps({"user": {"id": 5}, "country": "PT", "device": "lamp", "ms": 1, "ts": 7}), "no json"]
+    raw = spark.createDataFrame([(bytearray(t.encode()), 3, i, datetime.datetime(2024, 1, 1)) for i, t in enumerate(texts)], "value binary, partition int, offset long, timestamp timestamp")
+    rows = decode.decoded(decode.from_kafka(raw), CFG)
+    got = cells(rows, CFG, F.col("part"), F.col("offset"), F.col("source_ms"), json="value").collect()
+    assert [(r.part, r.offset, r.ts_ms, r.member, r.dim_country) for r in got] == [(3, 0, 7, 5, "PT")]
+
+
 def test_synthetic(spark):
     df = decode.synthetic(spark, rows=2000, users=100)
     row = df.agg(F.count("*").alias("n"), F.max("userId").alias("u"), F.count_distinct("country").alias("c"), F.min("latency").alias("l")).first()
