@@ -43,9 +43,6 @@ MIXED = [*ROWS, *[(u % 2, u, "DE" if u % 5 else None, "desktop", 40 - u, (u % 3)
 def test_store_answers_as_the_records_do(spark, tmp_path):
     e = engine(spark, MIXED, SLICED)
     want = answers(e)
-    store = Store(spark, SLICED, f"{tmp_path}/written")
-    store.write(e.cells)
-    assert answers(store.engine()) == want
     parts = Store(spark, SLICED, f"{tmp_path}/appended")
     for k in range(3):
         parts.append(e.cells.where(f"offset % 3 = {k}"), f"s{k}")
