@@ -15,11 +15,12 @@ from cohortlake.operators.cells import cells, dimension_cardinality, overflow_co
 from cohortlake.operators.federate import Federation
 from cohortlake.operators.queries import Engine
 from cohortlake.operators.segments import Stored
+from cohortlake.sources.api import handle
 from cohortlake.sources.scratch import scratch
 from cohortlake.sources.store import Store
 from cohortlake.streaming.ingest import Ingest, open_segments
 
-from .config import Bucket, Dimension, IndexConfig
+from .config import Bucket, ConfigError, Dimension, IndexConfig
 from .fixtures import EVENTS, JAN1, JAN31, event_config, event_rows, events, lineitem, orders, with_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +265,33 @@ _register("store_segments_catalog", lambda s, d: _stored(s, d).engine().segments
 _register("store_legacy_cardinality", lambda s, d: _stored(s, d).engine().legacy_cardinality("event_type", "click"), ORACLE_SQL["legacy_cardinality"])
 _register("store_bsi_mixed", lambda s, d: _stored(s, d, True).engine().query("event_type:purchase AND vraw:[100,200]", "cardinality").select("matched", "result"), ORACLE_SQL["bsi_mixed"])
 _register("store_compare_models", lambda s, d: models.compare(_stored(s, d).engine(), "roaring,bsi,theta,joint_profile,reordered,unknown", "event_type:purchase"), ORACLE_SQL["compare_models"])
+
+
+def _open_and_frozen(s: SparkSession, d: str) -> DataFrame:
+    """Which segments a roll at noon of the last day freezes, after all came as appends."""
+    engine = events(s, d)
+    store = Store(s, engine.cfg, scratch(s))
+    store.append(engine.cells.where(f"bucket < {JAN6_6H}"))
+    store.append(engine.cells)  # the first days once more, so they have two states
+    store.roll(JAN31 - DAY // 2)
+    return store.manifest().select("part", "start_ms", "records", "frozen", F.size("gens").alias("states"))
+
+
+_register("store_rolled", _open_and_frozen, f"""WITH {CELLS} SELECT part, bucket AS start_ms, count(*) * CASE WHEN bucket < {JAN6_6H} THEN 2 ELSE 1 END AS records, bucket < {JAN31 - 2 * DAY} AS frozen, 1 AS states FROM c GROUP BY part, bucket""")
+_register("store_snapshot", lambda s, d: _snapshot(s, d).query("event_type:purchase", "count"), _hits(_p, "p", "CAST(count(*) FILTER (WHERE hit) AS BIGINT)", "count", where='"offset" % 2 = 0'))
+
+
+def _snapshot(s: SparkSession, d: str) -> Stored:
+    """A reader that began before more came in."""
+    engine = events(s, d)
+    store = Store(s, engine.cfg, scratch(s))
+    store.write(engine.cells.where("offset % 2 = 0"))
+    reader = store.engine()
+    store.append(engine.cells.where("offset % 2 = 1"))
+    store.freeze()
+    return reader
+
+
 _register("manifest_prune", lambda s, d: _stored(s, d).pruned_manifest(JAN5_6H, JAN6_6H).select("part", "start_ms", "records"), f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket < {JAN6_6H} AND bucket + 86400000 > {JAN5_6H} GROUP BY part, bucket")
 _register("gc_keep", _kept, f"WITH {CELLS} SELECT part, bucket AS start_ms, count(*) AS records FROM c WHERE bucket + 86400000 >= {JAN31 - 10 * DAY} GROUP BY part, bucket")
 _register("stream_equals_batch", _streamed, f"({ORACLE_SQL['card_and']}) UNION ALL ({ORACLE_SQL['metric_count']}) UNION ALL ({ORACLE_SQL['metric_sum']})")
@@ -342,6 +370,39 @@ _GUARDED = """f AS (SELECT part, bucket, k, min("offset") AS first FROM c GROUP
 g AS (SELECT c.part, c.bucket, c.member, CASE WHEN nth <= 20 THEN {} ELSE {} END AS value FROM c JOIN r USING (part, bucket, k))"""
 _register("guarded_values", lambda s, d: _edited(s, d, "name: k, field: k, encoding: raw_uint32", "name: k, field: k, encoding: raw_uint32, maxCardinality: 20").query("k:[10,60]", "count"), f"WITH {_EDITED}, {_GUARDED.format('k', 'NULL')} SELECT (SELECT count(DISTINCT (part, bucket)) FROM c) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT (part, bucket, member)) AS result, 'count' AS metric, false AS approx FROM g WHERE value BETWEEN 10 AND 60")
 _register("guarded_overflow", lambda s, d: _edited(s, d, "name: k, field: k, encoding: raw_uint32", "name: k, field: kt, encoding: dict, maxCardinality: 20, onOverflow: overflow").query("k:__overflow__", "count"), f"WITH {_EDITED}, {_GUARDED.format('NULL', 'k')} SELECT (SELECT count(DISTINCT (part, bucket)) FROM c) AS segments, count(DISTINCT (part, bucket, member)) AS matched, count(DISTINCT (part, bucket, member)) AS result, 'count' AS metric, false AS approx FROM g WHERE value IS NOT NULL")
+_register("guarded_members", lambda s, d: _edited(s, d, "member: {field: user, encoding: raw_uint32}", "member: {field: user, encoding: dict, dict: {maxSize: 2}}").query(None, "requestCount"), f"""WITH {_EDITED}, f AS (SELECT part, bucket, member, min("offset") AS first FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY part, bucket ORDER BY first, member) AS nth FROM f)
+SELECT count(DISTINCT (part, bucket)) AS segments, count(*) AS matched, count(*) AS result, 'requestCount' AS metric, false AS approx FROM c JOIN r USING (part, bucket, member) WHERE nth <= 2""")
+REQUESTS = (
+    ("/health", {}, 200), ("/query", {"filter": "event_type:"}, 400), ("/query", {"filter": "event_type:click)"}, 400), ("/query", {"filter": "k:[1,x]"}, 400), ("/query", {"agg": "nothing"}, 400),
+    ("/query", {"filter": "event_type:click", "agg": "distinctK"}, 400), ("/query", {"from": "2024-01-05T06:00:00", "to": "2024-01-06T06:00:00Z"}, 200), ("/internal/query", {"agg": "distinctUsers"}, 200),
+    ("/timeseries", {"bucketSize": "2h"}, 400), ("/cardinality", {"dim": "event_type"}, 400), ("/nodes", {}, 200), ("/none", {}, 404),
+)
+
+
+def _statuses(s: SparkSession, d: str) -> DataFrame:
+    rows = [(i, path, handle(events(s, d), path, params)[0]) for i, (path, params, _) in enumerate(REQUESTS)]
+    few = Engine(events(s, d).cells, IndexConfig.parse(EVENTS + "query: {maxSegmentsPerQuery: 3}\n"))
+    return s.createDataFrame([*rows, (len(rows), "/query", handle(few, "/query", {})[0])], "n int, path string, status int")
+
+
+_register("api_statuses", _statuses, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{path}', {status})" for i, (path, status) in enumerate([*((p, c) for p, _, c in REQUESTS), ("/query", 400)])) + ") t(n, path, status)")
+FAULTY = (
+    ("bucket: 1d", "bucket: 1x", "segmentation.bucket"), ("{field: user, encoding", "{field: nobody, encoding", "member.field"), ("name: events-index", "name: E", "metadata.name"),
+    ("field: k, precision: 14", "field: k, precision: 3", "metric distinctK"), ("timeField: ts", "timeField: no", "timeField"), ("sliceBy: [event_type]", "sliceBy: [none]", "metric distinctK"), ("thetaSampleRate: 0.5", "thetaSampleRate: 2", "experimentalModels.thetaSampleRate"),
+)
+
+
+def _faults(s: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for i, (old, new, _) in enumerate(FAULTY):
+        try:
+            IndexConfig.parse(EVENTS.replace(old, new), validate=True)
+        except ConfigError as e:
+            rows += [(i, x.split(":")[0]) for x in e.errors]
+    return s.createDataFrame(rows, "n int, place string")
+
+
+_register("config_faults", _faults, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{place}')" for i, (_, _, place) in enumerate(FAULTY)) + ") t(n, place)")
 _register("timeseries_defaults", lambda s, d: events(s, d).timeseries("6h", "event_type:purchase"), f"""WITH {CELLS}, b AS (SELECT min(bucket) AS lo, max(bucket) + 86400000 AS hi FROM c), s AS (SELECT lo + i * 21600000 AS step_start, lo + (i + 1) * 21600000 AS step_end FROM b, range(10000) t(i) WHERE lo + i * 21600000 < hi),
 m AS (SELECT DISTINCT part, bucket, member FROM c WHERE event_type = 'purchase')
 SELECT step_start, step_end, count(member) AS result FROM s LEFT JOIN m ON m.bucket < step_end AND m.bucket + 86400000 > step_start GROUP BY ALL""")
