@@ -223,21 +223,22 @@ def test_decontamination(frame, spark):
     assert decontamination.clean(frame((1, "a")), none).count() == 1
 
 
-@pytest.mark.parametrize("n", [5, 8])
-def test_small_items_are_found_as_often_as_stated(n):
-    import numpy as np
+@pytest.mark.parametrize(("n", "edits"), [(5, ()), (7, ()), (8, ()), (14, (0, 13)), (54, (20, 30))])
+def test_items_are_found_as_often_as_stated(n, edits):
+    """Items of 1, 3, 4, 10 and 50 shingles inside long texts; the longer ones with words changed until they have 0.8 of their shingles left."""
     import pyarrow as pa
     from cohortlake.llm._text import pieces
 
     rnd, missed, trials = random.Random(n), 0, 0
     for _ in range(4):  # new items, as the seeds are fixed
-        items = [" ".join(f"i{rnd.getrandbits(40)}" for _ in range(n)) for _ in range(1000)]
-        index = decontamination.Index(list(range(1000)), items)
+        items = [[f"i{rnd.getrandbits(40)}" for _ in range(n)] for _ in range(1000)]
+        index = decontamination.Index(list(range(1000)), [" ".join(item) for item in items])
         texts = []
         for item in items:
             rest = [f"w{rnd.getrandbits(40)}" for _ in range(404 - n)]
             at = rnd.randrange(len(rest))
-            texts.append(" ".join([*rest[:at], item, *rest[at:]]))
+            texts.append(" ".join([*rest[:at], *[w if i not in edits else "e" + w for i, w in enumerate(item)], *rest[at:]]))
+        assert len(plain_shingles(" ".join(items[0])) & plain_shingles(texts[0])) >= 0.8 * (n - 4)
         for lo, hi, buf, offsets in pieces(pa.array(texts, pa.large_string())):
             found = index.candidates(buf, np.asarray(offsets))
             missed += sum((i - lo, i) not in found for i in range(lo, hi))
@@ -245,6 +246,15 @@ def test_small_items_are_found_as_often_as_stated(n):
     assert trials == 4000 and missed <= (1 - decontamination.COLLISION) * trials
 
 
+def test_repeated_items_match_each_for_itself(frame, spark):
+    bench = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f")], "item_id long, text string")
+    docs = frame((7, "x a b c d e f y"), (8, "g h i j k l"), (8, "g h i j k l"))
+    for part in (decontamination.PART, 1):
+        got = sorted((r.doc_id, r.item_id, r.shared) for r in decontamination.find(docs, bench, part=part).collect())
+        assert got == [(7, 1, 2), (7, 1, 2), (7, 2, 2), (8, 1, 2), (8, 1, 2)]
+        assert decontamination.clean(docs, bench, part=part).count() == 0
+
+
 @pytest.mark.parametrize(("block", "group_bytes"), [(7, 200), (4096, 1 << 20)])
 def test_top_k(spark, block, group_bytes):
     rnd = np.random.default_rng(2)
