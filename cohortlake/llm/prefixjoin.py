@@ -19,9 +19,10 @@ once. Over the classes:
    far, and a subtree is pruned when the overlap plus what can remain of the set and of the sets
    below cannot reach what the sizes demand. Sets that are linked already are skipped at the leaf.
 5. A family of more than BLOCK sets is split into blocks by hash. Each block is joined alone, then
-   one set for each group found, and last the sets that are outside their family's largest
-   component are held against all blocks. So a large group of near copies costs one trie a block,
-   and no link between different components is lost.
+   one set for each group found. So a large group of near copies costs one trie a block. Last, the
+   sets of each prefix shingle that several components have meet, again in blocks: those outside
+   the shingle's largest component are held against all that have it, by bands of size. So no link
+   between different components is lost, and sets meet only where they share a prefix shingle.
 
 The query's result needs links only as far as they make components; links() of two sets are exact
 integer comparisons of the sizes of intersection and union.
@@ -40,6 +41,8 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -427,23 +430,13 @@ def join(tokens: list[np.ndarray], sizes: list[int], left: list[int], right: lis
             trie.add(local[i], sizes[i], i)
 
 
-def _grouped(similarity: tuple[int, int], two_sided: bool):
-    """For applyInPandas: rows (sid, n, tokens, side) -> edges (a, b) from each set to the first of its group."""
+def _grouped(similarity: tuple[int, int]):
+    """For applyInPandas: rows (sid, n, tokens) -> edges (a, b) from each set to the first of its group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tokens = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
-        sizes, groups = rows["n"].astype(int).tolist(), Groups(len(rows))
-        if two_sided:
-            # sets of one component come linked
-            first: dict[int, int] = {}
-            for i, label in enumerate(rows["label"]):
-                groups.join(i, first.setdefault(label, i))
-            side = rows["side"].to_numpy()
-            left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
-            if left and right:
-                join(tokens, sizes, left, right, groups, similarity)
-        else:
-            join(tokens, sizes, list(range(len(rows))), None, groups, similarity)
+        groups = Groups(len(rows))
+        join(tokens, rows["n"].astype(int).tolist(), list(range(len(rows))), None, groups, similarity)
         sid = rows["sid"].to_numpy(np.int64)
         root = np.array([groups.of(i) for i in range(len(rows))])
         return pd.DataFrame({"a": sid, "b": sid[root]})
@@ -451,11 +444,40 @@ def _grouped(similarity: tuple[int, int], two_sided: bool):
     return run
 
 
+LEFT, RIGHT, BOTH = range(3)
+
+
+def _meetings(similarity: tuple[int, int]):
+    """For mapInArrow: rows (key, side, n, tokens, label) in order of key -> edges (a, b) between labels, by links of a left with a right set of one key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), itemgetter(0)):
+            _, side, sizes, packed, label = zip(*group, strict=True)
+            left = [i for i, s in enumerate(side) if s != RIGHT]
+            right = [i for i, s in enumerate(side) if s != LEFT]
+            if not left or not right:
+                continue
+            groups, first = Groups(len(label)), {}
+            for i, x in enumerate(label):  # sets of one component come linked
+                groups.join(i, first.setdefault(x, i))
+            join([np.frombuffer(t, np.uint64) for t in packed], list(sizes), left, right, groups, similarity)
+            edges = sorted({(x, label[groups.of(i)]) for x, i in first.items() if label[groups.of(i)] != x})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*edges, strict=True) if edges else ([], []))], ["a", "b"])
+
+    return run
+
+
+_PREFIX = "transform(sequence(0, prefix - 1), i -> xxhash64(substring(tokens, 8 * i + 1, 8)))"
+
+
 def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, label) over the classes of active, a stored table that is deleted, that have a link."""
     count = active.count()
-    words = "transform(sequence(0, prefix - 1), i -> xxhash64(substring(tokens, 8 * i + 1, 8)))"
-    stars = active.select("sid", F.explode(F.expr(words)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts(count))))
+    stars = active.select("sid", F.explode(F.expr(_PREFIX)).alias("t")).withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts(count))))
     # two levels of stars, so that no shingle's classes meet in one task
     inner = stars.groupBy("t", "salt").agg(F.min("sid").alias("b"))
     outer = inner.groupBy("t").agg(F.min("b").alias("top"))
@@ -463,13 +485,13 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     family = components(stars.where("a <> b").distinct())
     family = store(family)
     sized = store(family.groupBy("label").agg(F.count("*").alias("size")))
-    member = active.drop("prefix").join(joinable(family), F.col("sid") == F.col("node")).drop("node")  # if small, the sets stay where they are
+    member = active.join(joinable(family), F.col("sid") == F.col("node")).drop("node")  # if small, the sets stay where they are
     member = store(hub_join(member, sized, "label", count))
     drop(active, family, sized)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     pairs = "a long, b long"
-    inner = store(member.select("label", "block", "sid", "n", "tokens").groupBy("label", "block").applyInPandas(_grouped(similarity, False), pairs))
+    inner = store(member.select("label", "block", "sid", "n", "tokens").groupBy("label", "block").applyInPandas(_grouped(similarity), pairs))
     big = member.where("blocks > 1")
     if big.isEmpty():
         return components(inner)
@@ -478,23 +500,44 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     heads = store(heads)
     counts = store(heads.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")))
     heads = hub_join(heads, counts, "label", count).withColumn("part", F.pmod(F.xxhash64("sid", F.lit("head")), F.col("parts")).cast("int"))
-    met = store(heads.select("label", "part", "sid", "n", "tokens").groupBy("label", "part").applyInPandas(_grouped(similarity, False), pairs))
+    met = store(heads.select("label", "part", "sid", "n", "tokens").groupBy("label", "part").applyInPandas(_grouped(similarity), pairs))
     known = store(components(inner.union(met)))
-    big = big.withColumnRenamed("label", "family").join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    big = store(big)
-    # sets outside their family's largest component are held against all of it; if there are none, all is joined
-    sizes = big.groupBy("family", "label").agg(F.count("*").alias("k"), F.first("blocks").alias("blocks"))
-    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.first("blocks").alias("blocks")).where("k > most")
-    main = store(main.select("family", "main", "blocks", F.ceil((F.col("k") - F.col("most")) / F.lit(block)).cast("int").alias("rest")))
-    if main.isEmpty():
-        return known
-    big = hub_join(big.drop("blocks"), main, "family", count)
-    columns = ["family", "one", "two", "side", "sid", "n", "tokens", "label"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = big.where("label <> main").withColumns({"one": F.pmod(F.xxhash64("sid", F.lit("rest")), F.col("rest")).cast("int"), "two": every("blocks"), "side": F.lit(0)})
-    right = big.withColumns({"one": every("rest"), "two": F.col("block"), "side": F.lit(1)})
-    more = store(left.select(*columns).union(right.select(*columns)).groupBy("family", "one", "two").applyInPandas(_grouped(similarity, True), pairs))
-    return components(inner.union(met).union(more))
+    big = store(big.select("sid", "n", "tokens", "prefix").join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    drop(member, inner, heads, counts, met)
+    more = _between(big, similarity, block)
+    drop(big)
+    return components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+
+
+def _between(big: DataFrame, similarity: tuple[int, int], block: int) -> DataFrame:
+    """Stored edges (a, b) between the labels of sets that link, of big, a stored table of sets with the labels of the components known so far.
+
+    Sets that link share a prefix shingle, so those of each such shingle meet, if they are of several components: the ones
+    outside the shingle's largest component are held against all. Shingles that the same sets have are one. Where more than
+    block sets meet, they do so in blocks by size, as sets of very different sizes have no link.
+    """
+    light = store(big.select("sid", "label", "n", F.explode(F.expr(_PREFIX)).alias("t")))
+    each = light.groupBy("t", "label").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    token = each.groupBy("t").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    token = store(token.where("all > most").groupBy("all", "x0", "x1").agg(F.min("t").alias("t"), F.first("main").alias("main")).drop("x0", "x1"))
+    met = store(light.join(joinable(token), "t").withColumn("outside", F.col("label") != F.col("main")))
+    small = met.where(F.col("all") <= block).select(F.col("t").alias("key"), "sid", F.when(F.col("outside"), BOTH).otherwise(RIGHT).alias("side"))
+    # sets whose sizes are a fifth apart at most have bands that are one apart at most
+    large = met.where(F.col("all") > block).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.02 * similarity[1] / similarity[0]))).cast("int"))
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    held = large.groupBy("t", "band").agg(parts(F.count("*")).alias("all"), parts(F.count_if("outside")).alias("left"))
+    held = store(held.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("all", "left")))).alias("held")))  # a band for each fifth of a size
+    large = large.join(joinable(held), "t").withColumn("other", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    large = large.withColumns({"own": F.expr("try_element_at(held, band)"), "its": F.expr("try_element_at(held, other)")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    left = large.where("outside and its is not null").withColumns({"one": dealt(F.col("own.left")), "two": every(F.col("its.all"))})
+    right = large.where("its.left > 0").withColumns({"two": dealt(F.col("own.all")), "one": every(F.col("its.left"))})
+    placed = small.union(left.select(F.xxhash64("t", "band", "one", "other", "two"), "sid", F.lit(LEFT))).union(right.select(F.xxhash64("t", "other", "one", "band", "two"), "sid", F.lit(RIGHT)))
+    rows = placed.join(big, "sid").select("key", "side", "n", "tokens", "label")
+    out = store(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), "a long, b long"))
+    drop(light, token, met, held)
+    return out
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:

@@ -63,6 +63,34 @@ def test_prefix_join(spark, frame, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_sets_of_a_shingle_meet(spark, block):
+    """The last step by itself, no link known before but one: sets of many sizes over few shingles, most of them unlinked."""
+    rnd, sets = random.Random(block), []
+    for _ in range(12):
+        base = rnd.sample(range(1, 200), rnd.choice((5, 9, 12, 20, 40)))
+        for _ in range(8):
+            sets.append(frozenset(base[rnd.randrange(3) :]) | set(rnd.sample(range(1, 200), rnd.randrange(4))))
+    rows = []
+    for i, s in enumerate(sets):
+        prefix = len(s) - -(-80 * len(s) // 100) + 1
+        rows.append((i, len(s), np.array(sorted(s), np.uint64).tobytes(), prefix, i))
+    rows[1] = (*rows[1][:4], 0)
+    big = prefixjoin.store(spark.createDataFrame(rows, "sid long, n long, tokens binary, prefix int, label long"))
+    edges = {(r.a, r.b) for r in prefixjoin._between(big, prefixjoin.SIMILARITY, block).collect()} | {(1, 0)}
+
+    def groups(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [min(x, y) if z in (x, y) else z for z in label]
+        return label
+
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)]
+    assert groups(edges) == groups([*links, (1, 0)])
+    assert len(set(groups(edges))) > 12
+
+
 def test_prefix_join_edges(frame):
     assert prefixjoin.linked(frame((1, "a b")).where("false")).count() == 0
     rows = prefixjoin.linked(frame((5, None), (6, ""), (6, ""), (None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"))).collect()
