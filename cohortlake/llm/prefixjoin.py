@@ -502,7 +502,7 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     heads = hub_join(heads, counts, "label", count).withColumn("part", F.pmod(F.xxhash64("sid", F.lit("head")), F.col("parts")).cast("int"))
     met = store(heads.select("label", "part", "sid", "n", "tokens").groupBy("label", "part").applyInPandas(_grouped(similarity), pairs))
     known = store(components(inner.union(met)))
-    big = store(big.select("sid", "n", "tokens", "prefix").join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    big = store(big.select("sid", "n", "tokens", "prefix", F.col("label").alias("family")).join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     drop(member, inner, heads, counts, met)
     more = _between(big, similarity, block)
     drop(big)
@@ -513,14 +513,21 @@ def _between(big: DataFrame, similarity: tuple[int, int], block: int) -> DataFra
     """Stored edges (a, b) between the labels of sets that link, of big, a stored table of sets with the labels of the components known so far.
 
     Sets that link share a prefix shingle, so those of each such shingle meet, if they are of several components: the ones
-    outside the shingle's largest component are held against all. Shingles that the same sets have are one. Where more than
-    block sets meet, they do so in blocks by size, as sets of very different sizes have no link.
+    outside the shingle's largest component are held against all. Shingles that the same sets have are one. A family whose shingles would make more work
+    than all its sets together meets as a whole instead. Where more than block sets meet, they do so in blocks by size, as sets of very different sizes have no link.
     """
-    light = store(big.select("sid", "label", "n", F.explode(F.expr(_PREFIX)).alias("t")))
-    each = light.groupBy("t", "label").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in range(2)])
-    token = each.groupBy("t").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
-    token = store(token.where("all > most").groupBy("all", "x0", "x1").agg(F.min("t").alias("t"), F.first("main").alias("main")).drop("x0", "x1"))
-    met = store(light.join(joinable(token), "t").withColumn("outside", F.col("label") != F.col("main")))
+    light = store(big.select("family", "sid", "label", "n", F.explode(F.expr(_PREFIX)).alias("t")).union(big.select("family", "sid", "label", "n", "family")))
+    each = light.groupBy("family", "t", "label").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    token = each.groupBy("family", "t").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("main"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    alike = F.col("family") == F.col("t")
+    token = token.where("all > most").groupBy("family", "all", "x0", "x1", alike.alias("whole")).agg(F.min("t").alias("t"), F.first("main").alias("main"), F.first("most").alias("most"))
+    token = store(token.drop("x0", "x1"))
+    work = F.col("all").cast("double") * (F.col("all") - F.col("most"))
+    dense = token.groupBy("family").agg(F.sum(F.when(~F.col("whole"), work)).alias("apart"), F.sum(F.when(F.col("whole"), work)).alias("together")).where("together <= apart")
+    dense = store(dense.select("family", F.lit(True).alias("dense")))  # families whose sets share so many shingles that they meet but once, all of them
+    chosen = token.join(joinable(dense), "family", "left").where(F.col("whole") == F.coalesce("dense", F.lit(False))).select("family", "t", "all", "main")
+    chosen = store(chosen)
+    met = store(light.join(joinable(chosen), ["family", "t"]).withColumn("outside", F.col("label") != F.col("main")))
     small = met.where(F.col("all") <= block).select(F.col("t").alias("key"), "sid", F.when(F.col("outside"), BOTH).otherwise(RIGHT).alias("side"))
     # sets whose sizes are a fifth apart at most have bands that are one apart at most
     large = met.where(F.col("all") > block).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.02 * similarity[1] / similarity[0]))).cast("int"))
@@ -536,7 +543,7 @@ def _between(big: DataFrame, similarity: tuple[int, int], block: int) -> DataFra
     placed = small.union(left.select(F.xxhash64("t", "band", "one", "other", "two"), "sid", F.lit(LEFT))).union(right.select(F.xxhash64("t", "other", "one", "band", "two"), "sid", F.lit(RIGHT)))
     rows = placed.join(big, "sid").select("key", "side", "n", "tokens", "label")
     out = store(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), "a long, b long"))
-    drop(light, token, met, held)
+    drop(light, token, dense, chosen, met, held)
     return out
 
 

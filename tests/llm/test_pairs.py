@@ -63,20 +63,21 @@ def test_prefix_join(spark, frame, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_sets_of_a_shingle_meet(spark, block):
+@pytest.mark.parametrize(("block", "whole"), [(4, False), (4, True), (256, False)])
+def test_sets_of_a_shingle_meet(spark, block, whole):
     """The last step by itself, no link known before but one: sets of many sizes over few shingles, most of them unlinked."""
     rnd, sets = random.Random(block), []
+    top = 60 if whole else 20_000  # of few shingles, each is in many sets, so all meet at once
     for _ in range(12):
-        base = rnd.sample(range(1, 200), rnd.choice((5, 9, 12, 20, 40)))
+        base = rnd.sample(range(1, top), rnd.choice((5, 9, 12, 20, 40)))
         for _ in range(8):
-            sets.append(frozenset(base[rnd.randrange(3) :]) | set(rnd.sample(range(1, 200), rnd.randrange(4))))
+            sets.append(frozenset(base[rnd.randrange(3) :]) | set(rnd.sample(range(1, top), rnd.randrange(4))))
     rows = []
     for i, s in enumerate(sets):
         prefix = len(s) - -(-80 * len(s) // 100) + 1
-        rows.append((i, len(s), np.array(sorted(s), np.uint64).tobytes(), prefix, i))
-    rows[1] = (*rows[1][:4], 0)
-    big = prefixjoin.store(spark.createDataFrame(rows, "sid long, n long, tokens binary, prefix int, label long"))
+        rows.append((i, len(s), np.array(sorted(s), np.uint64).tobytes(), prefix, 7, i))
+    rows[1] = (*rows[1][:5], 0)
+    big = prefixjoin.store(spark.createDataFrame(rows, "sid long, n long, tokens binary, prefix int, family long, label long"))
     edges = {(r.a, r.b) for r in prefixjoin._between(big, prefixjoin.SIMILARITY, block).collect()} | {(1, 0)}
 
     def groups(pairs):
