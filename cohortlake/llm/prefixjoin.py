@@ -57,7 +57,9 @@ from ._text import mix, pieces, shingles
 
 SIMILARITY = (80, 100)
 BUCKET = 6_000_000
-"""Shingles in a bucket, about: one task's memory is some 30 bytes for each."""
+"""Shingles in a bucket, about: one task's memory is some 10 bytes for each, and 30 more for each that is shared."""
+SLICES = 16
+"""A bucket is sorted, and packed, in so many parts, one after the other."""
 BLOCK = 256
 SAMPLE = 64
 """One text in so many, by hash, is looked at for hot shingles."""
@@ -150,6 +152,16 @@ def _counted(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """All bytes of a binary column without nulls, in place, chunk by chunk."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else [0]
+        out.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8))
+    return out
+
+
 def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("bucket", "salt", "g") else pa.binary()) for n, c in zip(names, columns, strict=True)], names)
@@ -234,13 +246,40 @@ def _shared(h: np.ndarray, number: np.ndarray, bits: int = CLASS_BITS) -> tuple[
         key = h << np.uint64(bits)
         key |= number.astype(np.uint64)
         key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
         h, number = key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
     size = np.diff(_runs(h))
     many = np.repeat(size > 1, size)
     return h[many], number[many], np.repeat(size[size > 1], size[size > 1])
 
 
+def _met(table: pa.Table, groups: int) -> list[tuple]:
+    """The packed shingles of a bucket that several classes share. It is worked on in slices by hash, so that only the shared ones are ever unpacked together."""
+    bucket = table.column("bucket")[0].as_py()
+    ids = [np.frombuffer(x, np.uint64) for x in table.column("sid").to_pylist()]
+    counts = [_counted(c, len(i)) for i, c in zip(ids, table.column("count").to_pylist(), strict=True)]
+    known, number = np.unique(np.concatenate(ids), return_inverse=True)
+    owner = np.repeat(number.astype(np.uint32), np.concatenate(counts))
+    del ids, counts, number
+    low, at = [], 0
+    for view in _views(table.column("h")):
+        low.append((view.reshape(-1, BYTES), owner[at : at + len(view) // BYTES]))
+        at += len(view) // BYTES
+    found = []
+    for part in range(SLICES):
+        mine = [(x, o, x[:, 0] % SLICES == part) for x, o in low]
+        h, of, size = _shared(_high(b"".join(x[m].tobytes() for x, _, m in mine)), np.concatenate([o[m] for _, o, m in mine]))
+        found.append((h, of.astype(np.uint32), _rank(size)))
+    del low, owner, mine
+    h, of, df = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    part, rows = _group(known, groups) % SLICES, []
+    for i in range(min(SLICES, groups)):
+        mine = (part == i)[of]
+        rows += _pack(bucket, h[mine], df[mine], known[of[mine]], groups)
+    return rows
+
+
 def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET, renamed: np.ndarray | None = None) -> DataFrame:
     """(sid, n, tokens, prefix) of the classes that may have a link: set size, shared shingles as packed
     64-bit numbers in the global order from rare to frequent, and how many of them are in the prefix."""
@@ -255,11 +294,7 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
         if bucket < 0:
             h, sid = _unpack(table)
             return pa.Table.from_batches([_record(_pack(-1 - bucket, h, np.full(len(h), HOT, np.uint8), sid, groups), _PACKED)])
-        counts = [(np.frombuffer(i, np.uint64), c) for i, c in zip(table.column("sid").to_pylist(), table.column("count").to_pylist(), strict=True)]
-        known, number = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
-        h = np.concatenate([_high(x) for x in table.column("h").to_pylist()])
-        h, number, size = _shared(h, np.repeat(number, np.concatenate([_counted(c, len(i)) for i, c in counts])))
-        return pa.Table.from_batches([_record(_pack(bucket, h, _rank(size), known[number], groups), _PACKED)])
+        return pa.Table.from_batches([_record(_met(table, groups), _PACKED)])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

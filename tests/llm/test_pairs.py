@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
-from collections import Counter
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +340,40 @@ def test_threshold_stops_early():
     assert not seen
 
 
+def test_a_bucket_is_met_in_little_memory():
+    """Against counting, and a bucket of BUCKET shingles' share of memory."""
+    rnd = np.random.default_rng(4)
+
+    def dealt(n, share):
+        ids, rows = rnd.integers(1, 1 << 63, n // 20).astype(np.uint64), []
+        for part in np.array_split(ids, 12):
+            h = np.where(rnd.random(20 * len(part)) < share, rnd.integers(0, n // 9, 20 * len(part)), rnd.integers(0, 1 << 40, 20 * len(part))).astype(np.uint64)
+            rows.append((5, 0, prefixjoin._low(h), part.tobytes(), prefixjoin._counts(np.full(len(part), 20))))
+        rows.append(rows[0])  # a copy of a class's text in another piece
+        return pa.Table.from_batches([prefixjoin._record(r, prefixjoin._DEALT) for r in (rows[:5], rows[5:])])
+
+    for n, groups in ((4000, 3), (4000, 40)):
+        table = dealt(n, 0.5)
+        h, sid = prefixjoin._unpack(table)
+        owners = defaultdict(set)
+        for x, s in zip(h.tolist(), sid.tolist(), strict=True):
+            owners[x].add(s)
+        want = {(x, s, int(prefixjoin._rank(np.array([len(o)]))[0])) for x, o in owners.items() if len(o) > 1 for s in o}
+        rows = prefixjoin._met(table, groups)
+        got = []
+        for g, bucket, low, df, ids, count, _ in rows:
+            ids = np.frombuffer(ids, np.uint64)
+            assert bucket == 5 and (prefixjoin._group(ids, groups) == g).all()
+            got += zip(prefixjoin._high(low).tolist(), np.repeat(ids, prefixjoin._counted(count, len(ids))).tolist(), np.frombuffer(df, np.uint8).tolist(), strict=True)
+        assert len(got) == len(want) and set(got) == want and len({r[0] for r in rows}) == len(rows)
+    table = dealt(1_000_000, 0.15)
+    tracemalloc.start()
+    prefixjoin._met(table, 40)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * 1_000_000  # 50 bytes a shingle when a bucket was unpacked as a whole
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100 + i, 100) for i in range(1, 40)] + [(5, 5)]
     got = prefixjoin.components(spark.createDataFrame(chain, "a long, b long"))
