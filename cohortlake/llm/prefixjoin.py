@@ -60,6 +60,8 @@ BUCKET = 6_000_000
 """Shingles in a bucket, about: one task's memory is some 10 bytes for each, and 30 more for each that is shared."""
 SLICES = 16
 """A bucket is sorted, and packed, in so many parts, one after the other."""
+SETTLED = 100_000
+"""A graph of at most so many edges is settled by one task, rather than by rounds of jobs."""
 BLOCK = 256
 SAMPLE = 64
 """One text in so many, by hash, is looked at for hot shingles."""
@@ -334,13 +336,28 @@ def shared_sets(docs: DataFrame, classes: DataFrame, total: int, count: int, sim
     return packed.groupBy("g").applyInArrow(gather, "sid long, n long, tokens binary, prefix int")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that (a, b) joins: the label is the least node. By alternating stars; each round halves chains at least."""
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, over all edges (a, b) of a graph: (node, label). Labels are places among the nodes in order, and roots whenever edges are looked at."""
+    sides = [np.zeros((2, 0), np.int64), *[np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]]
+    nodes, at = np.unique(np.concatenate(sides, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
+def components(edges: DataFrame, settled: int = SETTLED) -> DataFrame:
+    """(node, label) of the nodes that (a, b) joins: the label is the least node. By alternating stars, each round of which halves chains at least; at most settled edges go to one task."""
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     summed = lambda e: e.select(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = summed(edges)
     while True:
+        if before.n <= settled:
+            return edges.coalesce(1).mapInArrow(_settle, "node long, label long")
         # large star: of every node, the larger neighbours are tied to its least neighbour or itself
         sides = both(edges)
         least = store(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))

@@ -374,6 +374,26 @@ def test_a_bucket_is_met_in_little_memory():
     assert most < 20 * 1_000_000  # 50 bytes a shingle when a bucket was unpacked as a whole
 
 
+def test_small_graphs_take_few_jobs(spark):
+    rnd = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(-100, 100 + i) for i in range(30)] + [(rnd.randrange(200, 500), rnd.randrange(200, 500)) for _ in range(250)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    group = "components"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {r.node: r.label for r in prefixjoin.components(frame).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == label and jobs < 12  # some 60 by rounds of stars
+    assert {r.node: r.label for r in prefixjoin.components(frame, 0).collect()} == label  # larger graphs go by rounds
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100 + i, 100) for i in range(1, 40)] + [(5, 5)]
     got = prefixjoin.components(spark.createDataFrame(chain, "a long, b long"))
