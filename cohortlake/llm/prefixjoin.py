@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import drop, few, free_shuffles, hub_join, joinable, salts, store, unused
+from ._shared import drop, few, free_shuffles, hub_join, joinable, salts, shuffled, store, unused
 from ._text import mix, pieces, shingles
 
 SIMILARITY = (80, 100)
@@ -533,7 +533,7 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     # two levels of stars, so that no shingle's classes meet in one task
     inner = stars.groupBy("t", "salt").agg(F.min("sid").alias("b"))
     outer = inner.groupBy("t").agg(F.min("b").alias("top"))
-    stars = stars.join(inner, ["t", "salt"]).select(F.col("sid").alias("a"), "b").union(inner.join(outer, "t").select(F.col("b").alias("a"), F.col("top").alias("b")))
+    stars = stars.join(shuffled(inner), ["t", "salt"]).select(F.col("sid").alias("a"), "b").union(inner.join(shuffled(outer), "t").select(F.col("b").alias("a"), F.col("top").alias("b")))
     family = components(stars.where("a <> b").distinct())
     family = store(family)
     sized = store(family.groupBy("label").agg(F.count("*").alias("size")))
@@ -548,13 +548,13 @@ def set_components(active: DataFrame, similarity: tuple[int, int] = SIMILARITY,
     if big.isEmpty():
         return components(inner)
     # one set for each group of a block, all of a family together, again in blocks: most groups meet here
-    heads = big.join(inner.select(F.col("b").alias("sid")).distinct(), "sid")
+    heads = big.join(shuffled(inner.select(F.col("b").alias("sid")).distinct()), "sid")
     heads = store(heads)
     counts = store(heads.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")))
     heads = hub_join(heads, counts, "label", count).withColumn("part", F.pmod(F.xxhash64("sid", F.lit("head")), F.col("parts")).cast("int"))
     met = store(heads.select("label", "part", "sid", "n", "tokens").groupBy("label", "part").applyInPandas(_grouped(similarity), pairs))
     known = store(components(inner.union(met)))
-    big = store(big.select("sid", "n", "tokens", "prefix", F.col("label").alias("family")).join(known.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    big = store(big.select("sid", "n", "tokens", "prefix", F.col("label").alias("family")).join(shuffled(known.select(F.col("node").alias("sid"), "label")), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     drop(member, inner, heads, counts, met)
     more = _between(big, similarity, block)
     drop(big)
@@ -593,7 +593,7 @@ def _between(big: DataFrame, similarity: tuple[int, int], block: int) -> DataFra
     left = large.where("outside and its is not null").withColumns({"one": dealt(F.col("own.left")), "two": every(F.col("its.all"))})
     right = large.where("its.left > 0").withColumns({"two": dealt(F.col("own.all")), "one": every(F.col("its.left"))})
     placed = small.union(left.select(F.xxhash64("t", "band", "one", "other", "two"), "sid", F.lit(LEFT))).union(right.select(F.xxhash64("t", "other", "one", "band", "two"), "sid", F.lit(RIGHT)))
-    rows = placed.join(big, "sid").select("key", "side", "n", "tokens", "label")
+    rows = placed.join(shuffled(big), "sid").select("key", "side", "n", "tokens", "label")
     out = store(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), "a long, b long"))
     drop(light, token, dense, chosen, met, held)
     return out
@@ -624,7 +624,7 @@ def components_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
         active = store(shared_sets(docs, classes, int(whole.total), whole.classes, similarity, renamed=renamed))
         free_shuffles(docs.sparkSession)
         label = set_components(active, similarity)
-        named = classes.join(label, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
+        named = classes.join(shuffled(label), F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
     else:
         named = classes.select("sid", "least", F.col("sid").alias("label"))
     named = store(named)
@@ -637,7 +637,7 @@ def components_of(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
 def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     own, named, _ = components_of(docs, similarity)
-    out = own.where(F.col("sid").isNotNull()).join(named, F.col("sid") == F.col("__sid"), "left")
+    out = own.where(F.col("sid").isNotNull()).join(shuffled(named), F.col("sid") == F.col("__sid"), "left")
     out = out.select("doc_id", "n", "component_id").union(own.where(F.col("sid").isNull()).select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -649,7 +649,7 @@ def deduplicated(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> D
     those without words all stay.
     """
     own, named, renamed = components_of(docs, similarity)
-    groups = own.where(F.col("sid").isNotNull()).join(named, F.col("sid") == F.col("__sid"), "left")
+    groups = own.where(F.col("sid").isNotNull()).join(shuffled(named), F.col("sid") == F.col("__sid"), "left")
     gone, again = unused(docs, "gone", "again")
     removed = store(groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct())
     twice = store(own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again)))
@@ -674,7 +674,7 @@ def _one_each(rows: DataFrame, firsts: DataFrame, renamed: np.ndarray) -> DataFr
     moved = rows.select(*[c for c in rows.columns if c != "text"], "text")
     named = moved.mapInArrow(name, T.StructType([*moved.schema.fields[:-1], T.StructField(sid, T.LongType()), moved.schema["text"]]))
     chosen = firsts.select(F.col("doc_id").alias(first), F.col("sid").alias(its))
-    linked = named.where(F.col(sid).isNotNull()).join(chosen, (F.col("doc_id") == F.col(first)) & (F.col(sid) == F.col(its)), "left_semi")
+    linked = named.where(F.col(sid).isNotNull()).join(shuffled(chosen), (F.col("doc_id") == F.col(first)) & (F.col(sid) == F.col(its)), "left_semi")
     each = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     linked = linked.select("doc_id", sid, each.alias(whole)).groupBy("doc_id", sid).agg(F.min_by(whole, F.to_json(whole)).alias(whole))
     return linked.select(f"{whole}.*").unionByName(named.where(F.col(sid).isNull()).select(*[F.col(f"`{c}`") for c in rows.columns]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontamination, prefixjoin, suffixes, topk
+from cohortlake.llm import _shared, decontamination, prefixjoin, suffixes, topk
 from cohortlake.llm._text import plain_shingles
 
 
@@ -65,6 +65,24 @@ def test_prefix_join(spark, frame, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
 
 
+def test_no_table_of_unproven_size_goes_through_the_driver(spark, frame, monkeypatch):
+    texts, plans, keep = corpus(families=2), [], _shared.store
+
+    def store(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(prefixjoin, "store", store)
+    monkeypatch.setattr(_shared, "few", lambda df: False)  # as if every table were large, while Spark takes them to be small
+    monkeypatch.setattr(prefixjoin.set_components, "__defaults__", (prefixjoin.SIMILARITY, 3))
+    monkeypatch.setattr(prefixjoin.components, "__defaults__", (0,))
+    docs = frame(*enumerate(texts), (0, "one more row of this id"))
+    found, kept = prefixjoin.linked(docs), prefixjoin.deduplicated(docs)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (found, kept)]
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
+    assert {r.doc_id: r.component_id for r in found.collect()}.items() >= {i: c for i, (_, c) in brute_components(texts).items() if i}.items()
+
+
 @pytest.mark.parametrize(("block", "whole"), [(4, False), (4, True), (256, False)])
 def test_sets_of_a_shingle_meet(spark, block, whole):
     """The last step by itself, no link known before but one: sets of many sizes over few shingles, most of them unlinked."""
