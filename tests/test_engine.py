@@ -279,6 +279,11 @@ def test_json_coercion(spark):
     assert cast["bool"][3] is True
 
 
+def test_json_is_parsed_once_a_record(spark):
+    plan = engine(spark, [(0, 1, "FR", "mobile", 9, 0), (0, 2, None, None, None, None)]).cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
 def test_buckets(spark):
     df = spark.createDataFrame([(x,) for x in (None, -5.0, 0.5, 1.0, 2.0, 3.0, 25.0, 1e9)], "v double")
     got = lambda c: [r.x for r in df.select(c.alias("x")).collect()]
