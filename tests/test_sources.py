@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cohortlake.__main__ import main
 from cohortlake.operators import models
 from cohortlake.operators.cells import cells
+from cohortlake.plans import catalogue
 from cohortlake.plans.config import IndexConfig
 from cohortlake.plans.filters import parse
 from cohortlake.plans.fixtures import EVENTS
@@ -300,3 +301,11 @@ def test_windows_close_after_the_watermark(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r.records, r.members) for r in spark.sql("SELECT sum(records) AS records, sum(bitmap_count(members)) AS members FROM closed GROUP BY window").collect())
     assert got == [(1, 1), (5, 4)]
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalogue, "scratch", lambda s: f"{tmp_path}/scratch")
+    monkeypatch.setattr(Ingest, "batch", lambda self, records, batch_id=None: (self.store.append(self.index(records).dropDuplicates(["part", "offset"])), None)[1])
+    catalogue._streamed(spark, str(tmp_path))
+    assert len([p for p in (tmp_path / "scratch/checkpoint/commits").iterdir() if p.name.isdigit()]) == 2
